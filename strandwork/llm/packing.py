@@ -80,7 +80,7 @@ class ChunkEncoder:
         else:  # a vocabulary without such marks
             known.update(zip(fresh, self._library(fresh)))
         for c, ps in pieces.items():
-            made[c] = known[ps[0]] if len(ps) == 1 else np.concatenate([known[p] for p in ps])
+            made[c] = known[ps[0]] if len(ps) == 1 else np.concatenate([np.zeros(0, np.uint32), *(known[p] for p in ps)])
         return [made[c] for c in chunks]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:

@@ -130,19 +130,19 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", r
 
     Copied examples stay. Only rows with a candidate are shuffled, and equal texts are decided once.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    some = text.rlike("|".join(f"(?:{p})" for p in (ACCESS, HEX, OPAQUE, ASSIGN)))
-    key = F.concat(F.sha2(text.cast("binary"), 256), F.lit(""))
-    found = find(docs.where(some).select(F.col(text_col).alias("text"), F.col(owner_col).alias("owner"), F.col(repository_col).alias("repository")), "text")
+
+    def some(text: Column) -> Column:
+        return F.coalesce(text, F.lit("")).rlike("|".join(f"(?:{p})" for p in (ACCESS, HEX, OPAQUE, ASSIGN)))
+
+    found = find(docs.where(some(F.col(text_col))).select(F.col(text_col).alias("text"), F.col(owner_col).alias("owner"), F.col(repository_col).alias("repository")), "text")
     found = materialize(found.withColumn("key", F.sha2(F.col("text").cast("binary"), 256)).drop("text"), "secrets")
     counts = ownership(found, "owner", "repository")
     live = live_spans(found.groupBy("key").agg(F.first("found").alias("found")), counts, "key", rule)
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     body = f"c{names.index(text_col)}"
-    hit, miss = plain.where(F.coalesce(F.col(body), F.lit("")).rlike("|".join(f"(?:{p})" for p in (ACCESS, HEX, OPAQUE, ASSIGN)))), plain
-    hit = hit.withColumn("key", F.sha2(F.col(body).cast("binary"), 256)).join(live, "key", "left")
-    miss = miss.where(~F.coalesce(F.col(body), F.lit("")).rlike("|".join(f"(?:{p})" for p in (ACCESS, HEX, OPAQUE, ASSIGN))))
+    hit = plain.where(some(F.col(body))).withColumn("key", F.sha2(F.col(body).cast("binary"), 256)).join(live, "key", "left")
+    miss = plain.where(~some(F.col(body)))
     cut = F.aggregate(
         "live",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),

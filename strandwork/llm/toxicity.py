@@ -27,6 +27,7 @@ from strandwork.llm._spans import SpanTable, flat_index
 
 _STRIP = b".,;:!?\"'()[]{}"
 BLOCK_BYTES = 1 << 20
+ONE = 1 << 32  # unit of the whole numbers that word logits are kept in
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -139,7 +140,8 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Mo
 class Scorer:
     def __init__(self, model_logits: np.ndarray, offset: float, s: Settings):
         self.s, self.offset = s, offset
-        self.table = SpanTable(lambda words: [logits_mean for logits_mean in np.asarray([model_logits[grams(w, s)].mean() for w in words])[:, None]], np.float64)
+        # whole numbers, so that sums don't depend on what else a buffer holds
+        self.table = SpanTable(lambda words: list(np.rint([[ONE * model_logits[grams(w, s)].mean()] for w in words]).astype(np.int64)), np.int64)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each text."""
@@ -151,13 +153,13 @@ class Scorer:
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, n))
         last = np.searchsorted(starts, ends)
         first = np.append(0, last[:-1])
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        logit = (sums[last] - sums[first]) / np.maximum(last - first, 1)
+        sums = np.concatenate([[0], np.cumsum(values)])
+        logit = (sums[last] - sums[first]) / (ONE * np.maximum(last - first, 1))
         long = np.flatnonzero(last - first > s.window)
         if len(long):
             count = last[long] - first[long] - s.window + 1
             at = flat_index(first[long], count)
-            means = (sums[at + s.window] - sums[at]) / s.window
+            means = (sums[at + s.window] - sums[at]) / (ONE * s.window)
             logit[long] = np.maximum.reduceat(means, np.cumsum(count) - count)
         return 1 / (1 + np.exp(-np.clip(logit + self.offset, -500, 500)))
 
