@@ -99,7 +99,7 @@ def _emit_anchors(batches):
 
     for batch in batches:
         k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        texts = text_bytes(batch.column(2))
+        texts = text_bytes(batch.column(3))
         for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
             doc, pos, gram, context = anchors(texts[a:b])
             if not len(doc):
@@ -177,9 +177,9 @@ def _extract(batches):
     names = ["h", "k1", "k2", "pos", "left", "size", "context"]
     for batch in batches:
         k1, k2 = (batch.column(i).to_pylist() for i in range(2))
-        texts = text_bytes(batch.column(2))
+        texts = text_bytes(batch.column(3))
         rows, held = [], 0
-        for i, found in enumerate(batch.column(3)):
+        for i, found in enumerate(batch.column(4)):
             text, spans = texts[i], []
             for x in found.values.flatten() and zip(*(c.to_pylist() for c in found.values.flatten())):
                 h, c, pos, role = x
@@ -287,9 +287,9 @@ def _compare(batches):
 
 
 def _keys(text):
-    """120 bits of a text's MD5, as two longs."""
+    """120 bits of a text's MD5, as two longs (never null, so that no join adds a filter to one reader of them only)."""
     digest = F.md5(text.cast("binary"))
-    return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"k{i + 1}") for i in range(2)]
+    return [F.coalesce(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("bigint"), F.lit(0)).alias(f"k{i + 1}") for i in range(2)]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -304,10 +304,11 @@ def cut_texts(texts: DataFrame, with_text: bool) -> DataFrame:
     """``k1, k2`` and the results for each distinct value of ``texts.text``."""
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     distinct = texts.select(*_keys(F.col("text")), "text").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.max("text").alias("text"))
-    found = distinct.select("k1", "k2", "text").mapInArrow(_emit_anchors, "h bigint, c bigint, k1 bigint, k2 bigint, pos bigint")
+    # all three readers of it take the same columns, so that the texts are shuffled once
+    found = distinct.mapInArrow(_emit_anchors, "h bigint, c bigint, k1 bigint, k2 bigint, pos bigint")
     judged = found.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_judge, "k1 bigint, k2 bigint, h bigint, c bigint, pos bigint, role bigint")
     per_text = judged.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "pos", "role")).alias("found"))
-    contexts = distinct.select("k1", "k2", "text").join(per_text, ["k1", "k2"]).mapInArrow(_extract, "h bigint, k1 bigint, k2 bigint, pos bigint, left bigint, size bigint, context binary")
+    contexts = distinct.join(per_text, ["k1", "k2"]).select("k1", "k2", "copies", "text", "found").mapInArrow(_extract, "h bigint, k1 bigint, k2 bigint, pos bigint, left bigint, size bigint, context binary")
     runs = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_compare, "k1 bigint, k2 bigint, start bigint, stop bigint")
     runs = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
@@ -340,5 +341,6 @@ def cut_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     body = f"c{names.index(text_col)}"
     text = F.coalesce(F.col(body), F.lit(""))
     kept = cut_texts(plain.select(text.alias("text")), True).select("k1", "k2", "kept_text")
-    out = plain.withColumns(dict(zip(("k1", "k2"), _keys(text)))).join(kept, ["k1", "k2"])
-    return out.select(*(F.when(F.col(body).isNull(), F.lit(None)).otherwise(F.col("kept_text")).alias(body) if c == body else c for c in plain.columns)).toDF(*names)
+    # the texts themselves stay behind; what is left of them comes from the other side
+    out = plain.withColumns(dict(zip(("k1", "k2"), _keys(text)))).withColumn(body, F.col(body).isNull()).join(kept, ["k1", "k2"])
+    return out.select(*(F.when(~F.col(body), F.col("kept_text")).alias(body) if c == body else c for c in plain.columns)).toDF(*names)
