@@ -1,15 +1,16 @@
 """LM scoring: a causal self-attention model over subword ids, trained in numpy.
 
-The model. Ids come from a public tokenizer. Each id belongs to a class: the most frequent ids are classes of their
-own, the others are clustered by which ids precede and follow them in the training texts. One causal attention layer
-and a small feed-forward layer over class embeddings predict the next class; an id's share of its class comes from
-counts over all training texts. ``score`` is the sum of log10 p(class | context) + log10 p(id | class) over a text's
-ids and its end: a proper distribution over id sequences. Texts are cut in overlapping context windows and every id is
-scored once, with the window that gives it the most context, in batches under a causal mask.
+The model. Ids come from a public tokenizer. The ``known`` most frequent ids have embeddings of their own, all others
+share one. A causal attention layer and a small feed-forward layer lead to a state; a softmax in two steps (first over
+the ``own`` most frequent ids and over clusters, then over the ids of the cluster) gives the next id's probability.
+Clusters are equally large and made of ids with like neighbours. Ids outside the known ones share a leaf by their
+counts. ``score`` is the sum of log10 p(id | context) over a text's ids and its end: a proper distribution over id
+sequences. Texts are cut in overlapping context windows and every id is scored once, with the window that gives it
+the most context, in batches under a causal mask.
 
 Training. Counts and neighbour profiles cover every training text in full. Each training text also gives windows, one
-to ``every`` tokens; the tasks that hold them each take gradient steps from common weights, and the weights are
-averaged, for ``rounds`` rounds: what is gathered grows with the corpus, the model doesn't.
+to ``every`` ids; the tasks that hold them each take gradient steps from common weights, and the weights are averaged,
+for ``rounds`` rounds: what is gathered grows with the corpus, the model doesn't.
 
 The base score is a unigram model over words; its counts cover every training text. The ``top`` most frequent words
 travel to the tasks as a table (a fixed bound); all other words of all texts meet their counts in a join.
@@ -40,24 +41,21 @@ END_WORD = "\n"  # no word has a line feed
 class Settings:
     vocabulary: int = 49_408
     end_id: int = 49_407
-    own: int = 160  # ids that are classes of their own
-    clusters: int = 160
-    profile: int = 8  # numbers to a neighbour profile, each side
-    dim: int = 32
-    hidden: int = 64
-    window: int = 64
-    stride: int = 48
-    every: int = 512
-    rounds: int = 3
-    batch: int = 16
-    rate: float = 3e-3
+    known: int = 4096
+    own: int = 32  # known ids that are leaves of the first softmax
+    clusters: int = 48
+    profile: int = 6  # numbers to a neighbour profile, each side
+    dim: int = 16
+    hidden: int = 32
+    window: int = 32
+    stride: int = 24
+    every: int = 1024
+    rounds: int = 2
+    batch: int = 32
+    rate: float = 8e-3
     top: int = 1 << 16
     seed: int = 5
 
-    @property
-    def classes(self) -> int:
-        return self.own + self.clusters
-
 
 def held_out(ids: list, fold: int = 1, folds: int = 5) -> np.ndarray:
     return np.asarray([i is not None and zlib.crc32(str(i).encode()) % folds == fold for i in ids], bool)
@@ -66,142 +64,239 @@ def held_out(ids: list, fold: int = 1, folds: int = 5) -> np.ndarray:
 # --- the model ----------------------------------------------------------------------------------------
 
 
-def draw(s: Settings, prior: np.ndarray) -> dict[str, np.ndarray]:
-    """Fresh weights; ``prior``: log probability of each class."""
+@dataclass
+class Leaves:
+    """Where ids are found. A rank is an id's place among the known ids; ``known`` stands for all others, and the
+    start of a text is ``known + 1`` (as an input only)."""
+
+    rank: np.ndarray  # of each id
+    leaf: np.ndarray  # of each rank: what the first softmax has for it
+    inside: np.ndarray  # of each rank: its place in its cluster, -1 for those without one
+    sizes: np.ndarray  # of each cluster
+    share: np.ndarray  # log10 of each id's share of its leaf's last step (0 for known ids)
+
+    @property
+    def tops(self) -> int:
+        return int(self.leaf.max()) + 1
+
+
+def arrange(count: np.ndarray, profile: np.ndarray, s: Settings) -> Leaves:
+    """Leaves for ids with these counts and neighbour profiles."""
+    order = np.argsort(-count, kind="stable")[: max(min(s.known, int((count > 0).sum())), s.own + s.clusters)]
+    rank = np.full(s.vocabulary, s.known)
+    rank[order] = np.arange(len(order))
+    leaf, inside = np.zeros(s.known + 1, np.int64), np.full(s.known + 1, -1)
+    leaf[: s.own] = np.arange(s.own)
+    leaf[len(order) :] = s.own + s.clusters  # all others
+    x = profile[order] / np.maximum(count[order], 1)[:, None]
+    groups = [np.arange(s.own, len(order))]
+    while len(groups) < s.clusters:  # the largest is halved across its longest direction
+        g = groups.pop(int(np.argmax([len(g) for g in groups])))
+        y = x[g] - x[g].mean(axis=0)
+        _, v = np.linalg.eigh(y.T @ y)
+        by = np.argsort(y @ v[:, -1], kind="stable")
+        groups += [g[by[: len(g) // 2]], g[by[len(g) // 2 :]]]
+    for c, g in enumerate(groups):
+        leaf[g], inside[g] = s.own + c, np.arange(len(g))
+    rare = np.where(rank == s.known, count + 0.5, 0)
+    share = np.zeros(s.vocabulary)
+    share[rank == s.known] = np.log10(rare[rank == s.known] / max(rare.sum(), 1e-9))
+    return Leaves(rank, leaf, inside, np.asarray([len(g) for g in groups]), share)
+
+
+def draw(s: Settings, leaves: Leaves, count: np.ndarray) -> dict[str, np.ndarray]:
+    """Fresh weights; biases are the logarithms of the counts."""
     rng = np.random.default_rng(s.seed)
-    d, k = s.dim, s.classes
+    d, width = s.dim, int(leaves.sizes.max())
 
     def w(*shape, scale):
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
+    by_rank = np.bincount(leaves.rank, count + 0.5, s.known + 1)
+    top = np.log(np.bincount(leaves.leaf, by_rank, leaves.tops))
+    deep = np.full((s.clusters, width), -30.0)
+    member = np.flatnonzero(leaves.inside >= 0)
+    deep[leaves.leaf[member] - s.own, leaves.inside[member]] = np.log(by_rank[member])
     return {
-        "E": w(k + 1, d, scale=0.3), "P": w(s.window, d, scale=0.05), "Q": w(d, d, scale=d**-0.5), "K": w(d, d, scale=d**-0.5), "V": w(d, d, scale=d**-0.5),
-        "O": w(d, d, scale=0.1), "A": w(d, s.hidden, scale=d**-0.5), "B": w(s.hidden, d, scale=0.05), "U": w(d, k, scale=0.05), "b": prior.astype(np.float32),
+        "E": w(s.known + 2, d, scale=0.3), "P": w(s.window, d, scale=0.05), "QKV": w(d, 3 * d, scale=d**-0.5), "O": w(d, d, scale=0.1),
+        "A": w(2 * d, s.hidden, scale=(2 * d) ** -0.5), "B": w(s.hidden, d, scale=0.05), "U": w(d, leaves.tops, scale=0.05), "b": (top - top.max()).astype(np.float32),
+        "D": w(s.clusters, d, width, scale=0.05), "e": deep.astype(np.float32),
     }
 
 
+_MASK: dict[int, np.ndarray] = {}
+
+
 def hidden(w: dict, x: np.ndarray) -> tuple:
-    """Last layer for a batch of windows of classes, and what its gradient needs."""
-    t = x.shape[1]
-    h0 = w["E"][x] + w["P"][:t]
-    q, k, v = h0 @ w["Q"], h0 @ w["K"], h0 @ w["V"]
+    """Last layer for a batch of windows of ranks, and what its gradient needs."""
+    n, t = x.shape
+    d = w["O"].shape[0]
+    if t not in _MASK:
+        _MASK[t] = np.triu(np.full((t, t), -1e9, np.float32), 1)
+    h0 = w["E"][x]
+    h0 += w["P"][:t]
+    qkv = (h0.reshape(-1, d) @ w["QKV"]).reshape(n, t, 3 * d)
+    q, k, v = qkv[..., :d] * np.float32(d**-0.5), qkv[..., d : 2 * d], qkv[..., 2 * d :]
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(w["Q"].shape[0] ** -0.5)
-    a += np.triu(np.full((t, t), -1e9, np.float32), 1)
-    a -= a.max(axis=2, keepdims=True)
+    np.minimum(a, 30, out=a)  # keeps exp finite without a pass for the maximum
+    a += _MASK[t]
     np.exp(a, out=a)
     a /= a.sum(axis=2, keepdims=True)
     c = a @ v
-    h1 = h0 + c @ w["O"]
-    r = np.maximum(h1 @ w["A"], 0)
-    return h1 + r @ w["B"], (x, h0, q, k, v, a, c, h1, r)
+    # the feed-forward layer sees the last id as it is and what attention made of the context
+    both = np.concatenate([h0, c], axis=2)
+    r = np.maximum(both.reshape(-1, 2 * d) @ w["A"], 0)
+    h = h0.reshape(-1, d) + c.reshape(-1, d) @ w["O"] + r @ w["B"]
+    return h, (x, h0, q, k, v, a, c, both, r)
 
 
-def log_softmax_at(w: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log probability of class y[i] after state h[i]."""
-    z = h @ w["U"] + w["b"]
+def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
-    picked = z[np.arange(len(y)), y]
     np.exp(z, out=z)
-    return picked - np.log(z.sum(axis=1))
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def log_probability(w: dict, leaves: Leaves, s: Settings, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log probability of rank y[i] after state h[i]."""
+    out = np.empty(len(y), np.float64)
+    leaf = leaves.leaf[y]
+    for a in range(0, len(y), 4096):
+        z = h[a : a + 4096] @ w["U"]
+        z += w["b"]
+        z -= z.max(axis=1, keepdims=True)
+        picked = z[np.arange(len(z)), leaf[a : a + 4096]]
+        np.exp(z, out=z)
+        out[a : a + 4096] = picked - np.log(z.sum(axis=1))
+    deep = np.flatnonzero(leaves.inside[y] >= 0)
+    cluster = (leaf[deep] - s.own).astype(np.int16)
+    by = np.argsort(cluster, kind="stable")
+    deep = deep[by]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=s.clusters))])
+    for c in range(s.clusters):
+        size = leaves.sizes[c]
+        for a in range(edges[c], edges[c + 1], 8192):
+            some = deep[a : min(a + 8192, edges[c + 1])]
+            z = h[some] @ w["D"][c, :, :size]
+            z += w["e"][c, :size]
+            z -= z.max(axis=1, keepdims=True)
+            picked = z[np.arange(len(z)), leaves.inside[y[some]]]
+            np.exp(z, out=z)
+            out[some] += picked - np.log(z.sum(axis=1))
+    return out
 
 
-def gradients(w: dict, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[dict, float]:
+def gradients(w: dict, leaves: Leaves, s: Settings, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[dict, float]:
     """Gradients of the mean loss over real targets, and the loss."""
-    h2, (x, h0, q, k, v, a, c, h1, r) = hidden(w, x)
-    n, t, d = h2.shape
-    flat = h2.reshape(-1, d)
-    z = flat @ w["U"] + w["b"]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    at, target, mask = np.arange(n * t), y.ravel(), real.ravel().astype(np.float32)
+    h, (x, h0, q, k, v, a, c, both, r) = hidden(w, x)
+    n, t = x.shape
+    d = s.dim
+    target, mask = y.ravel(), real.ravel().astype(np.float32)
     total = max(float(mask.sum()), 1.0)
-    loss = float(-(np.log(z[at, target] + 1e-30) * mask).sum() / total)
-    z[at, target] -= 1
+    at = np.arange(n * t)
+    leaf = leaves.leaf[target]
+    z = _softmax(h @ w["U"] + w["b"])
+    loss = float(-(np.log(z[at, leaf] + 1e-30) * mask).sum())
+    z[at, leaf] -= 1
     z *= (mask / total)[:, None]
-    g = {"U": flat.T @ z, "b": z.sum(axis=0)}
-    dh2 = (z @ w["U"].T).reshape(n, t, d)
-
-    def outer(left, right):
-        return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
-
-    g["B"] = outer(r, dh2)
-    dr = (dh2 @ w["B"].T) * (r > 0)
-    g["A"] = outer(h1, dr)
-    dh1 = dh2 + dr @ w["A"].T
-    g["O"] = outer(c, dh1)
-    dc = dh1 @ w["O"].T
+    g = {"U": h.T @ z, "b": z.sum(axis=0), "D": np.zeros_like(w["D"]), "e": np.zeros_like(w["e"])}
+    dh = z @ w["U"].T
+    inside = leaves.inside[target]
+    deep = np.flatnonzero((inside >= 0) & (mask > 0))
+    cluster = leaf[deep] - s.own
+    by = np.argsort(cluster, kind="stable")
+    deep, cluster = deep[by], cluster[by]
+    starts = np.flatnonzero(np.diff(cluster, prepend=-1))
+    for i, j in zip(starts, [*starts[1:], len(deep)]):
+        one, size = cluster[i], leaves.sizes[cluster[i]]
+        rows = deep[i:j]
+        z = _softmax(h[rows] @ w["D"][one, :, :size] + w["e"][one, :size])
+        picked = np.arange(len(rows)), inside[rows]
+        loss -= float(np.log(z[picked] + 1e-30).sum())
+        z[picked] -= 1
+        z /= np.float32(total)
+        g["D"][one, :, :size] = h[rows].T @ z
+        g["e"][one, :size] = z.sum(axis=0)
+        dh[rows] += z @ w["D"][one, :, :size].T
+    g["B"] = r.T @ dh
+    dr = (dh @ w["B"].T) * (r > 0)
+    g["A"] = both.reshape(-1, 2 * d).T @ dr
+    dboth = dr @ w["A"].T
+    g["O"] = c.reshape(-1, d).T @ dh
+    dc = (dh @ w["O"].T + dboth[:, d:]).reshape(n, t, d)
     da = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dh0 = dh1 + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-    g["Q"], g["K"], g["V"] = outer(h0, dq), outer(h0, dk), outer(h0, dv)
+    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    dq, dk = (ds @ k) * np.float32(d**-0.5), ds.transpose(0, 2, 1) @ q
+    dqkv = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * d)
+    g["QKV"] = h0.reshape(-1, d).T @ dqkv
+    dh0 = dh + dboth[:, :d] + dqkv @ w["QKV"].T
     g["P"] = np.zeros_like(w["P"])
-    g["P"][:t] = dh0.sum(axis=0)
-    one = np.zeros((n * t, w["E"].shape[0]), np.float32)
-    one[at, x.ravel()] = 1
-    g["E"] = one.T @ dh0.reshape(-1, d)
-    return g, loss
+    g["P"][:t] = dh0.reshape(n, t, d).sum(axis=0)
+    ids, back = np.unique(x.ravel(), return_inverse=True)
+    g["E"] = np.zeros_like(w["E"])
+    g["E"][ids] = np.stack([np.bincount(back, dh0[:, m], len(ids)) for m in range(d)], axis=1)
+    return g, loss / total
 
 
-def train_on(w: dict, windows: list[np.ndarray], s: Settings, seed: int) -> dict:
-    """Adam steps over windows of classes (input and target: one class longer than they are)."""
+def train_on(w: dict, leaves: Leaves, windows: list[np.ndarray], s: Settings, seed: int, rate: float) -> dict:
+    """Adam steps over windows of ranks (input and target: one rank longer than they are)."""
     w = {k: v.copy() for k, v in w.items()}
     m = {k: np.zeros_like(v) for k, v in w.items()}
     u = {k: np.zeros_like(v) for k, v in w.items()}
     order = np.random.default_rng(seed).permutation(len(windows))
+    steps = -(-len(order) // s.batch)
     for step, a in enumerate(range(0, len(order), s.batch), 1):
         some = [windows[i] for i in order[a : a + s.batch]]
         t = max(len(x) for x in some) - 1
         x, y, real = (np.zeros((len(some), t), np.int64) for _ in range(3))
         for i, c in enumerate(some):
             x[i, : len(c) - 1], y[i, : len(c) - 1], real[i, : len(c) - 1] = c[:-1], c[1:], 1
-        g, _ = gradients(w, x, y, real)
-        rate = s.rate * min(1.0, step / 20)
+        g, _ = gradients(w, leaves, s, x, y, real)
+        now = rate * min(1.0, step / 20) * (1 - 0.8 * step / max(steps, 1))
         for k in w:
-            m[k] += 0.1 * (g[k] - m[k])
-            u[k] += 0.01 * (g[k] ** 2 - u[k])
-            w[k] -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.99**step)) + 1e-8)
+            m[k] += np.float32(0.1) * (g[k] - m[k])
+            u[k] += np.float32(0.01) * (g[k] ** 2 - u[k])
+            w[k] -= np.float32(now / (1 - 0.9**step)) * m[k] / (np.sqrt(u[k] / np.float32(1 - 0.99**step)) + np.float32(1e-7))
     return w
 
 
 @dataclass
 class Model:
     weights: dict
-    class_of: np.ndarray  # of each id
-    share: np.ndarray  # log10 of each id's share of its class
+    leaves: Leaves
     settings: Settings
 
     def score(self, texts_ids: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each id sequence; each of its ids is scored once."""
+        """log10 probability of each id sequence (none is empty); each of its ids is scored once."""
         s = self.settings
-        start = np.asarray([s.classes])
-        windows, owner = [], []
-        out = np.zeros(len(texts_ids))
-        for i, ids in enumerate(texts_ids):
-            out[i] = self.share[ids].sum()
-            c = np.concatenate([start, self.class_of[ids]])
-            n = len(ids)
-            at = 0
-            while True:
-                windows.append((c[at : at + s.window + 1], 0 if at == 0 else s.window - s.stride))
-                owner.append(i)
-                if at + s.window >= n:
-                    break
-                at += s.stride
-        for a in range(0, len(windows), 64):
-            some = windows[a : a + 64]
-            t = max(len(c) for c, _ in some) - 1
-            x, y, real = np.zeros((len(some), t), np.int64), np.zeros((len(some), t), np.int64), np.zeros((len(some), t), bool)
-            for j, (c, first) in enumerate(some):
-                x[j, : len(c) - 1], y[j, : len(c) - 1] = c[:-1], c[1:]
-                real[j, first : len(c) - 1] = True
-            h, _ = hidden(self.weights, x)
-            found = log_softmax_at(self.weights, h[real], y[real])
-            np.add.at(out, np.repeat(np.asarray(owner[a : a + 64]), real.sum(axis=1)), found / np.log(10))
-        return out
+        if not texts_ids:
+            return np.zeros(0)
+        sizes = np.fromiter(map(len, texts_ids), np.int64, len(texts_ids))
+        flat = np.concatenate(texts_ids)
+        begins = np.cumsum(sizes) - sizes
+        y = self.leaves.rank[flat]
+        x = np.concatenate([[0], y[:-1]])
+        x[begins] = s.known + 1
+        count = 1 + np.maximum(0, -(-(sizes - s.window) // s.stride))
+        owner = np.repeat(np.arange(len(sizes)), count)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        start = begins[owner] + number * s.stride
+        left = np.minimum(s.window, sizes[owner] - number * s.stride)
+        skip = np.where(number > 0, s.window - s.stride, 0)
+        column = np.arange(s.window)
+        states, where = [], []
+        for a in range(0, len(owner), 128):
+            some = slice(a, a + 128)
+            at = start[some, None] + column
+            h, _ = hidden(self.weights, x[np.minimum(at, len(x) - 1)])
+            real = (column < left[some, None]) & (column >= skip[some, None])
+            states.append(h[real.ravel()])
+            where.append(at[real])
+        found, place = log_probability(self.weights, self.leaves, s, np.concatenate(states), y[np.concatenate(where)]), np.concatenate(where)
+        each = np.empty(len(flat))
+        each[place] = found / np.log(10)
+        return np.add.reduceat(each + self.leaves.share[flat], begins)
 
 
 # --- learning -----------------------------------------------------------------------------------------
@@ -216,6 +311,23 @@ def _projection(s: Settings) -> np.ndarray:
     return np.random.default_rng(s.seed).standard_normal((s.profile, s.vocabulary)).astype(np.float32)
 
 
+def tokenize(rows: DataFrame, path: str, s: Settings) -> DataFrame:
+    """``rows`` (``id, text``) with ``held_out`` and ``ids`` (little-endian unsigned 16-bit integers, the end included)."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = text_bytes(batch.column(1))
+            for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
+                made = [x.astype("<u2").tobytes() for x in _ids(path, texts[a:b], s)]
+                out = held_out(batch.column(0)[a:b].to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(out), pa.array(made, pa.binary())], ["id", "text", "held_out", "ids"])
+
+    return rows.mapInArrow(run, f"id {kind}, text string, held_out boolean, ids binary")
+
+
 def _count_words(batches):
     """Words of training rows, each task's summed."""
     import pyarrow as pa
@@ -242,7 +354,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def gather(docs: DataFrame, path: str, s: Settings) -> DataFrame:
+def gather(tokens: DataFrame, s: Settings) -> DataFrame:
     """Of the training rows: for every id its count and neighbour profile (``id``, ``n``, ``data``), summed by task,
     and windows of ids (``id`` null)."""
 
@@ -253,82 +365,77 @@ def gather(docs: DataFrame, path: str, s: Settings) -> DataFrame:
         count = np.zeros(s.vocabulary, np.int64)
         profile = np.zeros((2 * s.profile, s.vocabulary))
         for batch in batches:
-            texts = [t for t, out in zip(text_bytes(batch.column(1)), held_out(batch.column(0).to_pylist())) if not out]
-            for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
+            sizes = [len(x) for x in batch.column(0).to_pylist()]
+            every = batch.column(0).to_pylist()
+            for a, b in spans_by_size(sizes, BLOCK_BYTES):
                 windows = []
-                each = _ids(path, texts[a:b], s)
-                flat = np.concatenate(each)
+                flat = np.frombuffer(b"".join(every[a:b]), "<u2").astype(np.int64)
                 count += np.bincount(flat, minlength=s.vocabulary)
                 for k in range(s.profile):
                     profile[k, :] += np.bincount(flat[:-1], r[k, flat[1:]], s.vocabulary)
                     profile[s.profile + k, :] += np.bincount(flat[1:], r[k, flat[:-1]], s.vocabulary)
-                for ids in each:
+                for raw in every[a:b]:
+                    ids = np.frombuffer(raw, "<u2").astype("<i4")
                     for at in range(0, len(ids), s.every):
-                        # an id before the window (or the start, -1) is its first input
-                        part = ids[at : at + s.window]
-                        windows.append(np.concatenate([[ids[at - 1] if at else -1], part]).astype("<i4").tobytes())
+                        # the id before the window (or the start, -1) is its first input
+                        windows.append(np.concatenate([[ids[at - 1] if at else -1], ids[at : at + s.window]]).astype("<i4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.int32()), pa.nulls(len(windows), pa.int64()), pa.array(windows, pa.binary())], ["id", "n", "data"])
         seen = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(count[seen]), pa.array([x.tobytes() for x in profile[:, seen].T.astype("<f4")], pa.binary())], ["id", "n", "data"])
 
-    return docs.mapInArrow(run, "id int, n bigint, data binary")
-
-
-def cluster(count: np.ndarray, profile: np.ndarray, s: Settings) -> np.ndarray:
-    """Class of each id: the ``own`` most frequent alone, the others by k-means over their mean neighbour profiles."""
-    order = np.argsort(-count, kind="stable")
-    out = np.zeros(s.vocabulary, np.int64)
-    out[order[: s.own]] = np.arange(s.own)
-    rest = order[s.own :]
-    x = profile[rest] / np.maximum(count[rest], 1)[:, None]
-    x *= (count[rest] / (count[rest] + 3.0))[:, None]  # rare ids: towards the middle
-    weight = count[rest] + 0.01
-    centre = x[np.linspace(0, max(len(x) // 8, 1) - 1, s.clusters).astype(int)]
-    label = np.zeros(len(x), np.int64)
-    for _ in range(12):
-        label = np.argmin((centre**2).sum(axis=1) - 2 * x @ centre.T, axis=1)
-        mass = np.bincount(label, weight, s.clusters)
-        for k in range(x.shape[1]):
-            centre[:, k] = np.where(mass > 0, np.bincount(label, weight * x[:, k], s.clusters) / np.maximum(mass, 1e-9), centre[:, k])
-    out[rest] = s.own + label
-    return out
+    return tokens.where("not held_out").select("ids").mapInArrow(run, "id int, n bigint, data binary")
 
 
-def learn(docs: DataFrame, path: str, s: Settings = Settings()) -> Model:
-    """The model of the training rows of ``docs`` (``id, text``)."""
-    spark = docs.sparkSession
-    seen = materialize(gather(docs, path, s), "lm-gathered")
+def learn(tokens: DataFrame, s: Settings = Settings()) -> Model:
+    """The model of the training rows of ``tokens`` (from ``tokenize``)."""
+    spark = tokens.sparkSession
+    seen = materialize(gather(tokens, s), "lm-gathered")
     # numbers of fixed size: at most one row to an id of the vocabulary reaches the driver
     count, profile = np.zeros(s.vocabulary), np.zeros((s.vocabulary, 2 * s.profile))
     for i, n, data in _summed(seen):
         count[i], profile[i] = n, np.frombuffer(data, "<f4")
-    class_of = cluster(count, profile, s)
-    mass = np.bincount(class_of, count + 0.5, s.classes)
-    share = np.log10((count + 0.5) / mass[class_of])
-    weights = draw(s, np.log(np.maximum(mass, 0.5) / max(mass.sum(), 1.0)))
-    table = np.append(class_of, s.classes)  # -1, the start, is the last
+    leaves = arrange(count, profile, s)
+    weights = draw(s, leaves, count)
     windows = seen.where("id is null").select("data")
     for k in range(s.rounds):
-        handed = spark.sparkContext.broadcast((weights, table))
+        handed = spark.sparkContext.broadcast((weights, leaves))
 
         def run(batches, handed=handed, k=k):
             import pyarrow as pa
 
-            w, classes = handed.value
-            mine = [classes[np.frombuffer(x, "<i4")] for batch in batches for x in batch.column(0).to_pylist()]
+            w, leaves = handed.value
+            rank = np.append(leaves.rank, s.known + 1)  # -1, the start, is the last
+            mine = [rank[np.frombuffer(x, "<i4")] for batch in batches for x in batch.column(0).to_pylist()]
             if mine:
-                w = train_on(w, mine, s, s.seed + k)
+                w = train_on(w, leaves, mine, s, s.seed + k, s.rate / (1 + k))
                 yield pa.RecordBatch.from_arrays([pa.array(list(w)), pa.array([len(mine)] * len(w), pa.int64()), pa.array([v.astype("<f4").tobytes() for v in w.values()], pa.binary())], ["name", "n", "data"])
 
-        total: dict[str, np.ndarray] = {}
-        n = 0
-        for name, m, data in windows.mapInArrow(run, "name string, n bigint, data binary").toLocalIterator():
-            total[name] = total.get(name, 0) + m * np.frombuffer(data, "<f4").astype(np.float64)
-            n += m * (name == "b")
-        if n:
-            weights = {key: (v / n).astype(np.float32).reshape(weights[key].shape) for key, v in total.items()}
+        weights = _averaged(windows.mapInArrow(run, "name string, n bigint, data binary"), weights)
         handed.unpersist()
-    return Model(weights, class_of, share, s)
+    return Model(weights, leaves, s)
+
+
+def _averaged(found: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Means of the tasks' weights, by the number of windows that they saw: summed where the tasks run, so that the
+    driver gets one row to a weight however many tasks there are."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total: dict[str, list] = {}
+        for batch in batches:
+            for name, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                one = total.setdefault(name, [0, 0.0])
+                one[0] += n
+                one[1] = one[1] + n * np.frombuffer(data, "<f4").astype(np.float64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([(v[1] / max(v[0], 1)).astype("<f4").tobytes() for v in total.values()], pa.binary())], ["name", "n", "data"])
+
+    kind = "name string, n bigint, data binary"
+    out = dict(weights)
+    for name, _, data in found.repartition(len(weights), "name").mapInArrow(run, kind).collect():
+        out[name] = np.frombuffer(data, "<f4").reshape(weights[name].shape).copy()
+    return out
 
 
 def _summed(seen: DataFrame):
@@ -364,21 +471,23 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bottom = float(np.log10(n + 0.5 * (v + 1)))
     known = {r[0].encode(): r[1] for r in counts.orderBy(F.desc("n"), "word").limit(s.top).collect()}
-    model = learn(rows, path, s)
-    handed = spark.sparkContext.broadcast((model.weights, model.class_of, model.share, known))
+    tokens = materialize(tokenize(rows, path, s), "lm-tokens")
+    model = learn(tokens, s)
+    handed = spark.sparkContext.broadcast((model.weights, model.leaves, known))
 
     def run(batches):
         import pyarrow as pa
 
-        weights, class_of, share, known = handed.value
-        mine = Model(weights, class_of, share, s)
+        weights, leaves, known = handed.value
+        mine = Model(weights, leaves, s)
         end = known.get(END_WORD.encode(), 0)
         logs = {w: float(np.log10(c + 0.5)) for w, c in known.items()}
         for batch in batches:
             texts = text_bytes(batch.column(1))
+            ids = batch.column(3).to_pylist()
             for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
                 some = texts[a:b]
-                scores = mine.score(_ids(path, some, s))
+                scores = mine.score([np.frombuffer(x, "<u2").astype(np.int64) for x in ids[a:b]])
                 n_tokens, n_known, base, rare = [], [], [], []
                 for text in some:
                     each = Counter(lower_bytes(text).split())
@@ -395,11 +504,11 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                     base.append(sum_)
                     rare.append(left)
                 kind_rare = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
-                arrays = [batch.column(0)[a:b], pa.array(held_out(batch.column(0)[a:b].to_pylist())), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(scores), pa.array([[{"word": w, "k": k} for w, k in x] for x in rare], kind_rare)]
+                arrays = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(scores), pa.array([[{"word": w, "k": k} for w, k in x] for x in rare], kind_rare)]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word:string,k:bigint>>"
-    scored = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    scored = materialize(tokens.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     # words beyond the table meet their counts; words that were never seen count 0
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k").join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("hits"))
