@@ -8,8 +8,8 @@ counts. ``score`` is the sum of log10 p(id | context) over a text's ids and its
 sequences. Texts are cut in overlapping context windows and every id is scored once, with the window that gives it
 the most context, in batches under a causal mask.
 
-Training. Counts and neighbour profiles cover every training text in full. Each training text also gives windows, one
-to ``every`` ids; the tasks that hold them each take gradient steps from common weights, and the weights are averaged,
+Training. Counts and neighbour profiles cover every training text in full. Windows lie ``every`` ids apart over
+all training texts; the tasks that hold them each take gradient steps from common weights, and the weights are averaged,
 for ``rounds`` rounds: what is gathered grows with the corpus, the model doesn't.
 
 The base score is a unigram model over words; its counts cover every training text. The ``top`` most frequent words
@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -48,12 +49,12 @@ class Settings:
     dim: int = 16
     hidden: int = 32
     window: int = 32
-    stride: int = 24
-    every: int = 1024
+    stride: int = 28
+    every: int = 2048
     rounds: int = 2
     batch: int = 32
     rate: float = 8e-3
-    top: int = 1 << 16
+    top: int = 1 << 17
     seed: int = 5
 
 
@@ -138,16 +139,29 @@ def hidden(w: dict, x: np.ndarray) -> tuple:
     qkv = (h0.reshape(-1, d) @ w["QKV"]).reshape(n, t, 3 * d)
     q, k, v = qkv[..., :d] * np.float32(d**-0.5), qkv[..., d : 2 * d], qkv[..., 2 * d :]
     a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 30, out=a)  # keeps exp finite without a pass for the maximum
-    a += _MASK[t]
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    c = a @ v
+    _exp(a, _MASK[t])
+    c = a @ np.concatenate([v, np.ones((n, t, 1), np.float32)], axis=2)  # sums come along
+    c, total = c[..., :d] / c[..., d:], c[..., d:]
     # the feed-forward layer sees the last id as it is and what attention made of the context
     both = np.concatenate([h0, c], axis=2)
     r = np.maximum(both.reshape(-1, 2 * d) @ w["A"], 0)
     h = h0.reshape(-1, d) + c.reshape(-1, d) @ w["O"] + r @ w["B"]
-    return h, (x, h0, q, k, v, a, c, both, r)
+    return h, (x, h0, q, k, v, a, total, c, both, r)
+
+
+def _exp(z: np.ndarray, add: np.ndarray) -> None:
+    """exp(z + add) in place; only where numbers would get out of hand are they held down."""
+    z += add
+    if z.size and z.max() > 80:
+        np.minimum(z, 80, out=z)
+    np.exp(z, out=z)
+
+
+def _log_share(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of each row's place ``at``; ``z`` is used up."""
+    _exp(z, bias)
+    picked = z.ravel()[np.arange(len(z)) * z.shape[1] + at]
+    return np.log(np.maximum(picked, 1e-35)) - np.log(np.maximum(z @ np.ones(z.shape[1], np.float32), 1e-35))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -161,34 +175,25 @@ def log_probability(w: dict, leaves: Leaves, s: Settings, h: np.ndarray, y: np.n
     """Natural log probability of rank y[i] after state h[i]."""
     out = np.empty(len(y), np.float64)
     leaf = leaves.leaf[y]
-    for a in range(0, len(y), 4096):
-        z = h[a : a + 4096] @ w["U"]
-        z += w["b"]
-        z -= z.max(axis=1, keepdims=True)
-        picked = z[np.arange(len(z)), leaf[a : a + 4096]]
-        np.exp(z, out=z)
-        out[a : a + 4096] = picked - np.log(z.sum(axis=1))
-    deep = np.flatnonzero(leaves.inside[y] >= 0)
+    for a in range(0, len(y), 2048):
+        out[a : a + 2048] = _log_share(h[a : a + 2048] @ w["U"], w["b"], leaf[a : a + 2048])
+    inside = leaves.inside[y]
+    deep = np.flatnonzero(inside >= 0)
     cluster = (leaf[deep] - s.own).astype(np.int16)
-    by = np.argsort(cluster, kind="stable")
-    deep = deep[by]
+    deep = deep[np.argsort(cluster, kind="stable")]
     edges = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=s.clusters))])
     for c in range(s.clusters):
         size = leaves.sizes[c]
-        for a in range(edges[c], edges[c + 1], 8192):
-            some = deep[a : min(a + 8192, edges[c + 1])]
-            z = h[some] @ w["D"][c, :, :size]
-            z += w["e"][c, :size]
-            z -= z.max(axis=1, keepdims=True)
-            picked = z[np.arange(len(z)), leaves.inside[y[some]]]
-            np.exp(z, out=z)
-            out[some] += picked - np.log(z.sum(axis=1))
+        for a in range(edges[c], edges[c + 1], 2048):
+            some = deep[a : min(a + 2048, edges[c + 1])]
+            out[some] += _log_share(h[some] @ w["D"][c, :, :size], w["e"][c, :size], inside[some])
     return out
 
 
 def gradients(w: dict, leaves: Leaves, s: Settings, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[dict, float]:
     """Gradients of the mean loss over real targets, and the loss."""
-    h, (x, h0, q, k, v, a, c, both, r) = hidden(w, x)
+    h, (x, h0, q, k, v, a, sums, c, both, r) = hidden(w, x)
+    a /= sums
     n, t = x.shape
     d = s.dim
     target, mask = y.ravel(), real.ravel().astype(np.float32)
@@ -275,25 +280,27 @@ class Model:
         sizes = np.fromiter(map(len, texts_ids), np.int64, len(texts_ids))
         flat = np.concatenate(texts_ids)
         begins = np.cumsum(sizes) - sizes
-        y = self.leaves.rank[flat]
-        x = np.concatenate([[0], y[:-1]])
+        y = self.leaves.rank[flat].astype(np.int32)
+        x = np.concatenate([[0], y[:-1]]).astype(np.int32)
         x[begins] = s.known + 1
         count = 1 + np.maximum(0, -(-(sizes - s.window) // s.stride))
         owner = np.repeat(np.arange(len(sizes)), count)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        start = begins[owner] + number * s.stride
+        start = (begins[owner] + number * s.stride).astype(np.int32)
         left = np.minimum(s.window, sizes[owner] - number * s.stride)
         skip = np.where(number > 0, s.window - s.stride, 0)
-        column = np.arange(s.window)
+        column = np.arange(s.window, dtype=np.int32)
         states, where = [], []
-        for a in range(0, len(owner), 128):
-            some = slice(a, a + 128)
+        x = np.concatenate([x, np.zeros(s.window, x.dtype)])
+        for a in range(0, len(owner), 64):
+            some = slice(a, a + 64)
             at = start[some, None] + column
-            h, _ = hidden(self.weights, x[np.minimum(at, len(x) - 1)])
-            real = (column < left[some, None]) & (column >= skip[some, None])
-            states.append(h[real.ravel()])
-            where.append(at[real])
-        found, place = log_probability(self.weights, self.leaves, s, np.concatenate(states), y[np.concatenate(where)]), np.concatenate(where)
+            h, _ = hidden(self.weights, x[at])
+            real = np.flatnonzero((column < left[some, None]) & (column >= skip[some, None]))
+            states.append(h[real])
+            where.append(at.ravel()[real])
+        place = np.concatenate(where)
+        found = log_probability(self.weights, self.leaves, s, np.concatenate(states), y[place])
         each = np.empty(len(flat))
         each[place] = found / np.log(10)
         return np.add.reduceat(each + self.leaves.share[flat], begins)
@@ -354,6 +361,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _least_count(counts: DataFrame, most: int) -> int:
+    """A count that ``most`` words at most reach; the driver sees a histogram of a few hundred classes only."""
+    step = F.floor(F.log2("n") * 16)
+    found = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+    least, words = 1 << 62, 0
+    for r in found:
+        words += r["words"]
+        if words > most:
+            break
+        least = r["n"]
+    return least
+
+
 def gather(tokens: DataFrame, s: Settings) -> DataFrame:
     """Of the training rows: for every id its count and neighbour profile (``id``, ``n``, ``data``), summed by task,
     and windows of ids (``id`` null)."""
@@ -368,17 +388,17 @@ def gather(tokens: DataFrame, s: Settings) -> DataFrame:
             sizes = [len(x) for x in batch.column(0).to_pylist()]
             every = batch.column(0).to_pylist()
             for a, b in spans_by_size(sizes, BLOCK_BYTES):
-                windows = []
                 flat = np.frombuffer(b"".join(every[a:b]), "<u2").astype(np.int64)
                 count += np.bincount(flat, minlength=s.vocabulary)
                 for k in range(s.profile):
                     profile[k, :] += np.bincount(flat[:-1], r[k, flat[1:]], s.vocabulary)
                     profile[s.profile + k, :] += np.bincount(flat[1:], r[k, flat[:-1]], s.vocabulary)
-                for raw in every[a:b]:
-                    ids = np.frombuffer(raw, "<u2").astype("<i4")
-                    for at in range(0, len(ids), s.every):
-                        # the id before the window (or the start, -1) is its first input
-                        windows.append(np.concatenate([[ids[at - 1] if at else -1], ids[at : at + s.window]]).astype("<i4").tobytes())
+                # windows lie ``every`` ids apart, whatever texts they fall in, and end with their text
+                ends = np.cumsum([n // 2 for n in sizes[a:b]])
+                at = np.arange(0, len(flat), s.every)
+                stop = np.minimum(at + s.window, ends[np.searchsorted(ends, at, side="right")])
+                fresh = np.isin(at, np.append(0, ends))  # a text's first id comes after its start, -1
+                windows = [np.concatenate([[-1 if new else flat[i - 1]], flat[i:j]]).astype("<i4").tobytes() for i, j, new in zip(at.tolist(), stop.tolist(), fresh.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.int32()), pa.nulls(len(windows), pa.int64()), pa.array(windows, pa.binary())], ["id", "n", "data"])
         seen = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(count[seen]), pa.array([x.tobytes() for x in profile[:, seen].T.astype("<f4")], pa.binary())], ["id", "n", "data"])
@@ -470,7 +490,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     counts = materialize(word_counts(rows), "lm-words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bottom = float(np.log10(n + 0.5 * (v + 1)))
-    known = {r[0].encode(): r[1] for r in counts.orderBy(F.desc("n"), "word").limit(s.top).collect()}
+    known = {r[0].encode(): r[1] for r in counts.where(F.col("n") >= _least_count(counts, s.top)).collect()}
     tokens = materialize(tokenize(rows, path, s), "lm-tokens")
     model = learn(tokens, s)
     handed = spark.sparkContext.broadcast((model.weights, model.leaves, known))
@@ -485,23 +505,21 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             texts = text_bytes(batch.column(1))
             ids = batch.column(3).to_pylist()
-            for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
+            for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES // 4):
                 some = texts[a:b]
                 scores = mine.score([np.frombuffer(x, "<u2").astype(np.int64) for x in ids[a:b]])
                 n_tokens, n_known, base, rare = [], [], [], []
                 for text in some:
                     each = Counter(lower_bytes(text).split())
-                    sum_, hits, left, total = float(np.log10(end + 0.5)), int(end > 0), [], 1
-                    for w, k in each.items():
-                        total += k
-                        if (x := logs.get(w)) is None:
-                            left.append((w.decode("utf-8", "replace"), k))
-                        else:
-                            sum_ += k * x
-                            hits += k
-                    n_tokens.append(total)
-                    n_known.append(hits)
-                    base.append(sum_)
+                    times, found, left = list(each.values()), list(map(logs.get, each)), []
+                    total = hits = sum(times)
+                    if None in found:
+                        left = [(w.decode("utf-8", "replace"), k) for w, k, x in zip(each, times, found) if x is None]
+                        hits -= sum(k for _, k in left)
+                        found = [x or 0.0 for x in found]
+                    n_tokens.append(total + 1)
+                    n_known.append(hits + (end > 0))
+                    base.append(sum(map(mul, times, found), float(np.log10(end + 0.5))))
                     rare.append(left)
                 kind_rare = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
                 arrays = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(scores), pa.array([[{"word": w, "k": k} for w, k in x] for x in rare], kind_rare)]
