@@ -13,7 +13,7 @@ import numpy as np
 
 from strandwork.llm._common import RangeHash
 
-LIMIT = 500_000
+LIMIT = 1_000_000
 
 
 def flat_index(first: np.ndarray, length: np.ndarray) -> np.ndarray:

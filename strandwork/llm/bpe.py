@@ -30,7 +30,7 @@ from strandwork.llm._spans import SpanTable, flat_index
 _UNUSUAL = re.compile(r"[^\x00-\u017f]|[\x1c-\x1f\x85\xa0]")
 _PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_BYTES = 1 << 21
-PRETOKENS = 150_000
+PRETOKENS = 300_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _C2_SPACE = np.zeros(256, bool)  # U+0085 and U+00A0

@@ -27,7 +27,7 @@ from strandwork.llm._common import materialize, spans_by_size, text_bytes
 from strandwork.llm._spans import SpanTable
 
 BLOCK_BYTES = 1 << 21
-PRETOKENS = 150_000
+PRETOKENS = 300_000
 #: Characters for which lower case, composition and classes are plain and the same in every Unicode version.
 _UNUSUAL = re.compile(r"[^\x09\x0a\x0d\x20-\x7e\xa1-\u017f]|<\|")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
