@@ -156,5 +156,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", limits: Limits = DEFAULT)
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(np.concatenate(kept)))
 
     # columns go by position in there, so that clashing names don't matter
-    plain = docs.select("*", F.col(text_col).alias("__text"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).select("*", F.col(names[docs.columns.index(text_col)]).alias("text"))
     return plain.mapInArrow(run, docs.schema)
