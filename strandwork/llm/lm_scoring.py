@@ -8,9 +8,9 @@ counts. ``score`` is the sum of log10 p(id | context) over a text's ids and its
 sequences. Texts are cut in overlapping context windows and every id is scored once, with the window that gives it
 the most context, in batches under a causal mask.
 
-Training. Counts and neighbour profiles cover every training text in full. Windows lie ``every`` ids apart over
-all training texts; the tasks that hold them each take gradient steps from common weights, and the weights are averaged,
-for ``rounds`` rounds: what is gathered grows with the corpus, the model doesn't.
+Training. Counts and neighbour profiles cover every training text in full, and so do windows: each id of a training
+text is the target of one window a round. The tasks that hold the texts each take gradient steps from common weights,
+and the weights are averaged, for ``rounds`` rounds: steps grow with the corpus, the model doesn't.
 
 The base score is a unigram model over words; its counts cover every training text. The ``top`` most frequent words
 travel to the tasks as a table (a fixed bound); all other words of all texts meet their counts in a join.
@@ -50,7 +50,6 @@ class Settings:
     hidden: int = 32
     window: int = 32
     stride: int = 28
-    every: int = 2048
     rounds: int = 2
     batch: int = 32
     rate: float = 8e-3
@@ -375,8 +374,7 @@ def _least_count(counts: DataFrame, most: int) -> int:
 
 
 def gather(tokens: DataFrame, s: Settings) -> DataFrame:
-    """Of the training rows: for every id its count and neighbour profile (``id``, ``n``, ``data``), summed by task,
-    and windows of ids (``id`` null)."""
+    """Of the training rows: for every id its count and neighbour profile (``id``, ``n``, ``data``), summed by task."""
 
     def run(batches):
         import pyarrow as pa
@@ -393,19 +391,19 @@ def gather(tokens: DataFrame, s: Settings) -> DataFrame:
                 for k in range(s.profile):
                     profile[k, :] += np.bincount(flat[:-1], r[k, flat[1:]], s.vocabulary)
                     profile[s.profile + k, :] += np.bincount(flat[1:], r[k, flat[:-1]], s.vocabulary)
-                # windows lie ``every`` ids apart, whatever texts they fall in, and end with their text
-                ends = np.cumsum([n // 2 for n in sizes[a:b]])
-                at = np.arange(0, len(flat), s.every)
-                stop = np.minimum(at + s.window, ends[np.searchsorted(ends, at, side="right")])
-                fresh = np.isin(at, np.append(0, ends))  # a text's first id comes after its start, -1
-                windows = [np.concatenate([[-1 if new else flat[i - 1]], flat[i:j]]).astype("<i4").tobytes() for i, j, new in zip(at.tolist(), stop.tolist(), fresh.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.int32()), pa.nulls(len(windows), pa.int64()), pa.array(windows, pa.binary())], ["id", "n", "data"])
         seen = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(count[seen]), pa.array([x.tobytes() for x in profile[:, seen].T.astype("<f4")], pa.binary())], ["id", "n", "data"])
 
     return tokens.where("not held_out").select("ids").mapInArrow(run, "id int, n bigint, data binary")
 
 
+def windows_of(ranks: np.ndarray, s: Settings) -> list[np.ndarray]:
+    """Windows of a text's ranks, one rank longer than they are wide: each rank is a target once, the first after the
+    start."""
+    line = np.concatenate([np.asarray([s.known + 1], ranks.dtype), ranks])
+    return [line[a : a + s.window + 1] for a in range(0, len(ranks), s.window)]
+
+
 def learn(tokens: DataFrame, s: Settings = Settings()) -> Model:
     """The model of the training rows of ``tokens`` (from ``tokenize``)."""
     spark = tokens.sparkSession
@@ -416,7 +414,7 @@ def learn(tokens: DataFrame, s: Settings = Settings()) -> Model:
         count[i], profile[i] = n, np.frombuffer(data, "<f4")
     leaves = arrange(count, profile, s)
     weights = draw(s, leaves, count)
-    windows = seen.where("id is null").select("data")
+    texts = tokens.where("not held_out").select("ids")
     for k in range(s.rounds):
         handed = spark.sparkContext.broadcast((weights, leaves))
 
@@ -424,13 +422,13 @@ def learn(tokens: DataFrame, s: Settings = Settings()) -> Model:
             import pyarrow as pa
 
             w, leaves = handed.value
-            rank = np.append(leaves.rank, s.known + 1)  # -1, the start, is the last
-            mine = [rank[np.frombuffer(x, "<i4")] for batch in batches for x in batch.column(0).to_pylist()]
+            rank = leaves.rank.astype(np.int32)
+            mine = [x for batch in batches for ids in batch.column(0).to_pylist() for x in windows_of(rank[np.frombuffer(ids, "<u2")], s)]
             if mine:
                 w = train_on(w, leaves, mine, s, s.seed + k, s.rate / (1 + k))
                 yield pa.RecordBatch.from_arrays([pa.array(list(w)), pa.array([len(mine)] * len(w), pa.int64()), pa.array([v.astype("<f4").tobytes() for v in w.values()], pa.binary())], ["name", "n", "data"])
 
-        weights = _averaged(windows.mapInArrow(run, "name string, n bigint, data binary"), weights)
+        weights = _averaged(texts.mapInArrow(run, "name string, n bigint, data binary"), weights)
         handed.unpersist()
     return Model(weights, leaves, s)
 
@@ -476,7 +474,7 @@ def _summed(seen: DataFrame):
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1].astype("<f4").tobytes() for v in total.values()], pa.binary())], ["id", "n", "data"])
 
     parts = max(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return seen.where("id is not null").repartition(parts, "id").mapInArrow(run, "id int, n bigint, data binary").toLocalIterator()
+    return seen.repartition(parts, "id").mapInArrow(run, "id int, n bigint, data binary").toLocalIterator()
 
 
 # --- scoring ------------------------------------------------------------------------------------------
