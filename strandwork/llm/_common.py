@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of the machine only where none
+    is set and everything runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="strandwork-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -37,6 +41,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted when what they led to has been written (``drop``)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = path, made
+        return made
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the files of some tables, of all by default; nothing that is still to be computed may read them."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for key in [id(f) for f in frames] or list(self.paths):
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(key)[0])
+            path.getFileSystem(conf).delete(path, True)
+
+
+#: Bytes to an Arrow batch: what a Python worker holds doesn't grow with the number of rows or with their texts' mean
+#: length (a single longer text is a batch of its own).
+BATCH_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def lower_ascii(col):
     """A-Z to a-z, nothing else (``lower`` would fold other scripts as well)."""
     return F.translate(col, UPPER, LOWER)
@@ -91,7 +127,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of any byte range of a buffer in constant time each."""
+    """Hashes of any byte range of a buffer in constant time each.
+
+    Ranges with equal bytes have equal hashes. The converse fails for some very regular bytes (sums modulo a power of
+    two cancel), so whoever needs equality compares bytes (``equal_ranges``).
+    """
 
     def __init__(self, buf: np.ndarray):
         up, self.down = powers(len(buf) + 1)
@@ -100,3 +140,33 @@ class RangeHash:
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+def flat_index(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``first[i], first[i]+1, ...`` (``length[i]`` of them) for every i, in one array."""
+    total = int(length.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(length)
+    return np.arange(total) + np.repeat(first - (ends - length), length)
+
+
+def equal_ranges(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A number for each range ``buf[starts[i]:stops[i]]``, the same for those with the same bytes: hashes say which may
+    be equal, the bytes decide."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    _, first, number = np.unique(RangeHash(buf)(starts, stops), return_index=True, return_inverse=True)
+    like = first[number]
+    length = stops - starts
+    wrong = length != length[like]
+    if not wrong.any():
+        for a, b in spans_by_size(length.tolist(), 1 << 19) if int(length.sum()) > 1 << 21 else [(0, len(starts))]:
+            some = slice(a, b)
+            if (buf[flat_index(starts[some], length[some])] != buf[flat_index(starts[like[some]], length[some])]).any():
+                wrong = None
+                break
+    if wrong is None or wrong.any():
+        raw, seen = buf.tobytes(), {}
+        number = np.asarray([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), stops.tolist())], np.int64)
+    return number

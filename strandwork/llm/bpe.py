@@ -1,11 +1,12 @@
 """BPE encoding and decoding by a pair occurrence index.
 
 A text falls into chunks where one space or line feed stands between two visible characters: no pre-token crosses
-such a place, so chunks can be encoded apart and, being mostly words, once each. The new chunks of a batch are
-encoded together: an index maps each pair of neighbouring symbols to all its positions in the batch; active ranks
-are taken in ascending order (a merge only makes pairs of higher rank), all positions of a pair are merged, and the
-lists of the neighbouring pairs are updated. Chunk results are kept in a bounded table that is emptied when full,
-which changes speed only. Decoding looks up the bytes of each id.
+such a place, so chunks can be encoded apart and, being mostly words, once each; plain ASCII chunks are cut into their
+pre-tokens at once. The strings of a partition that weren't met before are encoded together, block by block (300,000
+bytes of new strings at most, so that memory is bounded): an index maps each pair of neighbouring symbols to all its
+positions in the block; active ranks are taken in ascending order (a merge only makes pairs of higher rank), all
+positions of a pair are merged, and the lists of the neighbouring pairs are updated. Results are kept in a table of
+bounded bytes that is emptied when full, which changes speed only. Decoding looks up the bytes of each id.
 
 Edge cases: null and empty texts give no ids; special tokens written in a text become their ids, as the tokenizers
 library does by default; rows are independent, so repeated rows and ties get equal answers; an empty table gives an
@@ -23,14 +24,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import spans_by_size, text_bytes
-from strandwork.llm._spans import SpanTable, flat_index
+from strandwork.llm._common import arrow_map, flat_index, spans_by_size, text_bytes
+from strandwork.llm._spans import SpanTable
 
 #: Below U+0180, letters and numbers are the same in every Unicode version; beyond, the library splits.
 _UNUSUAL = re.compile(r"[^\x00-\u017f]|[\x1c-\x1f\x85\xa0]")
 _PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 1 << 21
-PRETOKENS = 300_000
+BLOCK_BYTES = 1 << 20
+#: Bytes by class: 1 letters, 2 digits, 3 other visible characters, 0 what may come before a chunk, 4 all others.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[[0x20, 0x0A]] = 0
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[ord("'")] = 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _C2_SPACE = np.zeros(256, bool)  # U+0085 and U+00A0
@@ -79,7 +86,6 @@ class PairIndexBPE:
 
         self.split = regex.compile(_PRETOKEN).findall
         self.table = SpanTable(self._learn, np.uint32)
-        self.pretokens: dict[bytes, list[int]] = {}
         sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.size_of, self.at_of = sizes, np.cumsum(sizes) - sizes
         self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
@@ -135,17 +141,16 @@ class PairIndexBPE:
             return [bytes(map(self.to_byte.__getitem__, p)) for p, _ in self.pre.pre_tokenize_str(text)]
         return [p.encode() for p in self.split(text)]
 
-    def _learn(self, chunks: list[bytes]) -> list[np.ndarray]:
-        out = []
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        values, counts = [np.zeros(0, np.uint32)], []
         for a, b in spans_by_size([len(c) for c in chunks], 300_000):
             pieces = [self._pretokenize(c) for c in chunks[a:b]]
-            known = self.pretokens
-            if len(known) > PRETOKENS:
-                known.clear()
-            fresh = list({p for ps in pieces for p in ps if p not in known})
-            known.update(zip(fresh, self.encode_pretokens(fresh)))
-            out += [known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for ps in pieces]
-        return out
+            fresh = list({p for ps in pieces for p in ps})
+            known = dict(zip(fresh, self.encode_pretokens(fresh)))
+            made = [known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for ps in pieces]
+            counts += map(len, made)
+            values.append(np.fromiter((i for ids in made for i in ids), np.uint32))
+        return np.concatenate(values), np.asarray(counts, np.int64)
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
@@ -177,6 +182,14 @@ class PairIndexBPE:
                     cut[at] = cut[at + len(mark)] = True
                     special[at] = i
                 at = raw.find(mark, at + (len(mark) if at in special else 1))
+        # plain chunks are cut further, between runs of letters, digits and signs and after a line feed
+        kind = _CLASS[buf]
+        odd = (kind == 4) | ((kind == 0) & ~cut[:-1])
+        odd[list(special)] = True
+        edges = np.flatnonzero(cut)
+        whole = np.unique(np.searchsorted(edges, np.flatnonzero(odd), side="right") - 1)
+        cut[1:n] |= ((kind[1:] != kind[:-1]) & (kind[:-1] > 0)) | (buf[:-1] == 0x0A)
+        cut[flat_index(edges[whole] + 1, edges[whole + 1] - edges[whole] - 1)] = False
         edges = np.flatnonzero(cut)
         starts, stops = edges[:-1], edges[1:]
         if special:
@@ -238,4 +251,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(x) // 4 for x in ids], pa.int64()), *(made[o]() for o in outputs)], ["id", "n_tokens", *outputs])
 
     schema = f"id {id_kind}, n_tokens bigint" + "".join(f", {o} {kinds[o]}" for o in outputs)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema).withColumnRenamed("id", id_col)

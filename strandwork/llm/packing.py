@@ -23,11 +23,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import materialize, spans_by_size, text_bytes
+from strandwork.llm._common import arrow_map, flat_index, lower_bytes, materialize, spans_by_size, text_bytes
 from strandwork.llm._spans import SpanTable
 
-BLOCK_BYTES = 1 << 21
-PRETOKENS = 300_000
+BLOCK_BYTES = 1 << 19
+#: Bytes by class: 1 letters, 2 digits, 3 other visible characters, 0 what parts chunks, 4 what the pattern below or the
+#: library has to see in its chunk.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[[0x20, 0x0A]] = 0
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[ord("'")] = 4
 #: Characters for which lower case, composition and classes are plain and the same in every Unicode version.
 _UNUSUAL = re.compile(r"[^\x09\x0a\x0d\x20-\x7e\xa1-\u017f]|<\|")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
@@ -35,9 +42,11 @@ _ENCODERS: dict = {}
 
 
 class ChunkEncoder:
-    """``tokenizers`` over the blank-separated chunks of a text, each distinct chunk once.
+    """``tokenizers`` over the words and runs of signs of a text, each distinct one once.
 
-    For vocabularies that drop white space: there no token depends on what stands beyond a space or line feed.
+    For vocabularies that drop white space: there no token depends on what stands beyond a space or line feed, nor, in
+    plain ASCII, on what stands beyond the run of letters, the digit or the run of other signs. Chunks between spaces that
+    aren't plain are kept whole and cut by pattern, those with unusual characters or special tokens by the library.
     """
 
     def __init__(self, path: str):
@@ -53,44 +62,61 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.table = SpanTable(self._learn, np.uint32)
-        self.pretokens: dict[str, np.ndarray] = {}
 
     def _library(self, strings: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for a, b in spans_by_size([len(c) for c in chunks], 400_000):
-            out += self._learn_some([c.decode("utf-8", "replace") for c in chunks[a:b]])
-        return out
-
-    def _learn_some(self, chunks: list[str]) -> list[np.ndarray]:
-        rare = [c for c in chunks if _UNUSUAL.search(c)]
-        made = dict(zip(rare, self._library(rare)))
-        pieces = {c: _PRETOKEN.findall(c.lower()) for c in chunks if c not in made}
-        known = self.pretokens
-        if len(known) > PRETOKENS:
-            known.clear()
-        fresh = list({p for ps in pieces.values() for p in ps if p not in known})
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = [self._learn_some([c.decode("utf-8", "replace") for c in chunks[a:b]]) for a, b in spans_by_size([len(c) for c in chunks], 400_000)]
+        return (np.concatenate([x for x, _ in made]), np.concatenate([n for _, n in made])) if made else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _learn_some(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rare = [i for i, c in enumerate(chunks) if _UNUSUAL.search(c)]
+        own = dict(zip(rare, self._library([chunks[i] for i in rare])))
+        pieces = [[] if i in own else _PRETOKEN.findall(c.lower()) for i, c in enumerate(chunks)]
+        number: dict[str, int] = {}
+        of = np.asarray([number.setdefault(p, len(number)) for ps in pieces for p in ps], np.int64)
+        fresh = list(number)
         # one call for many words: the last token of each is marked as a word's end
         ids = np.asarray(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(fresh):
-            known.update(zip(fresh, np.split(ids, stops[:-1]))) if fresh else None
-        else:  # a vocabulary without such marks
-            known.update(zip(fresh, self._library(fresh)))
-        for c, ps in pieces.items():
-            made[c] = known[ps[0]] if len(ps) == 1 else np.concatenate([np.zeros(0, np.uint32), *(known[p] for p in ps)])
-        return [made[c] for c in chunks]
+        if len(stops) != len(fresh):  # a vocabulary without such marks
+            found = self._library(fresh)
+            ids, stops = np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([len(x) for x in found], dtype=np.int64)
+        sizes = np.diff(stops, prepend=0)
+        values = ids[flat_index((stops - sizes)[of], sizes[of])]
+        last = np.cumsum(np.asarray([len(ps) for ps in pieces], np.int64))
+        upto = np.concatenate([[0], np.cumsum(sizes[of])])
+        counts = np.diff(upto[last], prepend=0)
+        if own:
+            parts = np.split(values, np.cumsum(counts)[:-1])
+            for i, x in own.items():
+                parts[i] = x
+                counts[i] = len(x)
+            values = np.concatenate(parts)
+        return values, counts
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        gaps = np.flatnonzero((buf == 0x20) | (buf == 0x0A))
-        starts = np.concatenate([[0], gaps[:-1] + 1])
-        full = gaps > starts
-        starts, stops = starts[full], gaps[full]
-        ids, counts = self.table.lookup(buf, starts, stops)
+        kind = _CLASS[buf]
+        before = np.concatenate([[0], kind[:-1]]).astype(np.uint8)
+        cut = (kind != before) | (kind == 2)
+        # chunks that aren't plain are taken whole
+        odd = kind == 4
+        odd[:-1] |= (buf[:-1] == 0x3C) & (buf[1:] == 0x7C)
+        begins, ends = np.flatnonzero((kind > 0) & (before == 0)), np.flatnonzero((kind == 0) & (before > 0))
+        whole = np.unique(np.searchsorted(begins, np.flatnonzero(odd), side="right") - 1)
+        inside = flat_index(begins[whole], ends[whole] - begins[whole])
+        cut[inside] = before[inside] == 0
+        # plain chunks in small letters, so that there are fewer strings to learn
+        low = np.frombuffer(lower_bytes(buf.tobytes()), np.uint8).copy()
+        low[inside] = buf[inside]
+        edges = np.flatnonzero(cut)
+        stops = np.append(edges[1:], len(buf))
+        real = kind[edges] > 0
+        starts, stops = edges[real], stops[real]
+        ids, counts = self.table.lookup(low, starts, stops)
         text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         done = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, text_ends)]
         raw = ids.astype("<u4", copy=False).tobytes()
@@ -131,7 +157,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(cut, pa.binary())] * keep_ids, ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

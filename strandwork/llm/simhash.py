@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import lower_bytes, spans_by_size, text_bytes
+from strandwork.llm._common import arrow_map, lower_bytes, spans_by_size, text_bytes
 from strandwork.llm.components import components
 
 MAX_BITS = 4
@@ -80,7 +80,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(fingerprints_of(texts[a:b], words).view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
 
 
 # --- the code -----------------------------------------------------------------------------------------
@@ -230,9 +230,9 @@ def _emit_keys(batches):
 def links(prints: DataFrame) -> DataFrame:
     """``src, dst``: links between distinct values of ``prints.fp``, enough of them to give every component whole."""
     distinct = prints.select("fp").where("fp is not null").distinct()
-    keyed = distinct.mapInArrow(_emit_keys, "key bigint, fp bigint")
+    keyed = arrow_map(distinct, _emit_keys, "key bigint, fp bigint")
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links, "src bigint, dst bigint").distinct()
+    return arrow_map(keyed.repartition(n, "key").sortWithinPartitions("key"), _links, "src bigint, dst bigint").distinct()
 
 
 def classes(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:

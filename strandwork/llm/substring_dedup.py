@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import RangeHash, spans_by_size, text_bytes
+from strandwork.llm._common import RangeHash, arrow_map, spans_by_size, text_bytes
 from strandwork.llm.suffix_array import suffix_array
 
 LENGTH = 200
@@ -305,11 +305,11 @@ def cut_texts(texts: DataFrame, with_text: bool) -> DataFrame:
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     distinct = texts.select(*_keys(F.col("text")), "text").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.max("text").alias("text"))
     # all three readers of it take the same columns, so that the texts are shuffled once
-    found = distinct.mapInArrow(_emit_anchors, "h bigint, c bigint, k1 bigint, k2 bigint, pos bigint")
-    judged = found.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_judge, "k1 bigint, k2 bigint, h bigint, c bigint, pos bigint, role bigint")
+    found = arrow_map(distinct, _emit_anchors, "h bigint, c bigint, k1 bigint, k2 bigint, pos bigint")
+    judged = arrow_map(found.repartition(parts, "h").sortWithinPartitions("h", "c"), _judge, "k1 bigint, k2 bigint, h bigint, c bigint, pos bigint, role bigint")
     per_text = judged.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "pos", "role")).alias("found"))
-    contexts = distinct.join(per_text, ["k1", "k2"]).select("k1", "k2", "copies", "text", "found").mapInArrow(_extract, "h bigint, k1 bigint, k2 bigint, pos bigint, left bigint, size bigint, context binary")
-    runs = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_compare, "k1 bigint, k2 bigint, start bigint, stop bigint")
+    contexts = arrow_map(distinct.join(per_text, ["k1", "k2"]).select("k1", "k2", "copies", "text", "found"), _extract, "h bigint, k1 bigint, k2 bigint, pos bigint, left bigint, size bigint, context binary")
+    runs = arrow_map(contexts.repartition(parts, "h").sortWithinPartitions("h"), _compare, "k1 bigint, k2 bigint, start bigint, stop bigint")
     runs = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
     def cut(batches):
@@ -331,7 +331,7 @@ def cut_texts(texts: DataFrame, with_text: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names)
 
     schema = "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
-    return distinct.join(runs, ["k1", "k2"], "left").select("k1", "k2", "copies", "text", "runs").mapInArrow(cut, schema)
+    return arrow_map(distinct.join(runs, ["k1", "k2"], "left").select("k1", "k2", "copies", "text", "runs"), cut, schema)
 
 
 def cut_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

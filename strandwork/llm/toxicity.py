@@ -22,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import lower_bytes, spans_by_size, text_bytes
-from strandwork.llm._spans import SpanTable, flat_index
+from strandwork.llm._common import arrow_map, flat_index, lower_bytes, spans_by_size, text_bytes
+from strandwork.llm._spans import SpanTable
 
 _STRIP = b".,;:!?\"'()[]{}"
 BLOCK_BYTES = 1 << 20
@@ -141,7 +141,7 @@ class Scorer:
     def __init__(self, model_logits: np.ndarray, offset: float, s: Settings):
         self.s, self.offset = s, offset
         # whole numbers, so that sums don't depend on what else a buffer holds
-        self.table = SpanTable(lambda words: list(np.rint([[ONE * model_logits[grams(w, s)].mean()] for w in words]).astype(np.int64)), np.int64)
+        self.table = SpanTable(lambda words: (np.rint([ONE * model_logits[grams(w, s)].mean() for w in words]).astype(np.int64), np.ones(len(words), np.int64)), np.int64)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each text."""
@@ -190,4 +190,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(scorer(texts[a:b]))], ["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, score double").withColumnRenamed("id", id_col)
