@@ -4,11 +4,13 @@
 ``normalise`` inflates each such file once, front to back in bounded memory, rewrites every record as a gzip member
 of its own, and writes a sidecar index (record id, offset, length of each member). ``read`` follows the index.
 
-Files lie in a folder that driver and executors share, opened through ``pyarrow.fs`` by its URI. Each is written
-under a name of its own attempt and then moved into place, so a task that runs twice leaves one whole file.
+Files lie in a folder that driver and executors share, opened through ``pyarrow.fs`` by its URI. Each attempt of a task
+writes under names of its own and returns them, so what a lost attempt left behind is never read, and nothing is
+renamed.
 
-Edge cases: null payloads count as empty; ids may repeat (records carry a row number); an empty table makes an
-empty result; memory is bounded by one record and one buffer.
+Edge cases: null payloads count as empty; of rows with equal payloads all those with the smallest id (null ids come
+last) are responses, so repeated rows stay alike; an empty table makes an empty result; memory is bounded by one record
+and one buffer.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.llm._common import arrow_map
+
 CHUNK = 1 << 20
 RESPONSE, REVISIT = "response", "revisit"
 
@@ -107,8 +111,8 @@ def member(raw: bytes) -> bytes:
 
 def normalise_file(files, source: str, target: str, index: str) -> int:
     """Rewrite one archive with a member per record, and its index; how many records it has."""
-    mark, offset, cutter, n = f".{uuid.uuid4().hex}", 0, Records(), 0
-    with files.open_input_stream(source, compression=None) as inp, files.open_output_stream(target + mark, compression=None) as out, files.open_output_stream(index + mark, compression=None) as side:
+    offset, cutter, n = 0, Records(), 0
+    with files.open_input_stream(source, compression=None) as inp, files.open_output_stream(target, compression=None) as out, files.open_output_stream(index, compression=None) as side:
         for data in inflate(inp):
             for raw in cutter.feed(data):
                 part = member(raw)
@@ -118,32 +122,28 @@ def normalise_file(files, source: str, target: str, index: str) -> int:
                 n += 1
     if cutter.rest:
         raise ValueError(f"{source} ends within a record")
-    files.move(index + mark, index)
-    files.move(target + mark, target)
     return n
 
 
 def plan(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
-    """``row, id, url, payload, digest, kind, refers_to``: what to write for each row.
+    """``id, url, payload, again, refers_to``: what to write for each row.
 
-    Of rows with equal payloads the one with the smallest id (then the smallest row number) is the response.
     Payloads are told apart by their SHA-1; only digests and ids are grouped, and a digest that many rows share is
-    reduced before the shuffle.
+    reduced before the shuffle. Nothing depends on how rows are dealt or how often the plan is evaluated.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("sha", F.sha1("payload"))
-    return rows.withColumn("big", F.length("payload") >= least)
+    rows = rows.withColumn("sha", F.sha1("payload"))
+    big = F.length("payload") >= least
+    first = rows.where(big).groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    kind = pages.schema[id_col].dataType.simpleString()
+    return rows.join(first, "sha", "left").select("id", "url", "payload", (big & ~F.col("id").eqNullSafe(F.col("first.id"))).alias("again"), F.col("first.id").cast(kind).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Write the rows of ``pages`` as monolithic gzip archives into ``folder``; gives ``file, records`` (lazily: the
     files are written when it is read)."""
-    rows = plan(pages, id_col, url_col, payload_col, least)
-    kind = pages.schema[id_col].dataType.simpleString()
-    first = rows.where("big").groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    joined = rows.join(first, "sha", "left").select(
-        "row", "id", "url", "payload", (F.col("big") & (F.col("first.row") != F.col("row"))).alias("again"), F.col("first.id").cast(kind).alias("refers_to")
-    )
+    joined = plan(pages, id_col, url_col, payload_col, least)
+    joined = joined.select(F.monotonically_increasing_id().alias("row"), *joined.columns)  # tells records apart, no more
 
     def run(batches):
         import pyarrow as pa
@@ -151,19 +151,18 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         files, path = open_fs(folder)
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         engine, n = zlib.compressobj(1, zlib.DEFLATED, 31), 0
-        with files.open_output_stream(f"{path}/.{name}", compression=None) as out:
+        with files.open_output_stream(f"{path}/{name}", compression=None) as out:
             for batch in batches:
                 for row, page, url, payload, again, refers in zip(*(c.to_pylist() for c in batch.columns)):
                     out.write(engine.compress(response(row, page, url, payload, digest(payload), REVISIT if again else RESPONSE, refers if again else None)))
                     n += 1
             out.write(engine.flush())
         if n:
-            files.move(f"{path}/.{name}", f"{path}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
         else:
-            files.delete_file(f"{path}/.{name}")
+            files.delete_file(f"{path}/{name}")
 
-    return joined.mapInArrow(run, "file string, records bigint")
+    return arrow_map(joined, run, "file string, records bigint")
 
 
 def spread(archives: DataFrame) -> DataFrame:
@@ -181,11 +180,12 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
         files, path = open_fs(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                target, index = f"members-{name}", f"members-{name}.index"
+                target = f"members-{uuid.uuid4().hex}-{name}"
+                index = f"{target}.index"
                 n = normalise_file(files, f"{path}/{name}", f"{path}/{target}", f"{path}/{index}")
                 yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([index]), pa.array([n], pa.int64())], ["file", "index", "records"])
 
-    return archives.select("file").mapInArrow(run, "file string, index string, records bigint")
+    return arrow_map(archives.select("file"), run, "file string, index string, records bigint")
 
 
 def read(archives: DataFrame, folder: str, id_kind: str = "bigint") -> DataFrame:
@@ -231,5 +231,5 @@ def read(archives: DataFrame, folder: str, id_kind: str = "bigint") -> DataFrame
                     yield pack(rows)
 
     schema = "row bigint, page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
-    raw = archives.select("file", "index").mapInArrow(run, schema)
+    raw = arrow_map(archives.select("file", "index"), run, schema)
     return raw.withColumns({c: F.col(c).cast(id_kind) for c in ("page_id", "refers_to")})
