@@ -18,14 +18,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import RangeHash, mix, spans_by_size, text_bytes
+from strandwork.llm._common import arrow_map, equal_ranges, mix, spans_by_size, text_bytes
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
 _STEP = 0xD6E8FEB86659FD93
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,6 @@ def measure_block(texts: list[bytes], limits: Limits = DEFAULT) -> dict[str, np.
     doc = np.searchsorted(ends, starts, side="right")
     chars = np.concatenate([[0], np.cumsum(word_byte & ((buf & 0xC0) != 0x80), dtype=np.int64)])
     width = chars[stops] - chars[starts]
-    hashed = RangeHash(buf)
     out = {"n_words": np.bincount(doc, minlength=n), "word_chars": np.bincount(doc, width, n).astype(np.int64), "n_symbols": per_text(_IS_SYMBOL[buf])}
     total = np.maximum(out["word_chars"], 1)
 
@@ -89,14 +88,14 @@ def measure_block(texts: list[bytes], limits: Limits = DEFAULT) -> dict[str, np.
     full = line_chars > 0
     line_start, line_end, line_chars = line_start[full], feeds[full], line_chars[full]
     line_doc = np.searchsorted(ends, line_start, side="right")
-    key = hashed(line_start, line_end) ^ mix(line_doc.astype(np.uint64) + np.uint64(1))
+    key = line_doc * len(buf) + equal_ranges(buf, line_start, line_end)
     again = np.ones(len(key), bool)
     again[np.unique(key, return_index=True)[1]] = False
     out["n_dup_lines"] = np.bincount(line_doc[again], minlength=n)
     out["line_share"] = np.bincount(line_doc, line_chars * _repeated(key), n) / total
 
-    # n-grams of words
-    word = hashed(starts, stops)
+    # n-grams of words; equal words have equal numbers, so only rolling hashes of up to ten of them can collide
+    word = mix(equal_ranges(buf, starts, stops).astype(np.uint64) + np.uint64(1))
     salt = mix(doc.astype(np.uint64) + np.uint64(1))
     shares = dict(limits.ngram_share)
     rolling, scale, m = np.zeros(len(word), np.uint64), 1, len(word)
@@ -140,22 +139,22 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(got[k]) for k in names)], ["id", *names])
 
     schema = f"id {kind}, " + ", ".join([*(f"{k} bigint" for k in COUNTS), *(f"{k} double" for k in extra), "base_failed boolean", "kept boolean"])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", limits: Limits = DEFAULT) -> DataFrame:
     """The rows of ``docs`` whose text passes, with all their columns. Nothing is shuffled."""
 
+    place = docs.columns.index(text_col)
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = text_bytes(batch.column(batch.num_columns - 1))
+            texts = text_bytes(batch.column(place))
             kept = [measure_block(texts[a:b], limits)["kept"] for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES)]
             if kept:
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(np.concatenate(kept)))
+                yield batch.filter(pa.array(np.concatenate(kept)))
 
     # columns go by position in there, so that clashing names don't matter
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names).select("*", F.col(names[docs.columns.index(text_col)]).alias("text"))
-    return plain.mapInArrow(run, docs.schema)
+    return arrow_map(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), run, docs.schema)
