@@ -9,8 +9,9 @@ sequences. Texts are cut in overlapping context windows and every id is scored o
 the most context, in batches under a causal mask.
 
 Training. Counts and neighbour profiles cover every training text in full, and so do windows: each id of a training
-text is the target of one window a round. The tasks that hold the texts each take gradient steps from common weights,
-and the weights are averaged, for ``rounds`` rounds: steps grow with the corpus, the model doesn't.
+text is the target of exactly one window, in one of ``rounds`` rounds (texts take turns). In a round the tasks that hold
+its texts each take gradient steps from common weights, block of texts by block of texts, and the weights are averaged:
+steps grow with the corpus, the model and a task's memory don't.
 
 The base score is a unigram model over words; its counts cover every training text. The ``top`` most frequent words
 travel to the tasks as a table (a fixed bound); all other words of all texts meet their counts in a join.
@@ -31,10 +32,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import lower_bytes, materialize, spans_by_size, text_bytes
+from strandwork.llm._common import arrow_map, lower_bytes, materialize, spans_by_size, text_bytes
 from strandwork.llm.packing import encoder
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 END_WORD = "\n"  # no word has a line feed
 
 
@@ -49,11 +50,13 @@ class Settings:
     dim: int = 16
     hidden: int = 32
     window: int = 32
-    stride: int = 28
-    rounds: int = 2
-    batch: int = 32
-    rate: float = 8e-3
+    stride: int = 24
+    rounds: int = 3
+    batch: int = 128  # windows to a gradient step
+    block: int = 1 << 18  # ids whose windows are shuffled together
+    rate: float = 1e-2
     top: int = 1 << 17
+    longest: int = 64  # bytes of a word in the table of frequent words
     seed: int = 5
 
 
@@ -163,13 +166,6 @@ def _log_share(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(picked, 1e-35)) - np.log(np.maximum(z @ np.ones(z.shape[1], np.float32), 1e-35))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
 def log_probability(w: dict, leaves: Leaves, s: Settings, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of rank y[i] after state h[i]."""
     out = np.empty(len(y), np.float64)
@@ -189,39 +185,45 @@ def log_probability(w: dict, leaves: Leaves, s: Settings, h: np.ndarray, y: np.n
     return out
 
 
-def gradients(w: dict, leaves: Leaves, s: Settings, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[dict, float]:
-    """Gradients of the mean loss over real targets, and the loss."""
+def _weighted(z: np.ndarray, bias: np.ndarray, weight: np.ndarray, at: np.ndarray) -> None:
+    """In place: ``weight`` times (softmax of each row, less one at its place ``at``)."""
+    _exp(z, bias)
+    z *= (weight / np.maximum(z @ np.ones(z.shape[1], np.float32), 1e-35))[:, None]
+    z.ravel()[np.arange(len(z)) * z.shape[1] + at] -= weight
+
+
+def gradients(w: dict, leaves: Leaves, s: Settings, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict:
+    """Gradients of the mean negative log probability of the real targets (``y`` where ``real``)."""
     h, (x, h0, q, k, v, a, sums, c, both, r) = hidden(w, x)
     a /= sums
     n, t = x.shape
     d = s.dim
-    target, mask = y.ravel(), real.ravel().astype(np.float32)
-    total = max(float(mask.sum()), 1.0)
-    at = np.arange(n * t)
+    weight = real.ravel().astype(np.float32)
+    weight /= max(float(weight.sum()), 1.0)
+    target = y.ravel()
     leaf = leaves.leaf[target]
-    z = _softmax(h @ w["U"] + w["b"])
-    loss = float(-(np.log(z[at, leaf] + 1e-30) * mask).sum())
-    z[at, leaf] -= 1
-    z *= (mask / total)[:, None]
+    z = h @ w["U"]
+    _weighted(z, w["b"], weight, leaf)
     g = {"U": h.T @ z, "b": z.sum(axis=0), "D": np.zeros_like(w["D"]), "e": np.zeros_like(w["e"])}
     dh = z @ w["U"].T
     inside = leaves.inside[target]
-    deep = np.flatnonzero((inside >= 0) & (mask > 0))
-    cluster = leaf[deep] - s.own
-    by = np.argsort(cluster, kind="stable")
-    deep, cluster = deep[by], cluster[by]
-    starts = np.flatnonzero(np.diff(cluster, prepend=-1))
-    for i, j in zip(starts, [*starts[1:], len(deep)]):
-        one, size = cluster[i], leaves.sizes[cluster[i]]
-        rows = deep[i:j]
-        z = _softmax(h[rows] @ w["D"][one, :, :size] + w["e"][one, :size])
-        picked = np.arange(len(rows)), inside[rows]
-        loss -= float(np.log(z[picked] + 1e-30).sum())
-        z[picked] -= 1
-        z /= np.float32(total)
-        g["D"][one, :, :size] = h[rows].T @ z
+    deep = np.flatnonzero((inside >= 0) & (weight > 0))
+    cluster = (leaf[deep] - s.own).astype(np.int16)
+    deep = deep[np.argsort(cluster, kind="stable")]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=s.clusters))]).tolist()
+    hd, ind, wd = h[deep], inside[deep], weight[deep]
+    dhd = np.empty_like(hd)
+    for one in range(s.clusters):
+        rows, size = slice(edges[one], edges[one + 1]), leaves.sizes[one]
+        if edges[one] == edges[one + 1]:
+            continue
+        layer = w["D"][one, :, :size]
+        z = hd[rows] @ layer
+        _weighted(z, w["e"][one, :size], wd[rows], ind[rows])
+        g["D"][one, :, :size] = hd[rows].T @ z
         g["e"][one, :size] = z.sum(axis=0)
-        dh[rows] += z @ w["D"][one, :, :size].T
+        dhd[rows] = z @ layer.T
+    dh[deep] += dhd
     g["B"] = r.T @ dh
     dr = (dh @ w["B"].T) * (r > 0)
     g["A"] = both.reshape(-1, 2 * d).T @ dr
@@ -230,39 +232,73 @@ def gradients(w: dict, leaves: Leaves, s: Settings, x: np.ndarray, y: np.ndarray
     dc = (dh @ w["O"].T + dboth[:, d:]).reshape(n, t, d)
     da = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    ds = a * (da - (dc * c).sum(axis=2, keepdims=True))
     dq, dk = (ds @ k) * np.float32(d**-0.5), ds.transpose(0, 2, 1) @ q
     dqkv = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * d)
     g["QKV"] = h0.reshape(-1, d).T @ dqkv
     dh0 = dh + dboth[:, :d] + dqkv @ w["QKV"].T
     g["P"] = np.zeros_like(w["P"])
     g["P"][:t] = dh0.reshape(n, t, d).sum(axis=0)
-    ids, back = np.unique(x.ravel(), return_inverse=True)
-    g["E"] = np.zeros_like(w["E"])
-    g["E"][ids] = np.stack([np.bincount(back, dh0[:, m], len(ids)) for m in range(d)], axis=1)
-    return g, loss / total
-
-
-def train_on(w: dict, leaves: Leaves, windows: list[np.ndarray], s: Settings, seed: int, rate: float) -> dict:
-    """Adam steps over windows of ranks (input and target: one rank longer than they are)."""
-    w = {k: v.copy() for k, v in w.items()}
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    u = {k: np.zeros_like(v) for k, v in w.items()}
-    order = np.random.default_rng(seed).permutation(len(windows))
-    steps = -(-len(order) // s.batch)
-    for step, a in enumerate(range(0, len(order), s.batch), 1):
-        some = [windows[i] for i in order[a : a + s.batch]]
-        t = max(len(x) for x in some) - 1
-        x, y, real = (np.zeros((len(some), t), np.int64) for _ in range(3))
-        for i, c in enumerate(some):
-            x[i, : len(c) - 1], y[i, : len(c) - 1], real[i, : len(c) - 1] = c[:-1], c[1:], 1
-        g, _ = gradients(w, leaves, s, x, y, real)
-        now = rate * min(1.0, step / 20) * (1 - 0.8 * step / max(steps, 1))
-        for k in w:
-            m[k] += np.float32(0.1) * (g[k] - m[k])
-            u[k] += np.float32(0.01) * (g[k] ** 2 - u[k])
-            w[k] -= np.float32(now / (1 - 0.9**step)) * m[k] / (np.sqrt(u[k] / np.float32(1 - 0.99**step)) + np.float32(1e-7))
-    return w
+    flat = x.ravel()
+    g["E"] = np.stack([np.bincount(flat, dh0[:, m], len(w["E"])) for m in range(d)], axis=1).astype(np.float32)
+    return g
+
+
+class Trainer:
+    """Adam steps from common weights, over one block of texts after another."""
+
+    def __init__(self, w: dict, leaves: Leaves, s: Settings, seed: int, rate: float):
+        self.w = {k: v.copy() for k, v in w.items()}
+        self.m, self.u = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.leaves, self.s, self.rate, self.steps, self.windows = leaves, s, rate, 0, 0
+        self.rng = np.random.default_rng(seed)
+
+    def learn(self, texts_ids: list[np.ndarray]) -> None:
+        """Steps over all windows of some texts: every id is a target once."""
+        s = self.s
+        cut = Windows(texts_ids, self.leaves.rank, s, s.window)
+        order = self.rng.permutation(len(cut.start))
+        self.windows += len(order)
+        for a in range(0, len(order), s.batch):
+            x, y, real = cut.batch(order[a : a + s.batch])
+            self._step(gradients(self.w, self.leaves, s, x, y, real))
+
+    def _step(self, g: dict) -> None:
+        self.steps += 1
+        now = self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 200) ** 0.5
+        first, second = np.float32(now / (1 - 0.9**self.steps)), np.float32((1 - 0.99**self.steps) ** -0.5)
+        for k, v in self.w.items():
+            m, u = self.m[k], self.u[k]
+            m += np.float32(0.1) * (g[k] - m)
+            u += np.float32(0.01) * (g[k] * g[k] - u)
+            v -= first * m / (np.sqrt(u) * second + np.float32(1e-7))
+
+
+class Windows:
+    """Texts' ids cut in windows of ``s.window`` ranks, one every ``stride``; a window's inputs are the ranks before its
+    targets, the start of a text before its first."""
+
+    def __init__(self, texts_ids: list[np.ndarray], rank: np.ndarray, s: Settings, stride: int):
+        sizes = np.fromiter(map(len, texts_ids), np.int64, len(texts_ids))
+        self.flat = np.concatenate(texts_ids)
+        self.begins = np.cumsum(sizes) - sizes
+        pad = np.zeros(s.window, np.int32)
+        y = rank[self.flat].astype(np.int32)
+        x = np.concatenate([[0], y[:-1]]).astype(np.int32)
+        x[self.begins] = s.known + 1
+        self.x, self.y = np.concatenate([x, pad]), np.concatenate([y, pad])
+        count = 1 + np.maximum(0, -(-(sizes - s.window) // stride))
+        owner = np.repeat(np.arange(len(sizes)), count)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        self.start = (self.begins[owner] + number * stride).astype(np.int32)
+        self.left = np.minimum(s.window, sizes[owner] - number * stride)
+        self.skip = np.where(number > 0, s.window - stride, 0)  # targets that the window before has scored
+        self.column = np.arange(s.window, dtype=np.int32)
+
+    def batch(self, some) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, targets, and which of them are real and not in the window before."""
+        at = self.start[some, None] + self.column
+        return self.x[at], self.y[at], (self.column < self.left[some, None]) & (self.column >= self.skip[some, None])
 
 
 @dataclass
@@ -276,33 +312,15 @@ class Model:
         s = self.settings
         if not texts_ids:
             return np.zeros(0)
-        sizes = np.fromiter(map(len, texts_ids), np.int64, len(texts_ids))
-        flat = np.concatenate(texts_ids)
-        begins = np.cumsum(sizes) - sizes
-        y = self.leaves.rank[flat].astype(np.int32)
-        x = np.concatenate([[0], y[:-1]]).astype(np.int32)
-        x[begins] = s.known + 1
-        count = 1 + np.maximum(0, -(-(sizes - s.window) // s.stride))
-        owner = np.repeat(np.arange(len(sizes)), count)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        start = (begins[owner] + number * s.stride).astype(np.int32)
-        left = np.minimum(s.window, sizes[owner] - number * s.stride)
-        skip = np.where(number > 0, s.window - s.stride, 0)
-        column = np.arange(s.window, dtype=np.int32)
-        states, where = [], []
-        x = np.concatenate([x, np.zeros(s.window, x.dtype)])
-        for a in range(0, len(owner), 64):
-            some = slice(a, a + 64)
-            at = start[some, None] + column
-            h, _ = hidden(self.weights, x[at])
-            real = np.flatnonzero((column < left[some, None]) & (column >= skip[some, None]))
-            states.append(h[real])
-            where.append(at.ravel()[real])
-        place = np.concatenate(where)
-        found = log_probability(self.weights, self.leaves, s, np.concatenate(states), y[place])
-        each = np.empty(len(flat))
-        each[place] = found / np.log(10)
-        return np.add.reduceat(each + self.leaves.share[flat], begins)
+        cut = Windows(texts_ids, self.leaves.rank, s, s.stride)
+        each = np.empty(len(cut.flat))
+        for a in range(0, len(cut.start), 256):
+            x, y, real = cut.batch(slice(a, a + 256))
+            real = np.flatnonzero(real)
+            h, _ = hidden(self.weights, x)
+            place = (cut.start[a : a + 256, None] + cut.column).ravel()[real]
+            each[place] = log_probability(self.weights, self.leaves, s, h[real], y.ravel()[real])
+        return np.add.reduceat(each / np.log(10) + self.leaves.share[cut.flat], cut.begins)
 
 
 # --- learning -----------------------------------------------------------------------------------------
@@ -318,20 +336,24 @@ def _projection(s: Settings) -> np.ndarray:
 
 
 def tokenize(rows: DataFrame, path: str, s: Settings) -> DataFrame:
-    """``rows`` (``id, text``) with ``held_out`` and ``ids`` (little-endian unsigned 16-bit integers, the end included)."""
+    """``rows`` (``id, text``) with ``held_out``, ``turn`` (the round that learns from it) and ``ids`` (little-endian unsigned
+    16-bit integers, the end included)."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
+        done = 0
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
                 made = [x.astype("<u2").tobytes() for x in _ids(path, texts[a:b], s)]
                 out = held_out(batch.column(0)[a:b].to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(out), pa.array(made, pa.binary())], ["id", "text", "held_out", "ids"])
+                turn = (done + np.arange(b - a)) % s.rounds
+                done += b - a
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(out), pa.array(made, pa.binary()), pa.array(turn, pa.int32())], ["id", "text", "held_out", "ids", "turn"])
 
-    return rows.mapInArrow(run, f"id {kind}, text string, held_out boolean, ids binary")
+    return arrow_map(rows, run, f"id {kind}, text string, held_out boolean, ids binary, turn int")
 
 
 def _count_words(batches):
@@ -357,7 +379,7 @@ def _count_words(batches):
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` over all training rows of ``docs`` (``id, text``); the end is a word too."""
-    return docs.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(docs, _count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -394,14 +416,7 @@ def gather(tokens: DataFrame, s: Settings) -> DataFrame:
         seen = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(count[seen]), pa.array([x.tobytes() for x in profile[:, seen].T.astype("<f4")], pa.binary())], ["id", "n", "data"])
 
-    return tokens.where("not held_out").select("ids").mapInArrow(run, "id int, n bigint, data binary")
-
-
-def windows_of(ranks: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """Windows of a text's ranks, one rank longer than they are wide: each rank is a target once, the first after the
-    start."""
-    line = np.concatenate([np.asarray([s.known + 1], ranks.dtype), ranks])
-    return [line[a : a + s.window + 1] for a in range(0, len(ranks), s.window)]
+    return arrow_map(tokens.where("not held_out").select("ids"), run, "id int, n bigint, data binary")
 
 
 def learn(tokens: DataFrame, s: Settings = Settings()) -> Model:
@@ -414,44 +429,60 @@ def learn(tokens: DataFrame, s: Settings = Settings()) -> Model:
         count[i], profile[i] = n, np.frombuffer(data, "<f4")
     leaves = arrange(count, profile, s)
     weights = draw(s, leaves, count)
-    texts = tokens.where("not held_out").select("ids")
     for k in range(s.rounds):
         handed = spark.sparkContext.broadcast((weights, leaves))
 
         def run(batches, handed=handed, k=k):
             import pyarrow as pa
 
-            w, leaves = handed.value
-            rank = leaves.rank.astype(np.int32)
-            mine = [x for batch in batches for ids in batch.column(0).to_pylist() for x in windows_of(rank[np.frombuffer(ids, "<u2")], s)]
-            if mine:
-                w = train_on(w, leaves, mine, s, s.seed + k, s.rate / (1 + k))
-                yield pa.RecordBatch.from_arrays([pa.array(list(w)), pa.array([len(mine)] * len(w), pa.int64()), pa.array([v.astype("<f4").tobytes() for v in w.values()], pa.binary())], ["name", "n", "data"])
-
-        weights = _averaged(texts.mapInArrow(run, "name string, n bigint, data binary"), weights)
+            mine, held, size = Trainer(*handed.value, s, s.seed + k, s.rate / (1 + k)), [], 0
+            for batch in batches:
+                for ids in batch.column(0).to_pylist():
+                    held.append(np.frombuffer(ids, "<u2"))
+                    size += len(held[-1])
+                    if size >= s.block:
+                        mine.learn(held)
+                        held, size = [], 0
+            if held:
+                mine.learn(held)
+            if mine.windows:
+                yield _packed({name: (mine.windows, v) for name, v in mine.w.items()})
+
+        turn = tokens.where("not held_out").where(F.col("turn") == k).select("ids")
+        weights = _averaged(arrow_map(turn, run, WEIGHTS), weights)
         handed.unpersist()
     return Model(weights, leaves, s)
 
 
-def _averaged(found: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Means of the tasks' weights, by the number of windows that they saw: summed where the tasks run, so that the
-    driver gets one row to a weight however many tasks there are."""
+WEIGHTS = "name string, n bigint, data binary"
 
-    def run(batches):
-        import pyarrow as pa
 
-        total: dict[str, list] = {}
-        for batch in batches:
-            for name, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                one = total.setdefault(name, [0, 0.0])
-                one[0] += n
-                one[1] = one[1] + n * np.frombuffer(data, "<f4").astype(np.float64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([(v[1] / max(v[0], 1)).astype("<f4").tobytes() for v in total.values()], pa.binary())], ["name", "n", "data"])
-
-    kind = "name string, n bigint, data binary"
+def _packed(found: dict):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([v.astype("<f4").tobytes() for _, v in found.values()], pa.binary())], ["name", "n", "data"])
+
+
+def _mean(batches):
+    """Means of rows with equal names, weighted by ``n``."""
+    total: dict[str, list] = {}
+    for batch in batches:
+        for name, n, data in zip(*(c.to_pylist() for c in batch.columns[:3])):
+            one = total.setdefault(name, [0, 0.0])
+            one[0] += n
+            one[1] = one[1] + n * np.frombuffer(data, "<f4").astype(np.float64)
+    if total:
+        yield _packed({name: (n, v / max(n, 1)) for name, (n, v) in total.items()})
+
+
+def _averaged(found: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Means of the tasks' weights, by the number of windows that they saw: in two steps, so that no task reads the weights
+    of all tasks, and the driver gets one row to a weight."""
+    spread = found.withColumn("part", F.spark_partition_id() % 64)
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    found = arrow_map(spread.repartition(parts, "name", "part"), _mean, WEIGHTS)
     out = dict(weights)
-    for name, _, data in found.repartition(len(weights), "name").mapInArrow(run, kind).collect():
+    for name, _, data in arrow_map(found.repartition(len(weights), "name"), _mean, WEIGHTS).collect():
         out[name] = np.frombuffer(data, "<f4").reshape(weights[name].shape).copy()
     return out
 
@@ -474,7 +505,7 @@ def _summed(seen: DataFrame):
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1].astype("<f4").tobytes() for v in total.values()], pa.binary())], ["id", "n", "data"])
 
     parts = max(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return seen.repartition(parts, "id").mapInArrow(run, "id int, n bigint, data binary").toLocalIterator()
+    return arrow_map(seen.repartition(parts, "id"), run, "id int, n bigint, data binary").toLocalIterator()
 
 
 # --- scoring ------------------------------------------------------------------------------------------
@@ -488,7 +519,8 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     counts = materialize(word_counts(rows), "lm-words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bottom = float(np.log10(n + 0.5 * (v + 1)))
-    known = {r[0].encode(): r[1] for r in counts.where(F.col("n") >= _least_count(counts, s.top)).collect()}
+    short = counts.where(F.octet_length("word") <= s.longest)  # the table is bounded in bytes as well
+    known = {r[0].encode(): r[1] for r in short.where(F.col("n") >= _least_count(short, s.top)).collect()}
     tokens = materialize(tokenize(rows, path, s), "lm-tokens")
     model = learn(tokens, s)
     handed = spark.sparkContext.broadcast((model.weights, model.leaves, known))
@@ -503,7 +535,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             texts = text_bytes(batch.column(1))
             ids = batch.column(3).to_pylist()
-            for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES // 4):
+            for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
                 some = texts[a:b]
                 scores = mine.score([np.frombuffer(x, "<u2").astype(np.int64) for x in ids[a:b]])
                 n_tokens, n_known, base, rare = [], [], [], []
@@ -524,7 +556,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word:string,k:bigint>>"
-    scored = materialize(tokens.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    scored = materialize(arrow_map(tokens, run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     # words beyond the table meet their counts; words that were never seen count 0
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k").join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("hits"))
