@@ -94,7 +94,17 @@ def simhash(text: str, n: int = 4) -> int:
 
 def classes(prints: list[int], ids: list, bits: int) -> list:
     """Smallest id of each fingerprint's class, links at ``bits`` differing bits or fewer."""
-    root = list(range(len(prints)))
+    return lowest(ids, [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= bits])
+
+
+def shingles(text: str | None, n: int) -> frozenset:
+    w = words(lower(text or ""))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def lowest(ids: list, links) -> list:
+    """Smallest id of each place's component; ``links`` are pairs of places."""
+    root = list(range(len(ids)))
 
     def find(i):
         while root[i] != i:
@@ -102,11 +112,9 @@ def classes(prints: list[int], ids: list, bits: int) -> list:
             i = root[i]
         return i
 
-    for i in range(len(prints)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= bits:
-                root[find(i)] = find(j)
-    low = {}
+    for i, j in links:
+        root[find(i)] = find(j)
+    low: dict = {}
     for i, x in enumerate(ids):
         low[find(i)] = min(low.get(find(i), x), x)
     return [low[find(i)] for i in range(len(ids))]
