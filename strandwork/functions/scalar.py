@@ -38,8 +38,25 @@ def symbol_code(symbol: Column, alphabet: str = DNA) -> Column:
 
 
 def windows(seq: Column, k: int) -> Column:
-    """All overlapping windows of length k; none for shorter sequences."""
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All overlapping windows of length k; none for shorter or null sequences.
+
+    One pass of a pattern that matches before every symbol and captures the next k, so the work grows with the length
+    (taking substrings by place would read the sequence from its start for each window).
+    """
+    found = F.regexp_extract_all(seq, F.lit(rf"(?s)(?!\p{{Cs}})(?=(.{{{k}}}))"), F.lit(1))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def symbol_codes(seq: Column, alphabet: str) -> Column:
+    """The places of a sequence's symbols in an alphabet, as an array; null if one isn't in it."""
+    codes = F.transform(F.split(seq, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    known = F.translate(seq, alphabet, "") == ""
+    return F.when(F.length(seq) == 0, F.array().cast("array<int>")).when(known, codes)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def infix(seq: Column, start: int, length: int | None = None) -> Column:
@@ -73,11 +90,14 @@ def iupac_pattern(word: str) -> str:
     return "".join(IUPAC[c] if len(IUPAC[c]) == 1 else f"[{IUPAC[c]}]" for c in word.upper())
 
 
-def translate_codons(seq: Column, frame: int = 0, code: dict[str, str] | None = None, unknown: str = "X") -> Column:
-    """Protein of a reading frame; codons outside the code become ``unknown``, a rest under three symbols is left out."""
+def translate_codons(seq: Column, frame: int = 0, code: dict[str, str] | None = None, unknown: str | None = "X") -> Column:
+    """Protein of a reading frame; a rest under three symbols is left out. Codons outside the code become ``unknown``, are
+    left out if that is "", and make the result null if it is None."""
     table = F.create_map(*(F.lit(x) for pair in (code or genetic_code()).items() for x in pair))
-    codons = F.transform(F.sequence(F.lit(frame + 1), F.length(seq) - 2, F.lit(3)), lambda i: F.coalesce(F.try_element_at(table, F.substring(seq, i, F.lit(3))), F.lit(unknown)))
-    return F.when(F.length(seq) - frame >= 3, F.array_join(codons, "")).otherwise(F.lit(""))
+    codons = F.regexp_extract_all(F.substring(seq, F.lit(frame + 1), F.length(seq)), F.lit("(?s)(.{3})"), F.lit(1))
+    acids = F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(unknown)))
+    joined = F.array_join(acids, "")
+    return F.when(F.exists(acids, lambda x: x.isNull()), F.lit(None).cast("string")).otherwise(joined) if unknown is None else joined
 
 
 def pair_profile(seq: Column, scale: dict[str, float], default: float = 0.0) -> Column:

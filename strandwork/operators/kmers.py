@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,9 +124,3 @@ def de_bruijn(alphabet: str, n: int) -> str:
         if all(root <= root[i:] + root[:i] for i in range(p)):
             out.append((root, "".join(alphabet[c] for c in root)))
     return "".join(t for _, t in sorted(set(out)))
-
-
-def score_words(df: DataFrame, seq: str, table: list[list[float]], alphabet: str) -> DataFrame:
-    """``df`` with ``score``: the sum over places of a (place x symbol) table, as literals in one expression."""
-    terms = [F.element_at(F.lit(row), F.instr(F.lit(alphabet), F.substring(F.col(seq), i + 1, 1))) for i, row in enumerate(table)]
-    return df.withColumn("score", reduce(lambda a, b: a + b, terms))

@@ -9,17 +9,22 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.functions.scalar import log_sum, reverse_complement, windows
-from strandwork.operators.kmers import conditional_counts, position_counts, probabilities
+from strandwork.functions.scalar import let, log_sum, reverse_complement, symbol_codes, windows
+from strandwork.operators.kmers import position_counts, probabilities
 
 
-def _add(terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms, F.lit(0.0))
+def _by_place(seq: Column, alphabet: str, table) -> Column:
+    """Sum of ``table[place][symbol]``; null where the sequence ends too early or has another symbol."""
+    if not len(table):
+        return F.lit(0.0)
+    terms = [F.get(F.lit([float(x) for x in row]), F.nullif(F.instr(F.lit(alphabet), F.nullif(F.substring(seq, i + 1, 1), F.lit(""))), F.lit(0)) - 1) for i, row in enumerate(table)]
+    return reduce(lambda a, b: a + b, terms)
 
 
 @dataclass
@@ -34,26 +39,47 @@ class PWM:
         rows = probabilities(position_counts(df, seq, weight), alphabet, ["pos"], ess).collect()  # places x symbols
         logs = [[-math.inf] * len(alphabet) for _ in range(1 + max((r["pos"] for r in rows), default=-1))]
         for r in rows:
-            if r["prob"] > 0:
+            if r["prob"] > 0 and r["sym"] in alphabet:
                 logs[r["pos"]][alphabet.index(r["sym"])] = math.log(r["prob"])
         return cls(alphabet, logs)
 
     def score(self, seq: Column) -> Column:
-        return _add([F.element_at(F.lit(row), F.instr(F.lit(self.alphabet), F.substring(seq, i + 1, 1))) for i, row in enumerate(self.logs)])
+        """Sum over the matrix's places from the sequence's start on; null if the sequence is shorter than the matrix or a
+        symbol there isn't in the alphabet."""
+        return _by_place(seq, self.alphabet, self.logs)
 
     def score_both_strands(self, seq: Column, forward: float = 0.5) -> Column:
         return log_sum(F.array(self.score(seq) + math.log(forward), self.score(reverse_complement(seq)) + math.log(1 - forward)))
 
+    def window_scores(self, seq: Column) -> Column:
+        """Scores of all windows of a longer sequence, each symbol looked up by its code; null for windows with symbols
+        outside the alphabet."""
+        m, n = len(self.alphabet), len(self.logs)
+        flat = F.lit([x for row in self.logs for x in row])
+
+        def each(codes):
+            def at(i):
+                return reduce(lambda a, b: a + b, [F.get(flat, F.when(F.get(codes, i + j) >= 0, F.get(codes, i + j) + j * m)) for j in range(n)])
+
+            return F.when(F.size(codes) >= n, F.transform(F.sequence(F.lit(0), F.size(codes) - n), at)).otherwise(F.array().cast("array<double>"))
+
+        return let(F.transform(F.split(F.coalesce(seq, F.lit("")), ""), lambda c: F.when(c != "", F.instr(F.lit(self.alphabet), c) - 1)), each)
+
     def best_window(self, seq: Column) -> Column:
-        """Struct of score, place and strand of the best window of a longer sequence."""
-        found = F.transform(windows(seq, len(self.logs)), lambda w, i: F.struct(self.score(w).alias("score"), (-i).alias("minus")))
+        """Struct of score and (negative) place of the best window of a longer sequence; null if there is none."""
+        found = F.transform(self.window_scores(seq), lambda x, i: F.when(x.isNotNull(), F.struct(x.alias("score"), (-i).alias("minus"))))
         return F.array_max(found)
 
     def zoops(self, seq: Column, share: float = 0.5) -> Column:
-        """Log likelihood ratio of zero or one occurrence, all places alike, against uniform symbols."""
-        w = windows(seq, len(self.logs))
-        ratio = F.transform(w, lambda x: self.score(x) + len(self.logs) * math.log(len(self.alphabet)) - F.log(F.size(w).cast("double")) + math.log(share))
-        return log_sum(F.concat(F.array(F.lit(math.log(1 - share))), ratio))
+        """Log likelihood ratio of zero or one occurrence, all places alike, against uniform symbols. Windows with symbols
+        outside the alphabet hold no occurrence."""
+        whole = len(self.logs) * math.log(len(self.alphabet)) + math.log(share)
+        none = F.lit(math.log(1 - share))
+
+        def ratio(scores):
+            return log_sum(F.concat(F.array(none), F.transform(F.filter(scores, lambda x: x.isNotNull()), lambda x: x + whole - F.log(F.size(scores).cast("double")))))
+
+        return let(self.window_scores(seq), ratio)
 
 
 @dataclass
@@ -67,25 +93,49 @@ class Markov:
 
     @classmethod
     def fit(cls, df: DataFrame, seq: str, alphabet: str, order: int, ess: float = 0.0, weight: str | None = None, period: int = 1) -> Markov:
-        logs = []
-        for k in range(order + 1):
-            rows = probabilities(conditional_counts(df, seq, k, weight, period), alphabet, ["phase", "context"], ess).collect()
-            logs.append({f"{r['phase']}{r['context']}{r['sym']}": math.log(r["prob"]) for r in rows if r["prob"] > 0})
+        """One pass: the words of all lengths up to ``order + 1`` are counted together. At most period x alphabet size **
+        (order + 1) rows of a length reach the driver."""
+
+        def placed(k: int):
+            return lambda w, i: F.struct(F.lit(k).alias("k"), F.pmod(i + k, F.lit(period)).alias("phase"), w.alias("w"))
+
+        words = F.flatten(F.array(*(F.transform(windows(F.col(seq), k + 1), placed(k)) for k in range(order + 1))))
+        each = df.select((F.col(weight) if weight else F.lit(1.0)).alias("weight"), F.explode(words).alias("x"))
+        known = F.translate("x.w", alphabet, "") == ""
+        found = each.where(known).groupBy("x.k", "x.phase", "x.w").agg(F.sum("weight").alias("n")).collect()
+        counts: list[dict] = [{} for _ in range(order + 1)]
+        for r in found:
+            counts[r["k"]].setdefault((r["phase"], r["w"][:-1]), {})[r["w"][-1]] = r["n"]
+        logs, m = [], len(alphabet)
+        for level in counts:
+            table = {}
+            for (phase, context), row in level.items():
+                total = sum(row.values()) + ess
+                table |= {f"{phase}{context}{c}": math.log((row.get(c, 0.0) + ess / m) / total) for c in alphabet if row.get(c, 0.0) + ess > 0}
+            logs.append(table)
         return cls(alphabet, order, logs, period)
 
     def score(self, seq: Column) -> Column:
-        """Sum of log conditional probabilities; the first symbols have shorter contexts, and windows that were never
-        seen count as minus infinity."""
-        total = F.lit(0.0)
+        """Sum of log conditional probabilities; the first symbols have shorter contexts. Words that were never seen count
+        as minus infinity; null if a symbol isn't in the alphabet.
+
+        One walk over the symbols with the code of the last ``order + 1`` of them, which is a place in one array of numbers.
+        """
+        m = len(self.alphabet)
+        flat, first = [], []
         for k, table in enumerate(self.logs):
-            lookup = F.create_map(*(F.lit(x) for pair in table.items() for x in pair)) if table else F.create_map().cast("map<string,double>")
-            w = windows(seq, k + 1) if k == self.order else F.slice(windows(seq, k + 1), 1, 1)
+            first.append(len(flat))
+            flat += [table.get(f"{phase}{''.join(w)}", -math.inf) for phase in range(self.period) for w in product(self.alphabet, repeat=k + 1)]
+        numbers, begins = F.lit(flat), F.lit(first)
+        width = F.lit([m ** (k + 1) for k in range(self.order + 1)])
 
-            def term(k, lookup):
-                return lambda x, i: F.coalesce(F.try_element_at(lookup, F.concat(F.pmod(i + k, F.lit(self.period)).cast("string"), x)), F.lit(-math.inf))
+        def step(s, c):
+            level = F.least(s["i"], F.lit(self.order))
+            code = (s["code"] * m + c) % m ** (self.order + 1)
+            place = F.get(begins, level) + (s["i"] % self.period) * F.get(width, level) + code
+            return F.struct((s["i"] + 1).alias("i"), code.alias("code"), (s["total"] + F.get(numbers, place)).alias("total"))
 
-            total = total + F.aggregate(F.transform(w, term(k, lookup)), F.lit(0.0), lambda s, x: s + x)
-        return total
+        return F.aggregate(symbol_codes(seq, self.alphabet), F.struct(F.lit(0).alias("i"), F.lit(0).alias("code"), F.lit(0.0).alias("total")), step, lambda s: s["total"])
 
 
 def uniform_score(seq: Column, symbols: int) -> Column:
@@ -128,16 +178,20 @@ class HMM:
     move: np.ndarray
     emit: np.ndarray
 
-    def _codes(self, text: str) -> np.ndarray:
-        return np.asarray([self.alphabet.index(c) for c in text])
+    def _emissions(self, text: str) -> np.ndarray:
+        """Emission probabilities of each place (places x states); a symbol outside the alphabet tells nothing (ones)."""
+        codes = np.asarray([self.alphabet.find(c) for c in text], np.int64)
+        out = self.emit.T[codes]
+        out[codes < 0] = 1.0
+        return out
 
     def forward(self, text: str | None) -> float:
         """log probability, scaled by place."""
         if not text:
             return 0.0
         total, a = 0.0, None
-        for c in self._codes(text):
-            a = self.emit[:, c] * (self.start if a is None else a @ self.move)
+        for e in self._emissions(text):
+            a = e * (self.start if a is None else a @ self.move)
             s = a.sum()
             if s == 0:
                 return -math.inf
@@ -149,33 +203,34 @@ class HMM:
         if not text:
             return 0.0, []
         with np.errstate(divide="ignore"):
-            start, move, emit = np.log(self.start), np.log(self.move), np.log(self.emit)
-        codes = self._codes(text)
-        v, back = start + emit[:, codes[0]], []
-        for c in codes[1:]:
+            start, move, emit = np.log(self.start), np.log(self.move), np.log(self._emissions(text))
+        v, back = start + emit[0], []
+        for e in emit[1:]:
             every = v[:, None] + move
             back.append(every.argmax(axis=0))
-            v = every.max(axis=0) + emit[:, c]
+            v = every.max(axis=0) + e
         path = [int(v.argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         return float(v.max()), path[::-1]
 
     def counts(self, text: str, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of one sequence, by forward and backward passes."""
-        codes = self._codes(text)
-        n, k = len(codes), len(self.start)
+        """Expected counts of one sequence, by forward and backward passes; zeros if the model can't make it. Symbols
+        outside the alphabet add to no emission."""
+        e = self._emissions(text)
+        n, k = e.shape
         a, b, scale = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
-        for t, c in enumerate(codes):
-            a[t] = self.emit[:, c] * (self.start if t == 0 else a[t - 1] @ self.move)
+        for t in range(n):
+            a[t] = e[t] * (self.start if t == 0 else a[t - 1] @ self.move)
             scale[t] = a[t].sum()
+            if scale[t] == 0:
+                return np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape), -math.inf
             a[t] /= scale[t]
         for t in range(n - 2, -1, -1):
-            b[t] = self.move @ (self.emit[:, codes[t + 1]] * b[t + 1]) / scale[t + 1]
+            b[t] = self.move @ (e[t + 1] * b[t + 1]) / scale[t + 1]
         post = a * b
-        move = np.zeros((k, k))
-        for t in range(n - 1):
-            move += np.outer(a[t], self.emit[:, codes[t + 1]] * b[t + 1] / scale[t + 1]) * self.move
+        move = a[:-1].T @ (e[1:] * b[1:] / scale[1:, None]) * self.move
+        codes = np.asarray([self.alphabet.find(c) for c in text])
         emit = np.stack([post[codes == c].sum(axis=0) for c in range(len(self.alphabet))], axis=1)
         return weight * post[0], weight * move, weight * emit, weight * float(np.log(scale).sum())
 
@@ -185,7 +240,7 @@ class HMM:
 
         @F.pandas_udf("double")
         def forward(texts):
-            return texts.map(model.forward)
+            return texts.map(model.forward).astype("float64")
 
         return df.withColumn(out, forward(seq))
 
@@ -249,11 +304,14 @@ class LogLinear:
     bias: float
 
     def score(self, seq: Column) -> Column:
-        return _add([F.element_at(F.lit([float(x) for x in row]), F.instr(F.lit(self.alphabet), F.substring(seq, i + 1, 1))) for i, row in enumerate(self.weights)]) + self.bias
+        """Positive for class 0; null as for matrices."""
+        return _by_place(seq, self.alphabet, self.weights) + self.bias
 
     @classmethod
     def fit(cls, df: DataFrame, seq: str, alphabet: str, length: int, steps: int = 60, prior: float = 0.01) -> LogLinear:
-        """Gradient steps; each gradient is one aggregation over places and symbols."""
+        """Gradient steps; each gradient is one aggregation over places and symbols. Rows that are shorter than ``length`` or
+        have other symbols there aren't learnt from."""
+        df = df.where(F.length(seq) >= length).where(F.translate(F.substring(seq, 1, length), alphabet, "") == "")
         model = cls(alphabet, np.zeros((length, len(alphabet))), 0.0)
         n = df.agg(F.sum("weight")).first()[0] or 1.0
         for step in range(steps):
@@ -262,7 +320,8 @@ class LogLinear:
             cells = position_counts(df, seq, slope).collect()
             g = np.zeros_like(model.weights)
             for r in cells:
-                g[r["pos"], alphabet.index(r["sym"])] += r["cnt"] / n
+                if r["pos"] < length and r["sym"] in alphabet and r["cnt"] is not None:  # rows without a score teach nothing
+                    g[r["pos"], alphabet.index(r["sym"])] += r["cnt"] / n
             rate = 4.0 / (1 + step / 20)
             model = cls(alphabet, model.weights + rate * (g - prior * model.weights / n), model.bias + rate * float(g[0].sum()))
         return model

@@ -148,10 +148,9 @@ def a3_kmer_presence(spark, d) -> DataFrame:
     return kmers.presence(V.seqs(spark, d), "seq", 5, "seq_id")
 
 
-@query("SELECT kmer, count(DISTINCT seq_id) AS n_seqs FROM km GROUP BY kmer HAVING count(DISTINCT seq_id) = (SELECT count(DISTINCT seq_id) FROM km)", V.SEQS.replace("FROM documents", "FROM documents WHERE n_chars > 400"), KMERS.format(k=2))
+@query("SELECT kmer, count(DISTINCT seq_id) AS n_seqs FROM km GROUP BY kmer HAVING count(DISTINCT seq_id) = (SELECT count(DISTINCT id) FROM brands)", V.BRANDS, KMERS.format(k=1).replace("FROM seqs", "FROM (SELECT id AS seq_id, weight, seq FROM brands)"))
 def a4_common_substrings(spark, d) -> DataFrame:
-    docs = V.seqs(spark, d).join(V.table(spark, d, "documents").where("n_chars > 400").select(F.col("doc_id").alias("seq_id")), "seq_id", "left_semi")
-    return kmers.common(docs.where(F.length("seq") >= 2), "seq", 2, "seq_id")
+    return kmers.common(V.brands(spark, d), "seq", 1, "id")
 
 
 @query("SELECT t.i - 1 AS pos, substring(seq, t.i, 1) AS sym, CAST(sum(weight) AS DOUBLE) AS cnt FROM brands, LATERAL (SELECT unnest(generate_series(1, length(seq))) AS i) t GROUP BY 1, 2", V.BRANDS)
@@ -500,12 +499,16 @@ def l6_mixture(spark, d) -> DataFrame:
     return x.select("id", r6(model.score(F.col("seq"))).alias("score"))
 
 
-@query()
+_PLACES = " ".join(f"JOIN pwm p{i} ON p{i}.class_id = 0 AND p{i}.pos = {i} AND p{i}.sym = substring(kmer, {i + 1}, 1)" for i in range(8))
+WINDOW_SCORES = f", sc AS (SELECT kmer, {' + '.join(f'ln(p{i}.prob)' for i in range(8))} AS s FROM (SELECT DISTINCT kmer FROM km) {_PLACES})"
+
+
+@query("SELECT seq_id, round(top, 6) AS best, min(pos) FILTER (s = top) AS pos, round(ln(0.5 + sum(exp(s + 8 * ln(4) + ln(0.5) - ln(c)))), 6) AS zoops FROM (SELECT seq_id, pos, s, max(s) OVER w AS top, count(*) OVER w AS c FROM km JOIN sc USING (kmer) WINDOW w AS (PARTITION BY seq_id)) GROUP BY seq_id, top", V.SEQS, V.BRANDS, KMERS.format(k=8), PFM, PWM + WINDOW_SCORES)
 def l8_motif_windows(spark, d) -> DataFrame:
     """Every whole sequence scanned with a motif on its forward strand, and its zero-or-one-occurrence score."""
     _, (a, _) = _pwms(spark, d)
     found = V.seqs(spark, d).where(F.length("seq") >= 8).select("seq_id", a.best_window(F.col("seq")).alias("best"), a.zoops(F.col("seq")).alias("zoops"))
-    return found.select("seq_id", r6("best.score").alias("best"), (-F.col("best.minus")).alias("pos"), r6("zoops").alias("zoops"))
+    return found.select("seq_id", r6("best.score").alias("best"), (-F.col("best.minus")).cast("bigint").alias("pos"), r6("zoops").alias("zoops"))
 
 
 @query()
