@@ -1,39 +1,101 @@
-"""Window operators, and global orders that don't gather in one task.
+"""Window operators, and orders over whole groups that don't gather a group in one task.
 
-``running_total`` and what is built on it cut the order at approximate quantiles (a bounded number of them reaches the
-driver), sum within each range, and shift each range by the sums before it. The result doesn't depend on the cuts.
+An order is cut at approximate quantiles (a bounded number of them reaches the driver), each range of each group is one
+partition of the window, and what a range needs of the ones before or after it (sums, extremes, the nearest row) is carried
+over from one small row to a range (``carried``). Frames of a fixed reach are cut in segments of a fixed width, and each
+segment also gets copies of the rows within reach of it (``with_halo``). Results don't depend on the cuts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
+#: Rows to a segment of frames that count rows, and reaches to a segment of frames that measure distance.
+SEGMENT_ROWS, SEGMENT_REACHES = 1 << 16, 64
 
 
-def _ranges(df: DataFrame, by: str, ranges: int) -> Column:
+def _ranges(df: DataFrame, by: str, ranges: int = RANGES) -> Column:
     """Number of the range of ``by`` (ascending) that a row lies in; nulls come first."""
     cuts = df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
     cuts = sorted(set(cuts))
     if not cuts:
         return F.lit(0)
-    return F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(by))))
+    edges, steps = F.lit(cuts), F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+
+    def step(at, width):  # binary search: how many cuts are not above the value
+        return F.when((at + width <= len(cuts)) & (F.get(edges, at + width - 1) <= F.col(by)), at + width).otherwise(at)
+
+    return F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.aggregate(steps, F.lit(0), step))
+
+
+def in_ranges(df: DataFrame, by: str) -> DataFrame:
+    """``df`` with ``__range``, the range of ``by`` that a row lies in."""
+    return df.withColumn("__range", _ranges(df, by))
+
 
+def carried(df: DataFrame, keys: list[str], ascending: bool = True, **columns: tuple[Column, Callable, str]) -> DataFrame:
+    """``df`` (from ``in_ranges``) with columns that say something about the group's other ranges.
 
-def running_total(df: DataFrame, by: str, values: list[str], ascending: bool = True, ranges: int = RANGES) -> DataFrame:
-    """``df`` with ``cum_<value>``: the sum over all rows up to and including the ties of ``by``."""
-    dealt = df.withColumn("__range", _ranges(df, by, ranges))
-    sums = dealt.groupBy("__range").agg(*(F.sum(v).alias(f"__s_{v}") for v in values))  # one row to a range
-    order = F.col("__range") if ascending else F.col("__range").desc()
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    shift = sums.select(F.col("__range").alias("__r"), *(F.coalesce(F.sum(f"__s_{v}").over(before), F.lit(0)).alias(f"__b_{v}") for v in values))
+    Each is (aggregate over a range, how such values combine over a window, "before" or "after"). One row to a group and
+    range is windowed; it meets the rows in a join on both.
+    """
+    per = df.groupBy(*keys, "__range").agg(*(x.alias(f"__v_{name}") for name, (x, _, _) in columns.items()))
+    order = Window.partitionBy(*keys).orderBy(F.col("__range") if ascending else F.col("__range").desc())
+    frames = {"before": order.rowsBetween(Window.unboundedPreceding, -1), "after": order.rowsBetween(1, Window.unboundedFollowing)}
+    names = [*keys, "__range"]
+    over = per.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(names)), *(how(F.col(f"__v_{name}")).over(frames[side]).alias(name) for name, (_, how, side) in columns.items()))
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return df.join(over if keys else F.broadcast(over), on).drop(*(f"__k{i}" for i in range(len(names))))  # without groups: RANGES + 1 rows
+
+
+def running_total(df: DataFrame, by: str, values: list[str], ascending: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """``df`` with ``cum_<value>``: the sum over all rows of the group up to and including the ties of ``by``."""
+    keys = keys or []
+    out = carried(in_ranges(df, by), keys, ascending, **{f"__b_{v}": (F.sum(v), F.sum, "before") for v in values})
     key = F.col(by) if ascending else F.col(by).desc()
-    within = Window.partitionBy("__range").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dealt.join(F.broadcast(shift), F.col("__range") == F.col("__r"))  # RANGES + 1 rows at most
+    within = Window.partitionBy(*keys, "__range").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     for v in values:
-        out = out.withColumn(f"cum_{v}", F.sum(v).over(within) + F.col(f"__b_{v}"))
-    return out.drop("__range", "__r", *(f"__b_{v}" for v in values))
+        out = out.withColumn(f"cum_{v}", F.sum(v).over(within) + F.coalesce(F.col(f"__b_{v}"), F.lit(0)))
+    return out.drop("__range", *(f"__b_{v}" for v in values))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: zero-based places in each group's order (ranges are cut by the first column of ``order``)."""
+    placed = carried(in_ranges(df, order[0]), keys, __b=(F.count(F.lit(1)), F.sum, "before"))
+    w = Window.partitionBy(*keys, "__range").orderBy(*order)
+    return placed.withColumn(out, F.row_number().over(w) - 1 + F.coalesce("__b", F.lit(0))).drop("__range", "__b")
+
+
+def with_halo(df: DataFrame, pos: str, before: int, after: int, width: int) -> DataFrame:
+    """``df`` dealt to segments ``__seg`` of ``width`` in ``pos``, with copies (``__own`` false) of the rows that lie within
+    ``before`` ahead of a segment or ``after`` behind it. Null places are a segment of their own."""
+    at = F.col(pos)
+    every = F.sequence(F.floor((at - after) / width), F.floor((at + before) / width))
+    dealt = df.withColumn("__seg", F.explode(F.when(at.isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(every)))
+    return dealt.withColumn("__own", at.isNull() | (F.col("__seg") == F.floor(at / width)))
+
+
+def by_distance(df: DataFrame, keys: list[str], order: str, reach: int):
+    """Segments with the rows within ``reach`` around them, and the window of a row's surroundings."""
+    return with_halo(df, order, reach, reach, max(SEGMENT_REACHES * reach, 1)), lambda r: Window.partitionBy(*keys, "__seg").orderBy(order).rangeBetween(-r, r)
+
+
+def by_rows(df: DataFrame, keys: list[str], order: list[str], before: int, after: int):
+    """Segments with the ``before`` and ``after`` rows around them, and the window of a segment's order."""
+    placed = numbered(df, keys, order, "__n")
+    return with_halo(placed, "__n", before, after, max(SEGMENT_ROWS, before, after)), Window.partitionBy(*keys, "__seg").orderBy("__n")
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    """The rows themselves, without the copies."""
+    return df.where("__own").drop("__own", "__seg", "__n")
 
 
 def ranks(df: DataFrame, by: str, tie: str) -> DataFrame:
@@ -49,11 +111,12 @@ def ranks(df: DataFrame, by: str, tie: str) -> DataFrame:
 
 def percentile_ceil(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
     """The element at index ceil(p*(n-1)) of each group's sorted values."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))  # ties are counted before anything is ordered
-    w = Window.partitionBy(*keys)
-    cum = F.sum("n").over(w.orderBy(value))
-    placed = counts.withColumn("upto", cum).withColumn("at", F.ceil(p * (F.sum("n").over(w) - 1)))
-    return placed.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select(*keys, F.col(value).alias("percentile"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))  # ties are counted before anything is ordered
+    placed = running_total(counts, value, ["n"], keys=keys)
+    total = counts.groupBy(*keys).agg(F.ceil(p * (F.sum("n") - 1)).alias("at"))
+    on = [placed[k].eqNullSafe(total[k]) for k in keys]
+    both = placed.join(total, on) if keys else placed.crossJoin(F.broadcast(total))  # one row
+    return both.where((F.col("at") < F.col("cum_n")) & (F.col("at") >= F.col("cum_n") - F.col("n"))).select(*(placed[k] for k in keys), F.col(value).alias("percentile"))
 
 
 def weight_percentile(df: DataFrame, value: str, p: float) -> DataFrame:
@@ -65,47 +128,67 @@ def weight_percentile(df: DataFrame, value: str, p: float) -> DataFrame:
 
 def smooth(df: DataFrame, keys: list[str], order: list[str], value: str, width: int) -> DataFrame:
     """Moving mean and median over ``width`` rows from each row on; only full windows."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, width - 1)
+    dealt, w = by_rows(df, keys, order, 0, width - 1)
+    w = w.rowsBetween(0, width - 1)
     middle = [(width + 1) // 2, width // 2 + 1]
-    out = df.withColumn("mean", F.avg(value).over(w)).withColumn("__in", F.array_sort(F.collect_list(value).over(w))).where(F.size("__in") == width)
-    return out.withColumn("median", sum(F.element_at("__in", i) for i in middle) / 2).drop("__in")
+    out = dealt.withColumn("mean", F.avg(value).over(w)).withColumn("__in", F.array_sort(F.collect_list(value).over(w)))
+    return own_rows(out.where(F.size("__in") == width)).withColumn("median", sum(F.element_at("__in", i) for i in middle) / 2).drop("__in")
 
 
 def local_rate(df: DataFrame, keys: list[str], order: str, value: str, reaches: list[int]) -> DataFrame:
     """``rate``: the largest of the group's mean and of the means within each reach (in units of ``order``) around."""
-    base = Window.partitionBy(*keys)
-    near = [F.avg(value).over(base.orderBy(order).rangeBetween(-r, r)) for r in reaches]
-    return df.withColumn("rate", F.greatest(F.avg(value).over(base), *near))
+    whole = df.groupBy(*keys).agg(F.avg(value).alias("__whole")).toDF(*(f"__g{i}" for i in range(len(keys))), "__whole")
+    dealt, w = by_distance(df, keys, order, max(reaches))
+    for r in reaches:
+        dealt = dealt.withColumn(f"__near{r}", F.avg(value).over(w(r)))
+    out = own_rows(dealt).join(whole, [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)])
+    return out.withColumn("rate", F.greatest("__whole", *(f"__near{r}" for r in reaches))).drop("__whole", *(f"__near{r}" for r in reaches), *(f"__g{i}" for i in range(len(keys))))
 
 
 def peaks_only(df: DataFrame, keys: list[str], order: str, score: str, reach: int) -> DataFrame:
     """Rows whose score is the largest within ``reach`` around them."""
-    w = Window.partitionBy(*keys).orderBy(order).rangeBetween(-reach, reach)
-    return df.withColumn("__top", F.max(score).over(w)).where(F.col(score) == F.col("__top")).drop("__top")
+    dealt, w = by_distance(df, keys, order, reach)
+    return own_rows(dealt.withColumn("__top", F.max(score).over(w(reach))).where(F.col(score) == F.col("__top"))).drop("__top")
 
 
 def neighbours(df: DataFrame, keys: list[str], order: list[str], value: str, before: int, after: int) -> DataFrame:
     """The values of the rows around each row as columns ``m2, m1, p1, ...``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df
+    out, w = by_rows(df, keys, order, before, after)
     for k in range(before, 0, -1):
         out = out.withColumn(f"m{k}", F.lag(value, k).over(w))
     for k in range(1, after + 1):
         out = out.withColumn(f"p{k}", F.lead(value, k).over(w))
-    return out
+    return own_rows(out)
 
 
 def detrended(df: DataFrame, keys: list[str], order: str, value: str, margin: int, p: float) -> DataFrame:
     """``value`` minus the ceil-percentile of the values within ``margin`` around it."""
-    w = Window.partitionBy(*keys).orderBy(order).rangeBetween(-margin, margin)
-    near = F.array_sort(F.collect_list(value).over(w))
-    at = F.ceil(p * (F.size(near) - 1)).cast("int") + 1
-    return df.withColumn("detrended", F.col(value) - F.element_at(near, at))
+    dealt, w = by_distance(df, keys, order, margin)
+    near = F.array_sort(F.collect_list(value).over(w(margin)))
+    out = dealt.withColumn("__near", near).where("__own")
+    at = F.ceil(p * (F.size("__near") - 1)).cast("int") + 1
+    return own_rows(out.withColumn("detrended", F.col(value) - F.element_at("__near", at)).drop("__near"))
 
 
 def quantile_normalised(df: DataFrame, column: str, value: str, tie: str) -> DataFrame:
     """The k-th smallest value of each column replaced by the mean of all k-th smallest values."""
-    w = Window.partitionBy(column).orderBy(value, tie)
-    placed = df.withColumn("k", F.row_number().over(w))
+    placed = numbered(df, [column], [value, tie], "k")
     means = placed.groupBy("k").agg(F.avg(value).alias("normalised"))
     return placed.join(means, "k")
+
+
+def top(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group: a group limit that Spark applies in every task before rows are shuffled."""
+    if not keys:
+        return df.orderBy(*order).limit(k)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= k).drop("__place")
+
+
+def sorted_by(df: DataFrame, *criteria: str) -> DataFrame:
+    """Rows in the order of some SQL expressions, each optionally followed by ``asc`` or ``desc``; a range-partitioned sort."""
+    orders = []
+    for c in criteria:
+        text, _, way = c.strip().rpartition(" ")
+        orders.append(F.expr(text).desc() if way.lower() == "desc" else F.expr(text).asc() if way.lower() == "asc" else F.expr(c).asc())
+    return df.orderBy(*orders)

@@ -7,12 +7,29 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.operators.ordered import ranks
+from strandwork.operators.ordered import ranks, running_total
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Moments, extremes and the exact median; values are counted, and the counts are added up in ranges, so that no task
+    holds a group."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    moments = df.groupBy(*keys).agg(F.count(v).alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return moments.join(medians(df, keys, value), [moments[k].eqNullSafe(F.col(f"__m{i}")) for i, k in enumerate(keys)], "left").select(*keys, "n", "sum", "mean", "sd", "median", "min", "max")
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``__m0, __m1, ...`` (the keys) and ``median``: the mean of the two middle values."""
+    named = [F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)]
+    names = [f"__m{i}" for i in range(len(keys))]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*named, F.col(value).alias("__value")).agg(F.count("*").alias("n"))
+    placed = running_total(counts, "__value", ["n"], keys=names)
+    total = counts.groupBy(*names).agg(F.sum("n").alias("__total")).toDF(*(f"{c}t" for c in names), "__total")
+    both = placed.join(total, [F.col(c).eqNullSafe(F.col(f"{c}t")) for c in names])
+    low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    first = F.col("cum_n") - F.col("n")
+    hits = F.when((low >= first) & (low < F.col("cum_n")), 1).otherwise(0) + F.when((high >= first) & (high < F.col("cum_n")), 1).otherwise(0)
+    return both.withColumn("__hits", hits).where("__hits > 0").groupBy(*names).agg((F.sum(F.col("__value") * F.col("__hits")) / 2).alias("median"))
 
 
 def weighted_pearson(df: DataFrame, x: str, y: str, w: Column | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -32,11 +49,11 @@ def spearman(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     return weighted_pearson(b, "rx", "ry")
 
 
-def log_sum_exp(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``lse`` by group; the largest value is taken out first."""
+def log_sum_exp(df: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
+    """``lse`` by group (and ``more`` aggregates); the largest value is taken out first."""
     top = df.groupBy(*keys).agg(F.max(value).alias("top"))
-    sums = df.join(top, keys).groupBy(*keys, "top").agg(F.sum(F.when(F.col("top") == -math.inf, 0.0).otherwise(F.exp(F.col(value) - F.col("top")))).alias("s"))
-    return sums.select(*keys, F.when(F.col("top") == -math.inf, F.col("top")).otherwise(F.col("top") + F.log("s")).alias("lse"))
+    sums = df.join(top, keys).groupBy(*keys, "top").agg(F.sum(F.when(F.col("top") == -math.inf, 0.0).otherwise(F.exp(F.col(value) - F.col("top")))).alias("s"), *more)
+    return sums.withColumn("lse", F.when(F.col("top") == -math.inf, F.col("top")).otherwise(F.col("top") + F.log("s"))).drop("top", "s")
 
 
 def z_scores(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -57,8 +74,6 @@ def replicates(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def cumulative_share(df: DataFrame, value: str) -> DataFrame:
     """``value, n, share``: histogram and distribution function; distinct values are few or summed by range."""
-    from strandwork.operators.ordered import running_total
-
     n = df.groupBy(value).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n")).first()[0] or 1
     return running_total(n, value, ["n"]).select(value, "n", (F.col("cum_n") / total).alias("share"))
