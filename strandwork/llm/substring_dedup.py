@@ -5,16 +5,21 @@ leftmost of equals); equal strings pick the same gram at the same place, so it i
 equal grams, called anchors here. Around an anchor, the strings that may have picked it lie within 168 bytes to the
 left and 200 to the right: its context.
 
-1. Anchors travel as hashes: of the gram and of the context. A gram that occurs once is done with; contexts that are
-   equal as a whole are repeated as a whole.
-2. Only contexts that share a gram but differ (and one of each set of equals) travel as bytes. Within a task, the
-   right sides of many contexts are one text over ranked blocks of bytes, the mirrored left sides another; the suffix
-   arrays of both (``suffix_array``) and the common lengths of neighbours tell for each split of the 200 bytes
-   which contexts have equal left and right parts. As all such strings hold the anchor, what they cover is one run.
-3. Runs are gathered per text, united, and cut out.
+1. Anchors travel as hashes: of the gram, and 128 bits of the context (whole equal texts and contexts are known by 128
+   bits, as nothing else is). A gram that occurs once is done with; contexts that are equal as a whole are repeated.
+2. Of contexts that share a gram but differ, one of each set of equals is looked at further. A string in it has 0 to
+   168 bytes before the anchor; these numbers are cut in four ranges, and all strings of a range have the 158 bytes
+   between them in common, called a piece. Pieces travel as hashes; those that occur once are done with.
+3. The 242 bytes around each piece that is left, a slice, travel to where equal pieces meet. The slices of some pieces
+   are one text, whose suffix array (``suffix_array``) is built over its bytes: strings of 200 bytes are repeated where
+   neighbours in its order have 200 bytes in common and start at different places. A piece with so many slices that
+   its text would pass ``TEXT_BYTES`` is divided by longer pieces (186, then 199 bytes), then by whole strings.
+4. A piece with more than ``HOT`` slices sends no bytes: its strings travel as 128-bit hashes, and a string that has
+   company is repeated, so that no task holds a common passage's surroundings.
+5. Repeated ranges are gathered per text, united, and cut out.
 
 Nothing is decided by sampling and no group is capped. Equal texts, and equal contexts within a text, are reduced
-before any shuffle by gram; the stream over a gram's anchors holds two rows per distinct context at most.
+before any shuffle by gram.
 
 Edge cases: a null text is empty; texts under 200 bytes are left alone; repeated rows are copies of each other and
 lose everything if long enough; a text may repeat itself; cuts fall on bytes, so ``kept_text`` drops the halves of
@@ -24,6 +29,7 @@ characters that are cut through; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,10 +43,14 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1  # grams in a string
 LEFT, RIGHT = SPAN - 1, LENGTH
 BLOCK_BYTES = 1 << 19
-#: Contexts that are sorted together; a gram with more of them is sorted whole.
-BATCH = 16_384
-#: Bytes to a symbol of the sorted texts.
-SYMBOL_RIGHT, SYMBOL_LEFT = RIGHT // 4, LEFT // 4
+#: Numbers of bytes before the anchor go by ranges of this width; longer pieces by the narrower ones.
+WIDTH, NARROWER = LEFT // 4, {LEFT // 4: 14, 14: 1, 1: 0}
+#: Bytes to a text that a suffix array is built over.
+TEXT_BYTES = 1 << 18
+#: Slices of one piece that are compared as bytes.
+HOT = 4096
+#: Bits of a hash that place grams, and places within so many are told apart.
+_PLACES = np.uint64(24)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,20 +66,25 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of each text's anchors: text number, place, hash of the gram, hash of the context."""
+    """Of each text's anchors: text number, place, hash of the gram, two halves of the context's hash."""
+    import xxhash
+
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     begins = ends - sizes
     buf = np.frombuffer(b"".join(texts), np.uint8)
     n = len(buf)
     if n < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    hashed = RangeHash(buf)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     where = np.arange(n - GRAM + 1)
-    gram = hashed(where, where + GRAM)
-    bits = np.uint64(int(n).bit_length())
-    ranked = (gram >> bits << bits) | where.astype(np.uint64)
-    picked = (_sliding_min(ranked, SPAN) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    gram = RangeHash(buf)(where, where + GRAM)
+    # 40 bits of the hash, then the place: the same choice in whatever buffer a string stands
+    picked, step = np.zeros(n - LENGTH + 1, np.int64), (1 << int(_PLACES)) - SPAN
+    for a in range(0, len(picked), step):
+        some = gram[a : a + step + SPAN - 1]
+        ranked = (some >> _PLACES << _PLACES) | np.arange(len(some), dtype=np.uint64)
+        found = _sliding_min(ranked, SPAN) & ((np.uint64(1) << _PLACES) - np.uint64(1))
+        picked[a : a + step] = found.astype(np.int64) + a
     whole = np.zeros(n + 1, np.int32)  # strings that lie in one text
     long = sizes >= LENGTH
     whole[begins[long]] += 1
@@ -77,8 +92,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     at = np.unique(picked[np.cumsum(whole)[: len(picked)] > 0])
     doc = np.searchsorted(ends, at, side="right")
     a, b = np.maximum(begins[doc], at - LEFT), np.minimum(ends[doc], at + RIGHT)
-    context = hashed(a, b) ^ ((at - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return doc, at - begins[doc], gram[at], context
+    raw, digest = buf.tobytes(), xxhash.xxh3_128_digest
+    context = np.frombuffer(b"".join([digest(raw[x:y], seed=left) for x, y, left in zip(a.tolist(), b.tolist(), (at - a).tolist())]), "<u8").reshape(-1, 2)
+    return doc, at - begins[doc], gram[at], context[:, 0], context[:, 1]
 
 
 def union(spans) -> list[tuple[int, int]]:
@@ -93,7 +109,7 @@ def union(spans) -> list[tuple[int, int]]:
 
 
 def _emit_anchors(batches):
-    """``h, c, k1, k2, pos``. Contexts that recur within their text are sent once, with ``pos`` odd; what they cover
+    """``h, c, d, k1, k2, pos``. Contexts that recur within their text are sent once, with ``pos`` odd; what they cover
     is sent as ranges (``pos`` -1, the range in ``h`` and ``c``). Else ``pos`` is twice the place."""
     import pyarrow as pa
 
@@ -101,37 +117,37 @@ def _emit_anchors(batches):
         k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         texts = text_bytes(batch.column(3))
         for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
-            doc, pos, gram, context = anchors(texts[a:b])
+            doc, pos, gram, one, two = anchors(texts[a:b])
             if not len(doc):
                 continue
-            order = np.lexsort((pos, context, gram, doc))
-            doc, pos, gram, context = doc[order], pos[order], gram[order], context[order]
-            same = (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
+            order = np.lexsort((pos, two, one, gram, doc))
+            doc, pos, gram, one, two = (x[order] for x in (doc, pos, gram, one, two))
+            same = (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
             again = np.append(False, same) | np.append(same, False)
             first = ~np.append(False, same)
-            rows = [gram[first].view(np.int64), context[first].view(np.int64), k1[a:b][doc[first]], k2[a:b][doc[first]], 2 * pos[first] + again[first]]
+            rows = [gram[first].view(np.int64), one[first].view(np.int64), two[first].view(np.int64), k1[a:b][doc[first]], k2[a:b][doc[first]], 2 * pos[first] + again[first]]
             spans: dict[int, list] = {}
             for d, p in zip(doc[again].tolist(), pos[again].tolist()):
                 spans.setdefault(d, []).append((max(0, p - LEFT), min(len(texts[a + d]), p + RIGHT)))
             flat = [(x, y, d) for d, s in spans.items() for x, y in union(s)]
             if flat:
                 x, y, d = (np.asarray(c, np.int64) for c in zip(*flat))
-                rows = [np.concatenate(c) for c in zip(rows, (x, y, k1[a:b][d], k2[a:b][d], np.full(len(d), -1)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["h", "c", "k1", "k2", "pos"])
+                rows = [np.concatenate(c) for c in zip(rows, (x, y, np.zeros(len(d), np.int64), k1[a:b][d], k2[a:b][d], np.full(len(d), -1)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["h", "c", "d", "k1", "k2", "pos"])
 
 
 FULL, FULL_AND_SEND, SEND, RANGE = 0, 1, 2, 3
 
 
 def _judge(batches):
-    """Rows come sorted by (h, c); gives ``k1, k2, h, c, pos, role`` for anchors that have company, and the ranges."""
+    """Rows come sorted by (h, c, d); gives ``k1, k2, h, c, pos, role`` for anchors that have company, and the ranges."""
     import pyarrow as pa
 
-    def work(h, c, k1, k2, pos):
+    def work(h, c, d, k1, k2, pos):
         if not len(h):
             return None
         new_h = np.append(True, h[1:] != h[:-1])
-        new_c = new_h | np.append(True, c[1:] != c[:-1])
+        new_c = new_h | np.append(True, (c[1:] != c[:-1]) | (d[1:] != d[:-1]))
         run, gang = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
         weight = np.bincount(run, 1 + (pos & 1))  # an odd place stands for two or more
         kinds = np.bincount(gang[new_c])
@@ -143,147 +159,272 @@ def _judge(batches):
     def pack(h, c, k1, k2, pos, role):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, h, c, pos, role.astype(np.int64))], ["k1", "k2", "h", "c", "pos", "role"])
 
-    held = [np.zeros(0, np.int64)] * 5
+    held = [np.zeros(0, np.int64)] * 6
     for batch in batches:
         rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        ranges = rows[4] < 0
+        ranges = rows[5] < 0
         if ranges.any():
-            h, c, k1, k2, pos = (x[ranges] for x in rows)
+            h, c, _, k1, k2, pos = (x[ranges] for x in rows)
             yield pack(h, c, k1, k2, pos, np.full(len(h), RANGE))
             rows = [x[~ranges] for x in rows]
         rows = [np.concatenate(x) for x in zip(held, rows)]
-        h, c = rows[:2]
+        h = rows[0]
         cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
         if (made := work(*(x[:cut] for x in rows))) is not None:
             yield pack(*made)
         held = [x[cut:] for x in rows]
         if len(held[0]) > 100_000:
             # an endless gram: of each context, all rows between the first and the last are repeats for certain
-            c = held[1]
+            c, d = held[1:3]
+            same = (c[1:] == c[:-1]) & (d[1:] == d[:-1])
             middle = np.zeros(len(c), bool)
-            middle[1:-1] = (c[1:-1] == c[:-2]) & (c[1:-1] == c[2:])
+            middle[1:-1] = same[:-1] & same[1:]
             if middle.any():
-                h, c, k1, k2, pos = (x[middle] for x in held)
+                h, c, _, k1, k2, pos = (x[middle] for x in held)
                 yield pack(h, c, k1, k2, pos >> 1, np.full(len(h), FULL))
                 held = [x[~middle] for x in held]
     if (made := work(*held)) is not None:
         yield pack(*made)
 
 
-def _extract(batches):
-    """Texts with their judged anchors; gives contexts to compare, and ranges (``size`` 0) that are repeated for sure."""
+def _pieces(batches):
+    """Texts with their judged anchors; gives ``key, k1, k2, j, at, stop``: a piece (its hash, its range's number and the
+    start of its slice), or a range that is repeated for sure (j -1, from ``at`` to ``stop``)."""
     import pyarrow as pa
+    import xxhash
 
-    names = ["h", "k1", "k2", "pos", "left", "size", "context"]
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         k1, k2 = (batch.column(i).to_pylist() for i in range(2))
         texts = text_bytes(batch.column(3))
-        rows, held = [], 0
+        rows = []
         for i, found in enumerate(batch.column(4)):
             text, spans = texts[i], []
-            for x in found.values.flatten() and zip(*(c.to_pylist() for c in found.values.flatten())):
-                h, c, pos, role = x
+            for h, c, pos, role in zip(*(x.to_pylist() for x in found.values.flatten())):
                 if role == RANGE:
                     spans.append((h, c))
                     continue
-                a, b = max(0, pos - LEFT), min(len(text), pos + RIGHT)
                 if role != SEND:
-                    spans.append((a, b))
+                    spans.append((max(0, pos - LEFT), min(len(text), pos + RIGHT)))
                 if role != FULL:
-                    rows.append((h, k1[i], k2[i], pos, pos - a, b - a, text[a:b]))
+                    for j in range(4):
+                        a = pos - WIDTH * j
+                        if a >= 0 and a + LENGTH - WIDTH <= len(text):
+                            key = digest(text[a : a + LENGTH - WIDTH], seed=j) - 2**63
+                            rows.append((key, k1[i], k2[i], j, a - WIDTH, 0))
+            rows += [(k1[i] ^ a, k1[i], k2[i], -1, a, b) for a, b in union(spans) if b - a >= LENGTH]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["key", "k1", "k2", "j", "at", "stop"])
+
+
+def _shared(batches):
+    """Rows come sorted by ``key``; gives the ranges, and the pieces whose key another piece has too."""
+    import pyarrow as pa
+
+    def pick(table, before, after):
+        key, j = (table.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+        like = np.append(key[1:] == key[:-1], after is not None and key[-1] == after)
+        keep = like | np.append(before is not None and key[0] == before, like[:-1]) | (j < 0)
+        return table.filter(pa.array(keep))
+
+    held, before = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield pick(held, before, batch.column(0)[0].as_py())
+            before = held.column(0)[held.num_rows - 1].as_py()
+        held = batch
+    if held is not None:
+        yield pick(held, before, None)
+
+
+def _slices(batches):
+    """Texts with their shared pieces; gives the slices (``hot`` false, ``key, k3, k1, k2, at, bytes``), clipped at the text's
+    ends (``k3``: so many bytes are missing at the left), and for hot pieces the hashes of their strings (``key`` and
+    ``k3``, ``bytes`` null)."""
+    import pyarrow as pa
+    import xxhash
+
+    def pack(rows):
+        kinds = [pa.bool_()] + [pa.int64()] * 5 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["hot", "key", "k3", "k1", "k2", "at", "bytes"])
+
+    for batch in batches:
+        rows, held = [], 0
+        for k1, k2, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(3)), batch.column(4)):
+            for key, at, hot in zip(*(x.to_pylist() for x in found.values.flatten())):
+                a, b = max(0, at), min(len(text), at + LENGTH + WIDTH)
+                if not hot:
+                    rows.append((False, key, a - at, k1, k2, a, text[a:b]))
                     held += 400
-            rows += [(k1[i] ^ a, k1[i], k2[i], a, b - a, 0, b"") for a, b in union(spans) if b - a >= LENGTH]
+                    continue
+                for x in range(a, b - LENGTH + 1):
+                    one, two = np.frombuffer(xxhash.xxh3_128_digest(text[x : x + LENGTH]), "<i8").tolist()
+                    rows.append((True, one, two, k1, k2, x, None))
+                    held += 60
             if held > 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "context" else pa.int64()) for k, c in zip(names, zip(*rows))], names)
+                yield pack(rows)
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "context" else pa.int64()) for k, c in zip(names, zip(*rows))], names)
-
-
-def _sorted_sides(side: np.ndarray, symbol: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of ``side``, and how many symbols each has in common with the one before it in that order."""
-    n, width = side.shape
-    blocks = np.ascontiguousarray(side.astype(">u2")).reshape(n * (width // symbol), symbol).view(np.dtype((np.void, 2 * symbol))).ravel()
-    _, rank = np.unique(blocks, return_inverse=True)
-    text = np.zeros((n, width // symbol + 1), np.int64)  # a zero ends each row
-    text[:, :-1] = rank.reshape(n, -1) + 1
-    order = np.asarray(suffix_array(text.ravel().tolist()), np.int64)
-    order = order[order % text.shape[1] == 0] // text.shape[1]
-    differ = side[order[1:]] != side[order[:-1]]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    return order, np.append(0, common)
-
-
-def repeated_runs(contexts: list[bytes], left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each context, the least and the greatest number of bytes that a repeated string around its anchor has to
-    the anchor's left (-1, -1: there is none)."""
-    n = len(contexts)
-    size = np.fromiter(map(len, contexts), np.int64, n)
-    right = size - left
-    flat = np.frombuffer(b"".join(contexts), np.uint8).astype(np.uint16) + 1
-    begin = np.cumsum(size) - size
-    column = np.arange(max(LEFT, RIGHT))
-    padded = np.append(flat, 0)
-
-    def side(first, step, count, width):
-        index = first[:, None] + step * column[None, :width]
-        return padded[np.where(column[None, :width] < count[:, None], index, len(flat))]
-
-    order_r, common_r = _sorted_sides(side(begin + left, 1, right, RIGHT), SYMBOL_RIGHT)
-    order_l, common_l = _sorted_sides(side(begin + left - 1, -1, left, LEFT), SYMBOL_LEFT)
-    least, most = np.full(n, -1), np.full(n, -1)
-    class_l, class_r = np.empty(n, np.int64), np.empty(n, np.int64)
-    for k in range(LEFT + 1):
-        fits = np.flatnonzero((left >= k) & (right >= LENGTH - k))
-        if len(fits) < 2:
-            continue
-        class_l[order_l] = np.cumsum(common_l < k)
-        class_r[order_r] = np.cumsum(common_r < LENGTH - k)
-        key = class_l[fits] * (n + 1) + class_r[fits]
-        by = np.argsort(key)
-        same = key[by[1:]] == key[by[:-1]]
-        again = np.zeros(len(fits), bool)
-        again[by[1:]] |= same
-        again[by[:-1]] |= same
-        hit = fits[again]
-        least[hit] = np.where(least[hit] < 0, k, least[hit])
-        most[hit] = k
-    return least, most
+            yield pack(rows)
+
+
+def repeated_starts(slices: list[bytes], owner: list, at: list[int]) -> list[bool]:
+    """For each 200-byte string of each slice, one slice after another, whether an equal string starts at another place:
+    from the suffix array over the bytes of all slices. ``owner`` is a slice's text, ``at`` its place there."""
+    text: list[int] = []
+    first, where = [], []
+    for i, s in enumerate(slices):
+        base = len(text)
+        text += s
+        text.append(-1)  # no string crosses it
+        for x in range(len(s) - LENGTH + 1):
+            first.append(base + x)
+            where.append((owner[i], at[i] + x))
+    out = np.zeros(len(first), bool)
+    if len(first) < 2:
+        return out.tolist()
+    number = np.full(len(text), -1)
+    number[first] = np.arange(len(first))
+    order = number[np.asarray(suffix_array(text))]
+    order = order[order >= 0]  # strings in the order of the suffixes that they begin
+    flat = np.frombuffer(b"\0".join(slices) + b"\0", np.uint8)
+    start = np.asarray(first)[order]
+    same = np.ones(len(start) - 1, bool)  # whether neighbours have LENGTH bytes in common
+    for a in range(0, len(same), 4096):
+        some = np.arange(a, min(a + 4096, len(same)))
+        column = np.arange(LENGTH)
+        same[some] = (flat[start[some, None] + column] == flat[start[some + 1, None] + column]).all(axis=1)
+    run = np.concatenate([[0], np.cumsum(~same)])
+    places: dict[int, set] = {}
+    for r, i in zip(run.tolist(), order.tolist()):
+        places.setdefault(r, set()).add(where[i])
+    out[order] = np.asarray([len(places[r]) > 1 for r in run.tolist()])
+    return out.tolist()
+
+
+def repeated_in(slices: list[bytes], skip: list[int], owner: list, at: list[int], width: int = WIDTH) -> list[tuple]:
+    """``(owner, place)`` of the repeated strings of slices that share a piece; ``skip`` is what a slice lacks at the left of
+    its frame of ``LENGTH + width`` bytes. Divided by longer pieces where they make too long a text."""
+    if width and sum(map(len, slices)) > TEXT_BYTES:
+        out, step = [], NARROWER[width]
+        for a in range(0, width - step + 1, max(step, 1)):
+            parts: dict[bytes, list] = {}
+            for s, lack, o, x in zip(slices, skip, owner, at):
+                low, high = max(a, lack), min(a + LENGTH + step, lack + len(s))  # of the frame
+                piece = s[a + step - lack : a + LENGTH - lack] if a + step >= lack else b""
+                if len(piece) == LENGTH - step and high - low >= LENGTH:
+                    parts.setdefault(piece, []).append((s[low - lack : high - lack], low - a, o, x + low - lack))
+            for rows in parts.values():
+                if len(rows) > 1:
+                    out += repeated_in(*(list(c) for c in zip(*rows)), step)
+        return out
+    if not width:  # equal strings
+        return list(zip(owner, at)) if len(set(zip(owner, at))) > 1 else []
+    places = [(o, x + k) for s, o, x in zip(slices, owner, at) for k in range(len(s) - LENGTH + 1)]
+    return [p for p, again in zip(places, repeated_starts(slices, owner, at)) if again]
 
 
 def _compare(batches):
-    """Contexts come sorted by gram; gives ``k1, k2, start, stop`` of what is repeated."""
+    """Slices (``key, k3, k1, k2, at, bytes``) come sorted by key; gives ``k1, k2, start, stop`` of what is repeated. Pieces are put together up to
+    ``TEXT_BYTES``; one that has more is divided."""
     import pyarrow as pa
 
-    def pack(k1, k2, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, a, b)], ["k1", "k2", "start", "stop"])
-
-    def work(rows, contexts):
-        h, k1, k2, pos, left = rows
-        least, most = repeated_runs(contexts, left)
-        hit = most >= 0
-        return pack(k1[hit], k2[hit], (pos - most)[hit], (pos - least)[hit] + LENGTH)
+    def work(rows):
+        found: dict[tuple, list] = {}
+        group: list = []
+        size = 0
+
+        def flush():
+            nonlocal group, size
+            if len(group) > 1:
+                for o, x in repeated_in([r[5] for r in group], [r[1] for r in group], [(r[2], r[3]) for r in group], [r[4] for r in group]):
+                    found.setdefault(o, []).append((x, x + LENGTH))
+            group, size = [], 0
+
+        i = 0
+        while i < len(rows):
+            j = i
+            while j < len(rows) and rows[j][0] == rows[i][0]:
+                j += 1
+            more = sum(len(r[5]) for r in rows[i:j])
+            if size + more > TEXT_BYTES:
+                flush()
+            group, size = group + rows[i:j], size + more
+            if size > TEXT_BYTES:
+                flush()
+            i = j
+        flush()
+        flat = [(*o, a, b) for o, spans in found.items() for a, b in union(spans)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], ["k1", "k2", "start", "stop"]) if flat else None
+
+    held: list = []
+    for batch in batches:
+        held += zip(*(c.to_pylist() for c in batch.columns))
+        if len(held) > 2000 and held[0][0] != held[-1][0]:
+            cut = next(i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]) + 1
+            if (made := work(held[:cut])) is not None:
+                yield made
+            held = held[cut:]
+    if held and (made := work(held)) is not None:
+        yield made
+
+
+def _again(batches):
+    """Strings come sorted by ``key, k3``; gives the ranges of those with an equal one at another place."""
+    import pyarrow as pa
 
-    held, held_contexts = [np.zeros(0, np.int64)] * 5, []
+    def pick(rows, before, after):
+        same = [np.append(x[1:] == x[:-1], False) for x in rows]
+        last = np.zeros(len(rows[0]), bool)
+        last[-1] = True
+        like, place = same[0] & same[1], same[2] & same[3] & same[4]
+        if after is not None:
+            end = [x[-1] == y for x, y in zip(rows, after)]
+            like[-1], place[-1] = end[0] & end[1], end[2] & end[3] & end[4]
+        next_ = like & ~place
+        prev = np.append(False, next_[:-1])
+        if before is not None:
+            first = [x[0] == y for x, y in zip(rows, before)]
+            prev[0] = first[0] & first[1] & ~(first[2] & first[3] & first[4])
+        keep = next_ | prev
+        k1, k2, at = (x[keep] for x in rows[2:])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, at, at + LENGTH)], ["k1", "k2", "start", "stop"])
+
+    held, before = None, None
     for batch in batches:
-        *rows, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        h, k1, k2, pos, left = rows
-        sure = size == 0
-        if sure.any():
-            yield pack(k1[sure], k2[sure], pos[sure], (pos + left)[sure])
-        held = [np.concatenate([x, y[~sure]]) for x, y in zip(held, rows)]
-        held_contexts += [c for c, s in zip(batch.column(6).to_pylist(), sure.tolist()) if not s]
-        while len(held_contexts) > BATCH:
-            h = held[0]
-            cut = int(np.searchsorted(h, h[BATCH]))
-            if not cut:
-                cut = int(np.searchsorted(h, h[0], side="right"))
-                if cut == len(h):
-                    break
-            yield work([x[:cut] for x in held], held_contexts[:cut])
-            held, held_contexts = [x[cut:] for x in held], held_contexts[cut:]
-    if held_contexts:
-        yield work(held, held_contexts)
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            yield pick(held, before, [x[0] for x in rows])
+            before = [x[-1] for x in held]
+        held = rows
+    if held is not None:
+        yield pick(held, before, None)
+
+
+def _decide(batches):
+    """Slices first, then the strings of hot pieces."""
+    batches, rest = iter(batches), []
+
+    def near():
+        for batch in batches:
+            hot = batch.column(0)
+            yield batch.filter(pc.invert(hot)).select(range(1, 7))
+            if hot.true_count:
+                rest.append(batch.filter(hot))
+                return
+
+    def far():
+        for batch in itertools.chain(rest, batches):
+            yield batch.select(range(1, 6))
+
+    import pyarrow.compute as pc
+
+    yield from _compare(near())
+    yield from _again(far())
 
 
 def _keys(text):
@@ -300,16 +441,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     return rows.join(judged, ["k1", "k2"]).drop("k1", "k2").withColumnRenamed("id", id_col)
 
 
-def cut_texts(texts: DataFrame, with_text: bool) -> DataFrame:
-    """``k1, k2`` and the results for each distinct value of ``texts.text``."""
+def cut_texts(texts: DataFrame, with_text: bool, hot: int = HOT) -> DataFrame:
+    """``k1, k2`` and the results for each distinct value of ``texts.text``; ``hot`` changes the way, never the result."""
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     distinct = texts.select(*_keys(F.col("text")), "text").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.max("text").alias("text"))
-    # all three readers of it take the same columns, so that the texts are shuffled once
-    found = arrow_map(distinct, _emit_anchors, "h bigint, c bigint, k1 bigint, k2 bigint, pos bigint")
-    judged = arrow_map(found.repartition(parts, "h").sortWithinPartitions("h", "c"), _judge, "k1 bigint, k2 bigint, h bigint, c bigint, pos bigint, role bigint")
+    # all four readers of it take the same columns, so that the texts are shuffled once
+    found = arrow_map(distinct, _emit_anchors, "h bigint, c bigint, d bigint, k1 bigint, k2 bigint, pos bigint")
+    judged = arrow_map(found.repartition(parts, "h").sortWithinPartitions("h", "c", "d"), _judge, "k1 bigint, k2 bigint, h bigint, c bigint, pos bigint, role bigint")
     per_text = judged.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "pos", "role")).alias("found"))
-    contexts = arrow_map(distinct.join(per_text, ["k1", "k2"]).select("k1", "k2", "copies", "text", "found"), _extract, "h bigint, k1 bigint, k2 bigint, pos bigint, left bigint, size bigint, context binary")
-    runs = arrow_map(contexts.repartition(parts, "h").sortWithinPartitions("h"), _compare, "k1 bigint, k2 bigint, start bigint, stop bigint")
+    pieces = arrow_map(distinct.join(per_text, ["k1", "k2"]).select("k1", "k2", "copies", "text", "found"), _pieces, "key bigint, k1 bigint, k2 bigint, j bigint, at bigint, stop bigint")
+    # what has two readers or more is shuffled once: all plans below stand in one query
+    shared = arrow_map(pieces.repartition(parts, "key").sortWithinPartitions("key"), _shared, "key bigint, k1 bigint, k2 bigint, j bigint, at bigint, stop bigint")
+    sure = shared.where("j < 0").select("k1", "k2", F.col("at").alias("start"), "stop")
+    many = shared.where("j >= 0").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
+    wanted = shared.where("j >= 0").join(many, "key", "left").select("key", "k1", "k2", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
+    per_text = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "at", "hot")).alias("found"))
+    slices = arrow_map(distinct.join(per_text, ["k1", "k2"]).select("k1", "k2", "copies", "text", "found"), _slices, "hot boolean, key bigint, k3 bigint, k1 bigint, k2 bigint, at bigint, bytes binary")
+    dealt = slices.repartition(parts, "key").sortWithinPartitions("hot", "key", "k3", "k1", "k2", "at")
+    runs = sure.unionByName(arrow_map(dealt, _decide, "k1 bigint, k2 bigint, start bigint, stop bigint"))
     runs = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
     def cut(batches):
