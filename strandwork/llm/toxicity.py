@@ -10,7 +10,8 @@ windows of ``window`` words and keeps the highest: the model judges passages, th
 
 Edge cases: null, empty and word-less texts get the model's bias alone; texts without a label aren't learnt from;
 repeated rows are scored alike; an empty table gives an empty result; with no labels at all every score is 0.5.
-Learning uses ``max_rows`` labelled rows at most (those with the lowest hashes of id and text); scoring has no limit.
+Learning uses a bounded sample of labelled rows: those with the lowest hashes of their ids, ``max_rows`` and ``max_bytes``
+of text at most; scoring has no limit.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class Settings:
     rate: float = 0.3
     batch: int = 64
     max_rows: int = 8000
+    max_bytes: int = 1 << 26
     window: int = 4
     seed: int = 11
 
@@ -164,20 +166,32 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(logit + self.offset, -500, 500)))
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, s: Settings, held_in) -> DataFrame:
-    """``text, label`` of ``max_rows`` labelled rows at most, by the hash of the id; texts over 64 KB don't teach."""
+def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, s: Settings, held_in) -> list[tuple]:
+    """``text, label`` of labelled rows in the order of their ids' hashes, as far as ``max_rows`` and ``max_bytes`` go (a
+    text that doesn't fit any more is passed over). Lengths are looked at first, so the driver gets no more than that."""
     picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(held_in("id"))
     picked = picked.orderBy(F.xxhash64("id"), "id", "label").limit(s.max_rows)
     # bounded by max_rows
-    narrow = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.octet_length("text") <= 1 << 16)
-    return narrow.join(F.broadcast(picked), F.col("doc") == F.col("id")).orderBy(F.xxhash64("id"), "id", "text", "label").limit(s.max_rows).select("text", "label")
+    narrow = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = narrow.join(F.broadcast(picked), F.col("doc") == F.col("id"))
+    order = [F.xxhash64("id"), "id", F.md5("text"), "label"]
+    sizes = found.select("id", F.octet_length("text").alias("n"), F.md5("text").alias("md5"), "label", F.xxhash64("id").alias("h")).orderBy("h", "id", "md5", "label").limit(s.max_rows).collect()
+    keep, total = [], 0
+    for k, r in enumerate(sizes):
+        if total + r["n"] <= s.max_bytes:
+            total += r["n"]
+            keep.append(k)
+    longest = max((sizes[k]["n"] for k in keep), default=0)
+    rows = found.where(F.octet_length("text") <= longest).select("id", "text", "label", F.md5("text").alias("md5")).join(F.broadcast(docs.sparkSession.createDataFrame([(sizes[k]["id"], sizes[k]["md5"]) for k in keep], f"id {picked.schema['id'].dataType.simpleString()}, md5 string").distinct()), ["id", "md5"])
+    got = rows.orderBy(*order).limit(len(keep)).collect() if keep else []
+    return [(r["text"], r["label"]) for r in got]
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", s: Settings = Settings(), held_in=lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 != 1) -> DataFrame:
     """``id_col, score`` for every row of ``docs``, learnt from labelled rows for which ``held_in`` holds."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = learning_sample(docs, labels, id_col, text_col, label_col, s, held_in).collect()
+    sample = learning_sample(docs, labels, id_col, text_col, label_col, s, held_in)
     model = train([(r[0] or "").encode() for r in sample], [r[1] for r in sample], s)
     handed = spark.sparkContext.broadcast((model.bucket_logits(), model.offset))
 
