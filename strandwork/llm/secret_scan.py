@@ -5,8 +5,11 @@ method adds *owned* spans: opaque tokens (long, with capitals, small letters and
 every candidate value, hashed, the corpus counts the distinct owners and repositories that have it: a value that
 many owners share is a copied example, one that few share looks like a live credential of theirs.
 
+A table of documents has no repositories. By default the owner of a text is its ``source`` and its repository what that
+source has in one ``lang``: a value's repositories are its distinct pairs of both. Other columns can be named.
+
 Counting is a distinct of (value, owner, repository) and then a count, both combined before the shuffle, so that a
-value in a third of all rows arrives as one row a task. Values and rows meet in a sort-merge join of hashes, which
+value in a third of all rows arrives as one row a task and pair. Values and rows meet in a sort-merge join of hashes, which
 adaptive execution may split; no text is shuffled by the scan itself.
 
 Edge cases: a null or empty text has no spans; a null owner counts as an owner of its own; equal rows have equal
@@ -40,32 +43,40 @@ class Ownership:
     max_repositories: int = 3
 
 
+#: Matches that are placed one by one; arrays grow within a block and block by block.
+_BLOCK = 64
+_SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _matches(text: Column, pattern: str, kind: str) -> Column:
     """``array<struct<start,end,kind,value>>`` of all matches, in code points: what stands between two matches is as
-    long as the split's parts are."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at(parts, i)) + F.length(F.element_at(found, i))).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(F.element_at(parts, i))).alias("start"),
-                        (acc["at"] + F.length(F.element_at(parts, i)) + F.length(F.element_at(found, i))).alias("end"),
-                        F.lit(kind).alias("kind"),
-                        F.element_at(found, i).alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), step).otherwise(empty)
+    long as the split's parts are. A text without a match is read once, others twice."""
+    none = F.array().cast(_SPANS)
+
+    def placed(acc, x):
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))).alias("out"))
+
+    def block(acc, xs):
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), none.alias("out")), placed)
+        return _let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], i["out"]).alias("out")))
+
+    def place(pairs):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _BLOCK).cast("int")), lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda acc: acc["out"])
+
+    def found(values):
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
+        pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
+        return F.when(F.size(values) == 0, none).otherwise(_let(pairs, place))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
 def _value(span: Column) -> Column:
@@ -128,29 +139,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "lang", rule: Ownership = Ownership(), mask: str = "[SECRET]") -> DataFrame:
     """The rows and columns of ``docs`` with every live-looking span of ``text_col`` replaced by ``mask``.
 
-    Copied examples stay. Only rows with a candidate are shuffled, and equal texts are decided once.
+    Copied examples stay. Texts are searched once and written down with what was found; only rows with a live-looking span
+    are shuffled.
     """
-
-    def some(text: Column) -> Column:
-        return F.coalesce(text, F.lit("")).rlike("|".join(f"(?:{p})" for p in (ACCESS, HEX, OPAQUE, ASSIGN)))
-
-    found = find(docs.where(some(F.col(text_col))).select(F.col(text_col).alias("text"), F.col(owner_col).alias("owner"), F.col(repository_col).alias("repository")), "text")
-    found = materialize(found.withColumn("key", F.sha2(F.col("text").cast("binary"), 256)).drop("text"), "secrets")
-    counts = ownership(found, "owner", "repository")
-    live = live_spans(found.groupBy("key").agg(F.first("found").alias("found")), counts, "key", rule)
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    body = f"c{names.index(text_col)}"
-    hit = plain.where(some(F.col(body))).withColumn("key", F.sha2(F.col(body).cast("binary"), 256)).join(live, "key", "left")
-    miss = plain.where(~some(F.col(body)))
+    body, owner, repository = (f"c{names.index(c)}" for c in (text_col, owner_col, repository_col))
+    rows = materialize(find(plain, body).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    some = rows.where(F.size("found") > 0)
+    live = live_spans(some, ownership(some, owner, repository), "row", rule)
+    hit = some.join(live, "row", "left")
     cut = F.aggregate(
         "live",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(body), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(F.col(body), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(body), acc["at"] + 1, F.length(body))),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(body), acc["at"] + 1, F.length(body))),
     )
     hit = hit.withColumn(body, F.when(F.col("live").isNull(), F.col(body)).otherwise(cut)).select(plain.columns)
-    return hit.unionByName(miss).toDF(*names)
+    return hit.unionByName(rows.where(F.size("found") == 0).select(plain.columns)).toDF(*names)

@@ -189,7 +189,7 @@ def secrets(text: str | None) -> list[tuple]:
 
 def opaque(text: str | None) -> list[tuple]:
     out = []
-    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,200}(?![A-Za-z0-9+/_-])", text or ""):
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])", text or ""):
         if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]):
             out.append((m.start(), 4, m.end(), "owned", m[0]))
     return out
