@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from itertools import product
 
 from pyspark.sql import Column
@@ -59,6 +60,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running_sums(values: Column, block: int = 64) -> Column:
+    """For each number of an array the sum of those before it. Arrays grow within blocks and block by block, so that long
+    ones don't cost the square of their length."""
+    kind = "array<bigint>"
+
+    def add(acc, x):
+        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def within(acc, xs):
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), add)
+        return let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], i["out"]).alias("out")))
+
+    def over(xs):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
+        return F.when(F.size(xs) == 0, F.array().cast(kind)).otherwise(F.aggregate(blocks, start, within, lambda acc: acc["out"]))
+
+    return let(F.transform(values, lambda v: v.cast("bigint")), over)
+
+
 def infix(seq: Column, start: int, length: int | None = None) -> Column:
     """Zero-based slice."""
     return F.substring(seq, F.lit(start + 1), F.lit(length if length is not None else 2**31 - 1 - start))
@@ -85,6 +106,36 @@ def contains_about(seq: Column, word: str, mismatches: int) -> Column:
     return F.exists(windows(seq, len(word)), lambda w: hamming(w, F.lit(word)) <= mismatches)
 
 
+def code_hash(seq: Column, alphabet: str = DNA) -> Column:
+    """31-polynomial hash of a sequence's codes, as a signed 32-bit number."""
+    wide = F.aggregate(symbol_codes(seq, alphabet), F.lit(0).cast("bigint"), lambda h, c: F.pmod(h * 31 + c, F.lit(2**32)))
+    return F.when(wide >= 2**31, wide - 2**32).otherwise(wide)
+
+
+def to_text(seq: Column, delimiter: str, start: int = 0, length: int | None = None) -> Column:
+    """The symbols of a slice with a delimiter between them."""
+    part = infix(seq, start, length)
+    return F.when(part == "", "").otherwise(F.array_join(F.split(part, ""), delimiter))
+
+
+def tokens(text: Column, delimiter: str, alphabet: list[str] | None = None) -> Column:
+    """Symbols of several characters between delimiters; null if one isn't in the alphabet."""
+    parts = F.filter(F.split(text, re.escape(delimiter)), lambda x: x != "")
+    return parts if alphabet is None else F.when(F.forall(parts, lambda x: x.isin(alphabet)), parts)
+
+
+def permuted(seq: Column, seed: int | None = None) -> Column:
+    """The symbols in random order."""
+    return F.array_join(F.shuffle(F.split(seq, ""), seed), "")
+
+
+def iupac_within(a: Column, b: Column) -> Column:
+    """Whether every base that code ``a`` stands for is one of those of code ``b``."""
+    masks = F.create_map(*(F.lit(x) for c, bases in IUPAC.items() for x in (c, sum(1 << DNA.index(s) for s in bases))))
+    x, y = F.try_element_at(masks, F.upper(a)), F.try_element_at(masks, F.upper(b))
+    return x.bitwiseAND(y) == x
+
+
 def iupac_pattern(word: str) -> str:
     """A regular expression for an ambiguous word."""
     return "".join(IUPAC[c] if len(IUPAC[c]) == 1 else f"[{IUPAC[c]}]" for c in word.upper())

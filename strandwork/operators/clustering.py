@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.scalar import p_norm
@@ -85,21 +85,16 @@ def cut_tree(merges: list[tuple[int, int, float, int]], n: int, limit: float) ->
     return [seen.setdefault(find(i), len(seen)) for i in range(n)]
 
 
-def all_pairs(df: DataFrame, id_col: str, distance) -> DataFrame:
-    """``a, b, d`` for a < b over a small set of objects (motifs, centres, strains)."""
-    left, right = df.select(*(F.col(c).alias(f"l_{c}") for c in df.columns)), df.select(*(F.col(c).alias(f"r_{c}") for c in df.columns))
-    return left.join(right, F.col(f"l_{id_col}") < F.col(f"r_{id_col}")).select(F.col(f"l_{id_col}").alias("a"), F.col(f"r_{id_col}").alias("b"), distance.alias("d"))
-
-
-def pfm_distances(pwm: DataFrame, least: int) -> DataFrame:
-    """``a, b, offset, d``: least mean Euclidean distance of columns over offsets with ``least`` overlapping places.
-    ``pwm`` is ``motif, pos, sym, prob``; motifs meet by symbol, and offsets are keys of the grouping."""
-    left = pwm.select(F.col("motif").alias("a"), F.col("pos").alias("pa"), "sym", F.col("prob").alias("x"))
-    right = pwm.select(F.col("motif").alias("b"), F.col("pos").alias("pb"), "sym", F.col("prob").alias("y"))
-    columns = left.join(right, "sym").where("a < b").groupBy("a", "b", "pa", "pb").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("d"))
-    by = columns.groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count("*").alias("n"), F.avg("d").alias("d")).where(F.col("n") >= least)
-    w = Window.partitionBy("a", "b").orderBy("d", "offset")
-    return by.withColumn("k", F.row_number().over(w)).where("k = 1").select("a", "b", "offset", "d")
+def all_pairs(df: DataFrame, id_col: str, distance, blocks: int = 16) -> DataFrame:
+    """``a, b, d`` for a < b: all pairs are what is asked for, and they are dealt to pairs of blocks of objects, so that no
+    task holds them all. ``distance`` reads the columns of both as ``l_*`` and ``r_*``."""
+    mine = F.pmod(F.xxhash64(id_col), F.lit(blocks))
+    dealt = df.withColumn("__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keyed = dealt.withColumn("__x", F.least("__mine", "__other")).withColumn("__y", F.greatest("__mine", "__other"))
+    names = [*df.columns, "__mine"]
+    left, right = (keyed.select("__x", "__y", *(F.col(c).alias(f"{p}_{c}") for c in names)) for p in "lr")
+    both = left.join(right, ["__x", "__y"]).where((F.col(f"l_{id_col}") < F.col(f"r_{id_col}")) & ((F.col("l___mine") != F.col("r___mine")) | (F.col("__x") == F.col("__y"))))
+    return both.select(F.col(f"l_{id_col}").alias("a"), F.col(f"r_{id_col}").alias("b"), distance.alias("d"))
 
 
 def align(a: str, b: str, match: float = 0, mismatch: float = 1, gap: float = 1, kind: str = "global", opening: float = 0) -> tuple[float, str, str]:

@@ -19,6 +19,18 @@ def curve(df: DataFrame) -> DataFrame:
     return running_total(per, "score", ["p", "n"], ascending=False).withColumnsRenamed({"cum_p": "tp", "cum_n": "fp"})
 
 
+def rates(df: DataFrame) -> DataFrame:
+    """``score, tpr, fpr, precision`` from the highest score down: the points of both curves."""
+    t = _totals(df).first()
+    return curve(df).select("score", (F.col("tp") / t["pos"]).alias("tpr"), (F.col("fp") / t["neg"]).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+
+
+def merged_classes(df: DataFrame, class_col: str, to: dict) -> DataFrame:
+    """``df`` with ``class_id``: classes taken together (null: not among them)."""
+    table = F.create_map(*(F.lit(x) for pair in to.items() for x in pair))
+    return df.withColumn("class_id", F.try_element_at(table, F.col(class_col)))
+
+
 def _totals(df: DataFrame):
     return df.agg(F.sum(F.when(F.col("class_id") == 0, F.col("weight")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("class_id") != 0, F.col("weight")).otherwise(0.0)).alias("neg"))
 

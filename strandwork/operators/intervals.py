@@ -144,9 +144,13 @@ def window_features(df: DataFrame, keys: list[str], pos: str, value: str, width:
     cells = df.withColumn("bin", F.floor(F.col(pos) / width)).withColumn("__v", there)
     out = cells.groupBy(*keys, "bin").agg(*(F.coalesce(f("__v"), F.lit(0.0)).alias(name) for name, f in (("least", F.min), ("mean", F.avg), ("most", F.max))), F.avg(F.coalesce("__v", F.lit(0.0))).alias("mean0"))
     # rows meet the bins whose start lies within reach of them
-    first = F.col(pos) - broad
-    ahead = cells.select(*keys, "__v", F.explode(F.sequence(F.ceil(first / width), F.floor(F.col(pos) / width))).alias("bin"))
-    behind = cells.select(*keys, "__v", F.explode(F.sequence(F.ceil(F.col(pos) / width), F.floor((F.col(pos) + broad) / width))).alias("bin"))
+    at = F.col(pos)
+
+    def bins(first, last):  # of a sequence that would run backwards, none
+        low, high = F.ceil(first / width), F.floor(last / width)
+        return cells.where(low <= high).select(*keys, "__v", F.explode(F.sequence(low, high)).alias("bin"))
+
+    ahead, behind = bins(at - broad, at), bins(at, at + broad)
     for name, near in (("after", ahead), ("before", behind)):
         wide = near.groupBy(*keys, "bin").agg(F.avg("__v").alias(f"mean_{name}"), F.max("__v").alias(f"most_{name}"))
         out = out.join(wide, [*keys, "bin"], "left").fillna(0.0, [f"mean_{name}", f"most_{name}"])

@@ -46,12 +46,25 @@ def without_background(df: DataFrame, seq: str, k: int, id_col: str, foreground:
     return counts.where(F.col("n_fg") * fg_weight > F.col("n_bg") * bg_weight)
 
 
-def neighbourhood(words: DataFrame, column: str, alphabet: str) -> DataFrame:
-    """Pairs of words that differ in one place at most: each word's variants meet in an equi-join, not all pairs.
+def neighbourhood(words: DataFrame, column: str, alphabet: str, mismatches: int = 1) -> DataFrame:
+    """Pairs of words of one length that differ in ``mismatches`` places at most: each word's variants meet in an equi-join,
+    not all pairs.
 
-    A variant has one place blanked out, so words that agree beyond it share a key.
+    A variant has so many places blanked out, so words that agree beyond them share a key.
     """
-    keyed = words.select(column, F.explode(F.transform(F.sequence(F.lit(1), F.length(column)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.overlay(F.col(column), F.lit("_"), i, F.lit(1))))).alias("key"))
+
+    def blanked(texts: Column) -> Column:
+        # each step blanks one more place, behind the last blank
+        def more(t):
+            first = F.length(t) - F.length(F.regexp_replace(t, r"^.*_", "")) + 1
+            return F.when(first > F.length(t), F.array(t)).otherwise(F.transform(F.sequence(first, F.length(t)), lambda i: F.overlay(t, F.lit("_"), i, F.lit(1))))
+
+        return F.flatten(F.transform(texts, more))
+
+    variants = F.array(F.col(column))
+    for _ in range(mismatches):
+        variants = blanked(variants)
+    keyed = words.select(column, F.explode(F.array_distinct(F.transform(variants, lambda v: F.concat(F.length(v).cast("string"), F.lit(":"), v)))).alias("key"))
     left, right = keyed.select(F.col(column).alias("a"), "key"), keyed.select(F.col(column).alias("b"), "key")
     return left.join(right, "key").where("a < b").select("a", "b").distinct()
 

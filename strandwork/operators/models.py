@@ -138,6 +138,81 @@ class Markov:
         return F.aggregate(symbol_codes(seq, self.alphabet), F.struct(F.lit(0).alias("i"), F.lit(0).alias("code"), F.lit(0.0).alias("total")), step, lambda s: s["total"])
 
 
+@dataclass
+class Dependent:
+    """Places with parents of their own (a fixed acyclic structure): ``logs[place]`` maps the parents' symbols, then the
+    place's, to a log probability."""
+
+    alphabet: str
+    parents: list[tuple[int, ...]]
+    logs: list[dict[str, float]]
+
+    @classmethod
+    def fit(cls, df: DataFrame, seq: str, alphabet: str, parents: list[tuple[int, ...]], ess: float = 0.0, weight: Column | None = None) -> Dependent:
+        """One aggregation over (place, parents' symbols, symbol); each parents' value has ``ess`` pseudo-counts."""
+        s = F.col(seq)
+        cells = F.array(*(F.struct(F.lit(i).alias("place"), F.concat(*(F.substring(s, p + 1, 1) for p in up), F.lit("")).alias("context"), F.substring(s, i + 1, 1).alias("sym")) for i, up in enumerate(parents)))
+        rows = df.where(F.length(s) >= len(parents)).select((weight if weight is not None else F.lit(1.0)).alias("w"), F.explode(cells).alias("x")).groupBy("x.place", "x.context", "x.sym").agg(F.sum("w").alias("n")).collect()
+        counts: list[dict] = [{} for _ in parents]
+        for r in rows:
+            if r["sym"] in alphabet and set(r["context"]) <= set(alphabet):
+                counts[r["place"]].setdefault(r["context"], {})[r["sym"]] = r["n"]
+        m, logs = len(alphabet), []
+        for level in counts:
+            logs.append({c + a: math.log((row.get(a, 0.0) + ess / m) / (sum(row.values()) + ess)) for c, row in level.items() for a in alphabet if row.get(a, 0.0) + ess > 0})
+        return cls(alphabet, parents, logs)
+
+    @classmethod
+    def markov(cls, df: DataFrame, seq: str, alphabet: str, length: int, order: int, ess: float = 0.0, weight: Column | None = None) -> Dependent:
+        return cls.fit(df, seq, alphabet, [tuple(range(max(0, i - order), i)) for i in range(length)], ess, weight)
+
+    @classmethod
+    def learn(cls, df: DataFrame, seq: str, alphabet: str, ess: float = 1.0, weight: Column | None = None) -> Dependent:
+        """The best tree of parents by mutual information (one parent a place at most), then its probabilities. Pair counts
+        come from one aggregation; the tree is found on the driver."""
+        from strandwork.operators.clustering import spanning_forest
+        from strandwork.operators.kmers import mutual_information
+
+        pairs = [(r["i"], r["j"], r["mi"]) for r in mutual_information(df.select(seq), seq).collect()]
+        n = 1 + max((j for _, j, _ in pairs), default=0)
+        near: dict[int, list[int]] = {}
+        for i, j, _ in spanning_forest(pairs):
+            near.setdefault(i, []).append(j)
+            near.setdefault(j, []).append(i)
+        parents: list = [None] * n
+        for root in range(n):
+            todo = [] if parents[root] is not None else [(root, ())]
+            while todo:
+                i, up = todo.pop()
+                if parents[i] is None:
+                    parents[i] = up
+                    todo += [(j, (i,)) for j in near.get(i, []) if parents[j] is None]
+        return cls.fit(df, seq, alphabet, parents, ess, weight)
+
+    def score(self, seq: Column) -> Column:
+        """Log probability; minus infinity for what was never seen, null for shorter sequences and other symbols."""
+        m = len(self.alphabet)
+        terms = []
+        for i, up in enumerate(self.parents):
+            table = F.lit([self.logs[i].get("".join(w), -math.inf) for w in product(self.alphabet, repeat=len(up) + 1)])
+            code = F.lit(0)
+            for p in (*up, i):
+                code = code * m + F.nullif(F.instr(F.lit(self.alphabet), F.nullif(F.substring(seq, p + 1, 1), F.lit(""))), F.lit(0)) - 1
+            terms.append(F.get(table, code))
+        return reduce(lambda a, b: a + b, terms)
+
+
+def product_score(seq: Column, parts: list[tuple]) -> Column:
+    """Sum of models' scores on slices: (model, start, length)."""
+    return reduce(lambda a, b: a + b, [model.score(F.substring(seq, start + 1, length)) for model, start, length in parts])
+
+
+def fit_gaussians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, mean, sd, log_likelihood`` of a Gaussian to each group (maximum likelihood, which needs moments only)."""
+    m = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    return m.withColumn("log_likelihood", -F.col("n") * (F.log("sd") + 0.5 * math.log(2 * math.pi) + 0.5))
+
+
 def uniform_score(seq: Column, symbols: int) -> Column:
     return -F.length(seq) * math.log(symbols)
 

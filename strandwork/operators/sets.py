@@ -47,8 +47,29 @@ def shares_of(ids: Column, seed: int = 0) -> Column:
 
 
 def folds(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
-    """``fold`` by the hash of the id: no shuffle, and the same after a lost executor."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(k)).cast("int"))
+    """``fold`` by the digest of seed and id: no shuffle, and the same after a lost executor and in other engines."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % k).cast("int"))
+
+
+def shared(bags: list[DataFrame]) -> DataFrame:
+    """Distinct rows that all bags have."""
+    return reduce(DataFrame.intersect, bags)
+
+
+def merged_sets(pairs: DataFrame, a: str, b: str) -> dict:
+    """Union-find over a bounded number of pairs (sets, clusters, strains): member -> smallest member of its set."""
+    root: dict = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for x, y in pairs.select(a, b).distinct().collect():
+        low, high = sorted((find(x), find(y)))
+        root[high] = low
+    return {i: find(i) for i in root}
 
 
 def split(df: DataFrame, id_col: str, percentages: list[float], seed: int = 0) -> DataFrame:

@@ -431,11 +431,6 @@ def v6_split_by_quota(spark, d) -> DataFrame:
     return sets.split_by_quota(V.brands(spark, d), ["class_id"], ["id"], "weight", 0.3).select("id", "first_part")
 
 
-@query()
-def v1_folds(spark, d) -> DataFrame:
-    return sets.folds(V.brands(spark, d), "id", 5).groupBy("class_id", "fold").agg(F.count("*").alias("n"))
-
-
 # --- models -----------------------------------------------------------------------------------------
 
 SCORED = ", ll AS (SELECT b.id, b.seq, b.class_id AS c, p.class_id AS m, sum(ln(p.prob)) AS s FROM brands b, LATERAL (SELECT unnest(generate_series(1, length(b.seq))) AS i) t JOIN pwm p ON p.pos = t.i - 1 AND p.sym = substring(b.seq, t.i, 1) GROUP BY ALL)"
@@ -598,19 +593,6 @@ def g1_kmeans_step(spark, d) -> DataFrame:
     return step.select(F.col("centre").cast("bigint").alias("centre"), "n")
 
 
-@query("SELECT o_orderkey, CAST(levenshtein(o_orderpriority, 'MEDIUM') AS BIGINT) AS cost FROM orders")
-def g9_alignment(spark, d) -> DataFrame:
-    return V.table(spark, d, "orders").select("o_orderkey", F.levenshtein("o_orderpriority", F.lit("MEDIUM")).cast("bigint").alias("cost"))
-
-
 @query("SELECT chain_ AS n_chains, round(sqrt((((n - 1) / n) * w + b) / w), 6) AS ratio FROM (SELECT count(*) AS chain_, avg(n) AS n, avg(v) AS w, var_samp(m) AS b FROM (SELECT event_type, CAST(count(*) AS DOUBLE) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1))".replace("chain_ AS n_chains, ", ""))
 def g12_variance_ratio(spark, d) -> DataFrame:
     return stats.variance_ratio(V.table(spark, d, "events"), "event_type", "value").select(r6("ratio").alias("ratio"))
-
-
-@query()
-def g7_pfm_distances(spark, d) -> DataFrame:
-    """Distances of the position matrices of all part types."""
-    x = V.brands(spark, d).join(V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("motif")), "id")
-    pwm = kmers.probabilities(kmers.position_counts(x, "seq", None, ["motif"]), DNA, ["motif", "pos"], 4.0)
-    return clustering.pfm_distances(pwm, 6).select("a", "b", "offset", r6("d").alias("d"))

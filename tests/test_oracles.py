@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from strandwork.plans.queries import QUERIES, SQL
+from strandwork.plans.catalog import QUERIES, SQL
 from tests.conftest import SMALL
 
 DIR = os.environ.get("ORACLE_DIR", SMALL)
