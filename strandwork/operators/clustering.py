@@ -7,6 +7,7 @@ the driver in numpy.
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -230,12 +231,99 @@ def longest_path(weight: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def minimise(f, gradient, x: np.ndarray, method: str = "lbfgs", steps: int = 200, small: float = 1e-8, memory: int = 10) -> np.ndarray:
-    """Steepest descent (``steepest``), conjugate gradients (``cg``) or ``lbfgs``, with backtracking line search."""
+def leaf_order(merges: list[tuple[int, int, float, int]], distance: np.ndarray) -> list[int]:
+    """The order of a tree's leaves, among those that turning its branches gives, with the least sum of distances between
+    neighbours: by dynamic programming over the ends of each branch (a bounded number of objects)."""
+    n = len(distance)
+    # of each branch: (left end, right end) -> cost and the order
+    best: dict[int, dict] = {i: {(i, i): (0.0, [i])} for i in range(n)}
+    for k, (a, b, _, _) in enumerate(merges):
+        found: dict = {}
+        for one, other in ((best[a], best[b]), (best[b], best[a])):
+            for (u, v), (x, left) in one.items():
+                for (w, z), (y, right) in other.items():
+                    cost = x + distance[v, w] + y
+                    if (u, z) not in found or cost < found[u, z][0]:
+                        found[u, z] = cost, left + right
+        best[n + k] = found
+        del best[a], best[b]
+    return min((cost, order) for tree in best.values() for cost, order in tree.values())[1]
+
+
+def topological_order(children: dict) -> list:
+    """Nodes of a directed graph, each before its children; raises where there is a ring."""
+    waiting = dict.fromkeys(children, 0)
+    for below in children.values():
+        for c in below:
+            waiting[c] = waiting.get(c, 0) + 1
+    ready, out = [x for x, k in waiting.items() if not k], []
+    while ready:
+        x = ready.pop(0)
+        out.append(x)
+        for c in children.get(x, ()):
+            waiting[c] -= 1
+            if not waiting[c]:
+                ready.append(c)
+    if len(out) < len(waiting):
+        raise ValueError("the graph has a ring")
+    return out
+
+
+# --- optimisation: a stop is a function of the state (step, change, gradient, move, seconds, value) ------
+
+
+def after(steps: int):
+    return lambda s: s["step"] >= steps
+
+
+def small_change(limit: float):
+    return lambda s: abs(s["change"]) < limit
+
+
+def small_gradient(limit: float):
+    return lambda s: float(np.linalg.norm(s["gradient"])) < limit
+
+
+def small_step(limit: float):
+    return lambda s: s["move"] < limit
+
+
+def time_over(seconds: float):
+    return lambda s: s["seconds"] >= seconds
+
+
+def value_below(limit: float):
+    return lambda s: s["value"] < limit
+
+
+def any_of(*stops):
+    return lambda s: any([f(s) for f in stops])
+
+
+def all_of(*stops):
+    return lambda s: all([f(s) for f in stops])
+
+
+def repeatedly(stop, times: int):
+    """Holds when ``stop`` has held so often in a row."""
+    seen = [0]
+
+    def f(s):
+        seen[0] = seen[0] + 1 if stop(s) else 0
+        return seen[0] >= times
+
+    return f
+
+
+def minimise(f, gradient, x: np.ndarray, method: str = "lbfgs", stop=None, memory: int = 10) -> np.ndarray:
+    """Steepest descent (``steepest``), conjugate gradients (``cg_fr``, ``cg_prp``, and ``cg``, which restarts), ``bfgs``,
+    ``dfp`` or ``lbfgs``, with backtracking line search, until ``stop`` holds."""
+    stop = stop or any_of(after(200), small_change(1e-8))
     x = np.asarray(x, float)
-    g, value = gradient(x), f(x)
-    way, s, y = -g, [], []
-    for _ in range(steps):
+    g, value, began = gradient(x), f(x), time.monotonic()
+    way, s, y, inverse = -g, [], [], np.eye(len(x))
+    step = 0
+    while True:
         if g @ way >= 0:
             way = -g
         rate = 1.0
@@ -243,10 +331,13 @@ def minimise(f, gradient, x: np.ndarray, method: str = "lbfgs", steps: int = 200
             rate /= 2
         new = x + rate * way
         g_new, value_new = gradient(new), f(new)
-        if method == "cg":
-            way = -g_new + max(0.0, g_new @ (g_new - g) / max(g @ g, 1e-300)) * way
+        dx, dg = new - x, g_new - g
+        if method.startswith("cg"):
+            share = g_new @ g_new if method == "cg_fr" else g_new @ dg
+            share /= max(g @ g, 1e-300)
+            way = -g_new + (max(0.0, share) if method == "cg" else share) * way
         elif method == "lbfgs":
-            s, y = [*s, new - x][-memory:], [*y, g_new - g][-memory:]
+            s, y = [*s, dx][-memory:], [*y, dg][-memory:]
             q, alphas = g_new.copy(), []
             for a, b in zip(reversed(s), reversed(y)):
                 alphas.append(a @ q / (a @ b + 1e-300))
@@ -255,10 +346,20 @@ def minimise(f, gradient, x: np.ndarray, method: str = "lbfgs", steps: int = 200
             for a, b, al in zip(s, y, reversed(alphas)):
                 q += a * (al - b @ q / (a @ b + 1e-300))
             way = -q
+        elif method in ("bfgs", "dfp"):
+            curve = dx @ dg
+            if curve > 1e-12:
+                if method == "bfgs":
+                    left = np.eye(len(x)) - np.outer(dx, dg) / curve
+                    inverse = left @ inverse @ left.T + np.outer(dx, dx) / curve
+                else:
+                    turned = inverse @ dg
+                    inverse = inverse + np.outer(dx, dx) / curve - np.outer(turned, turned) / (dg @ turned)
+            way = -inverse @ g_new
         else:
             way = -g_new
-        done = abs(value - value_new) < small
+        step += 1
+        state = {"step": step, "change": value - value_new, "gradient": g_new, "move": float(np.linalg.norm(dx)), "seconds": time.monotonic() - began, "value": value_new}
         x, g, value = new, g_new, value_new
-        if done:
-            break
-    return x
+        if stop(state):
+            return x

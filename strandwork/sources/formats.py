@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwork.functions.scalar import infix, let, running_sums
+
 GFF = "seqid string, source string, type string, start bigint, end bigint, score string, strand string, phase string, attributes string"
 BEDGRAPH = "chrom string, start bigint, end bigint, cov string"
 NARROWPEAK = "chrom string, start bigint, end bigint, name string, score int, strand string, signal double, p double, q double, summit int"
 FAI = "chrom string, length bigint, offset bigint, linebases int, linewidth int"
+#: The twelve columns of tabular hits, and those of the long form after them.
 HITS = "query string, subject string, identity double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double"
+MORE_HITS = ", subjects string, score bigint, identical int, positive int, gaps int, ppos double, frames string, qseq string, sseq string, qlen bigint, slen bigint, title string"
 METHYLATION = "chrom string, start bigint, end bigint, percent double, meth bigint, unmeth bigint"
 
 
@@ -39,36 +46,71 @@ def genome_parts(fasta: DataFrame, least: int, chunk: int | None = None, overlap
     """``id, offset, seq``: runs of A, C, G, T of at least ``least`` symbols, cut in overlapping chunks if asked for."""
     seq = F.upper("seq")
     runs = F.regexp_extract_all(seq, F.lit("([ACGT]+)"), F.lit(1))
-    gaps = F.split(seq, "[ACGT]+")
-    with_offset = F.aggregate(
-        F.sequence(F.lit(1), F.size(runs)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,part:string>>").alias("out")),
-        lambda s, i: F.struct(
-            (s["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(runs, i))).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + F.length(F.element_at(gaps, i))).alias("offset"), F.element_at(runs, i).alias("part")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    found = F.when(F.size(runs) > 0, with_offset).otherwise(F.array().cast("array<struct<offset:int,part:string>>"))
+
+    def placed(x):
+        gaps = F.split(seq, "[ACGT]+")
+        each = F.zip_with(F.slice(gaps, F.lit(1), F.size(x)), x, lambda g, r: F.length(g) + F.length(r))
+        ends = F.zip_with(running_sums(each), each, lambda s, n: s + n)
+        return F.zip_with(ends, x, lambda end, r: F.struct((end - F.length(r)).alias("offset"), r.alias("part")))
+
+    found = let(runs, placed)
     parts = fasta.select(F.substring_index("header", " ", 1).alias("id"), F.explode(found).alias("x")).select("id", "x.offset", F.col("x.part").alias("seq")).where(F.length("seq") >= least)
     if not chunk:
         return parts
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - overlap - 1), F.lit(chunk))
-    cut = parts.select("id", "offset", "seq", F.explode(starts).alias("at"))
-    return cut.select("id", (F.col("offset") + F.col("at")).alias("offset"), F.substring(F.col("seq"), F.col("at") + 1, F.lit(chunk + overlap)).alias("seq"))
+    if overlap > chunk:
+        raise ValueError("chunks can't overlap by more than their size")
+    # one pass: pieces without overlap, then the next piece's first symbols
+    pieces = F.regexp_extract_all("seq", F.lit(rf"(?s).{{1,{chunk}}}"), F.lit(0))
+    joined = let(pieces, lambda x: F.transform(x, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(x, i + 1), 1, overlap), F.lit("")))))
+    cut = parts.select("id", "offset", F.posexplode(joined).alias("k", "seq")).select("id", (F.col("offset") + F.col("k") * chunk).alias("offset"), "seq", "k")
+    # a last piece that the one before it holds already says nothing new
+    return cut.where((F.col("k") == 0) | (F.length("seq") > overlap)).drop("k")
+
+
+def read_infixes(spark: SparkSession, path: str, start: int, length: int, comment: str = "#") -> DataFrame:
+    """``seq``: the same slice of each line."""
+    return read_lines(spark, path, comment).select(infix(F.col("seq"), start, length).alias("seq"))
+
+
+def first_records(df: DataFrame, n: int) -> DataFrame:
+    return df.limit(n)
+
+
+def keyed(fasta: DataFrame, pattern: str, group: int = 1, find: str | None = None, put: str = "") -> DataFrame:
+    """``key, seq`` of FASTA records: the part of the header that a pattern finds (null: it doesn't), after a replacement."""
+    key = F.nullif(F.regexp_extract("header", pattern, group), F.lit(""))
+    return fasta.select((F.regexp_replace(key, find, put) if find else key).alias("key"), "seq")
+
+
+def _as_map(pairs: Column) -> Column:
+    """Pairs (k, v) as a map; values of a key that comes several times are joined with commas."""
+    keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(pairs, lambda x: x["k"] == k), lambda x: x["v"]), ",")))
 
 
 def annotations(header: Column) -> Column:
-    """``key: value; key: value`` as a map."""
-    return F.transform_values(F.transform_keys(F.str_to_map(header, F.lit(";"), F.lit(":")), lambda k, v: F.trim(k)), lambda k, v: F.trim(v))
+    """``key: value; key: value`` as a map; values of repeated keys are joined with commas, parts without a colon left out."""
+    parts = F.filter(F.split(header, ";"), lambda x: F.contains(x, F.lit(":")))
+    return _as_map(F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v"))))
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    """The nine columns and ``attrs``, a map (GFF3 ``k=v`` or GTF ``k "v"``); comments are left out."""
+    """The nine columns and ``attrs``, a map (GFF3 ``k=v`` or GTF ``k "v"``; values of repeated keys are joined with commas);
+    comments are left out."""
     raw = spark.read.csv(path, sep="\t", comment="#", schema=GFF, quote="")
     pairs = F.filter(F.split(F.trim("attributes"), r"\s*;\s*"), lambda x: x != "")
-    attrs = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r'^([^= ]+)', 1).alias("k"), F.regexp_extract(x, r'^[^= ]+[= ]"?([^"]*)"?$', 1).alias("v"))))
-    return raw.withColumn("attrs", attrs)
+    named = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^([^= ]+)", 1).alias("k"), F.regexp_extract(x, r'^[^= ]+[= ]"?([^"]*)"?$', 1).alias("v")))
+    return raw.withColumn("attrs", _as_map(F.coalesce(named, F.array().cast("array<struct<k:string,v:string>>"))))
+
+
+def read_introns(spark: SparkSession, path: str, least: int) -> DataFrame:
+    """``chrom, start, end, strand, reads`` (zero-based, half-open) of introns with ``least`` reads or more; a score that is
+    no number counts as ``least``, and a strand that isn't known as both."""
+    gff = read_gff(spark, path)
+    reads = F.coalesce(F.expr("try_cast(score as bigint)"), F.lit(least))
+    strands = F.when(F.col("strand").isin("+", "-"), F.array("strand")).otherwise(F.array(F.lit("+"), F.lit("-")))
+    rows = gff.select(F.col("seqid").alias("chrom"), (F.col("start") - 1).alias("start"), "end", F.explode(strands).alias("strand"), reads.alias("reads"))
+    return rows.where(F.col("reads") >= least).groupBy("chrom", "start", "end", "strand").agg(F.sum("reads").alias("reads"))
 
 
 def with_parents(gff: DataFrame) -> DataFrame:
@@ -101,8 +143,8 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """Tabular search hits, the twelve standard columns (more may follow)."""
-    return spark.read.csv(path, sep="\t", schema=HITS, comment="#")
+    """Tabular search hits: the twelve standard columns and those of the long form (null if a file doesn't have them)."""
+    return spark.read.csv(path, sep="\t", schema=HITS + MORE_HITS, comment="#")
 
 
 def read_methylation(spark: SparkSession, path: str) -> DataFrame:
@@ -115,29 +157,85 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     half-open intervals of the alignment on its chromosome."""
     raw = spark.read.text(path).where(~F.col("value").startswith("@"))
     f = F.split("value", "\t")
-    rows = raw.select(f[0].alias("name"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("bigint") - 1).alias("pos"), f[5].alias("cigar"))
-    sizes = F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1))
-    kinds = F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
-    kind = "array<struct<start:bigint,end:bigint,kind:string>>"
-    steps = F.aggregate(
-        F.zip_with(sizes, kinds, lambda n, k: F.struct(n.cast("bigint").alias("n"), k.alias("k"))),
-        F.struct(F.col("pos").alias("at"), F.array().cast(kind).alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.when(x["k"].isin("M", "D", "N", "=", "X"), x["n"]).otherwise(0)).alias("at"),
-            F.when(x["k"].isin("M", "N", "=", "X"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + x["n"]).alias("end"), x["k"].alias("kind"))))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    done = rows.withColumn("__steps", steps)
-    return done.withColumn("blocks", F.filter("__steps", lambda x: x["kind"] != "N")).withColumn("introns", F.filter("__steps", lambda x: x["kind"] == "N")).drop("__steps")
+    # get() and not an index: conditions may be evaluated in any order
+    rows = raw.select(F.get(f, F.lit(0)).alias("name"), F.get(f, F.lit(1)).try_cast("int").alias("flag"), F.get(f, F.lit(2)).alias("chrom"), (F.get(f, F.lit(3)).try_cast("bigint") - 1).alias("pos"), F.get(f, F.lit(5)).alias("cigar"))
+    pattern = F.lit(r"(\d+)([MIDNSHP=X])")
+    sizes, kinds = (F.regexp_extract_all("cigar", pattern, F.lit(k)) for k in (1, 2))
+
+    def steps(ops):
+        moved = F.transform(ops, lambda x: F.when(x["k"].isin("M", "D", "N", "=", "X"), x["n"]).otherwise(F.lit(0).cast("bigint")))
+        return F.zip_with(running_sums(moved), ops, lambda at, x: F.struct((F.col("pos") + at).alias("start"), (F.col("pos") + at + x["n"]).alias("end"), x["k"].alias("kind")))
+
+    done = rows.withColumn("__steps", let(F.zip_with(sizes, kinds, lambda n, k: F.struct(n.cast("bigint").alias("n"), k.alias("k"))), steps))
+    return done.withColumn("blocks", F.filter("__steps", lambda x: x["kind"].isin("M", "=", "X"))).withColumn("introns", F.filter("__steps", lambda x: x["kind"] == "N")).drop("__steps")
+
+
+def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    return spark.read.option("lineSep", separator).text(path).where("trim(value) <> ''")
 
 
 def read_pfms(spark: SparkSession, path: str) -> DataFrame:
-    """``motif, pos, sym, cnt`` from matrices in the form of a '>' line and one line a symbol (``A [ 1 2 3 ]``)."""
-    records = spark.read.option("lineSep", "\n>").text(path).where("trim(value) <> ''")
-    lines = records.select(F.regexp_extract("value", r"^>?(\S+)", 1).alias("motif"), F.explode(F.slice(F.split("value", "\n"), 2, 1000)).alias("line")).where(r"line rlike '^[A-Za-z]'")
-    numbers = F.regexp_extract_all("line", F.lit(r"([0-9.]+)"), F.lit(1))
-    return lines.select("motif", F.upper(F.substring("line", 1, 1)).alias("sym"), F.posexplode(numbers).alias("pos", "cnt")).withColumn("cnt", F.col("cnt").cast("double"))
+    """``motif, pos, sym, cnt`` from matrices in the form of a '>' line and one line a symbol (``A [ 1 2 3 ]``), or four
+    lines of numbers only, for A, C, G and T."""
+    records = _records(spark, path, "\n>").select(F.regexp_extract("value", r"^>?(\S+)", 1).alias("motif"), F.split("value", "\n").alias("lines"))
+    lines = records.select("motif", F.posexplode(F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda x: x.rlike("[0-9]"))).alias("k", "line"))
+    sym = F.when(F.col("line").rlike(r"^\s*[A-Za-z]"), F.upper(F.regexp_extract("line", r"^\s*([A-Za-z])", 1))).otherwise(F.get(F.array(*map(F.lit, "ACGT")), "k"))
+    numbers = F.regexp_extract_all("line", F.lit(r"([0-9.]+(?:[eE][-+]?[0-9]+)?)"), F.lit(1))
+    return lines.select("motif", sym.alias("sym"), F.posexplode(numbers).alias("pos", "cnt")).withColumn("cnt", F.col("cnt").cast("double"))
+
+
+def read_position_rows(spark: SparkSession, path: str, name: str = "ID") -> DataFrame:
+    """``motif, pos, sym, cnt`` from records that end with ``//``, with a line ``name`` (or ``AC``, ``NA``, ``DE``) and a row to
+    a place: ``01 1 2 3 4 [N]``, after a header like ``P0 A C G T``."""
+    records = _records(spark, path, "//")
+    lines = F.split("value", "\n")
+    label = F.regexp_extract("value", rf"(?m)^{name}\s+(\S+)", 1)
+    head = F.regexp_extract("value", r"(?m)^P[O0]\s+(.*)$", 1)
+    symbols = F.when(head == "", F.array(*map(F.lit, "ACGT"))).otherwise(F.regexp_extract_all(head, F.lit(r"([A-Za-z])"), F.lit(1)))
+    rows = records.select(label.alias("motif"), symbols.alias("symbols"), F.posexplode(F.filter(lines, lambda x: x.rlike(r"^\s*\d+\s+[0-9.]"))).alias("pos", "line")).where("motif <> ''")
+    values = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x.rlike(r"^[0-9.]+(?:[eE][-+]?[0-9]+)?$"))
+    cells = rows.select("motif", "pos", F.explode(F.arrays_zip(F.col("symbols").alias("sym"), F.slice(values, F.lit(2), F.size("symbols")).alias("cnt"))).alias("x"))
+    return cells.select("motif", "pos", F.upper("x.sym").alias("sym"), F.col("x.cnt").cast("double").alias("cnt"))
+
+
+def read_labelled_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``motif, pos, sym, cnt`` from files with one matrix each: the first line is the name, then a line a symbol
+    (``A: 0.1 0.2``). Files are small, so each is one record."""
+    files = spark.read.text(path, wholetext=True)
+    lines = F.split("value", "\r?\n")
+    rows = files.select(F.trim(lines[0]).alias("motif"), F.explode(F.filter(lines, lambda x: x.rlike(r"^[ACGTacgt]\s*:"))).alias("line"))
+    numbers = F.regexp_extract_all(F.regexp_replace("line", "^[^:]*:", ""), F.lit(r"([0-9.]+(?:[eE][-+]?[0-9]+)?)"), F.lit(1))
+    return rows.select("motif", F.upper(F.substring("line", 1, 1)).alias("sym"), F.posexplode(numbers).alias("pos", "cnt")).withColumn("cnt", F.col("cnt").cast("double"))
+
+
+def parse_profile(text: str) -> dict:
+    """A profile hidden Markov model in its ASCII form (version 3): ``name, alphabet, background, match`` and ``insert`` (nodes x
+    symbols) and ``move`` (nodes x seven transitions), all as probabilities. Node 0 is the begin."""
+    head, rows, body = {}, [], False
+    for line in text.splitlines():
+        if line.startswith("//"):
+            break
+        parts = line.split()
+        if not parts:
+            continue
+        if parts[0] == "HMM" and not body:
+            body, alphabet = True, parts[1:]
+        elif body:
+            rows.append(parts)
+        else:
+            head[parts[0]] = " ".join(parts[1:])
+
+    def numbers(parts):
+        return [0.0 if x == "*" else math.exp(-float(x)) for x in parts]
+
+    m, rows = len(alphabet), rows[1:]  # the first row names the transitions
+    background = numbers(rows.pop(0)[1 : m + 1]) if rows and rows[0][0] == "COMPO" else None
+    match, insert, move = [[]], [numbers(rows[0][:m])], [numbers(rows[1][:7])]
+    for k in range(2, len(rows) - 2, 3):
+        match.append(numbers(rows[k][1 : m + 1]))
+        insert.append(numbers(rows[k + 1][:m]))
+        move.append(numbers(rows[k + 2][:7]))
+    return {"name": head.get("NAME", ""), "alphabet": "".join(alphabet), "background": background, "match": match, "insert": insert, "move": move}
 
 
 def parse_newick(text: str) -> list[tuple[int, int, str, float]]:
@@ -196,3 +294,64 @@ def write_split(df: DataFrame, path: str, parts: int, group: Column) -> None:
 
 def save(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
     df.write.format(kind).options(**options).save(path)
+
+
+def write_annotated(df: DataFrame, path: str, notes: str, seq: str = "seq") -> None:
+    """FASTA whose headers are a map's ``key: value; key: value``, in the order of the keys."""
+    header = F.array_join(F.transform(F.array_sort(F.map_entries(notes)), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "; ")
+    df.select(F.concat(F.lit(">"), header, F.lit("\n"), F.col(seq)).alias("value")).write.text(path)
+
+
+def write_lines(df: DataFrame, path: str, column: str, pattern: str, keep: bool = True) -> None:
+    """The lines of a column that a pattern finds, or those that it doesn't."""
+    found = F.col(column).rlike(pattern)
+    df.where(found if keep else ~found).select(F.col(column).alias("value")).write.text(path)
+
+
+def graph_text(edges: DataFrame, a: str, b: str, label: str | None = None, name: str = "g") -> str:
+    """A directed graph (of a model's states or places: a bounded number) in Graphviz form."""
+    rows = edges.select(F.col(a).cast("string"), F.col(b).cast("string"), *([F.col(label).cast("string")] if label else [])).collect()
+    lines = [f'  "{r[0]}" -> "{r[1]}"' + (f' [label="{r[2]}"]' if label else "") + ";" for r in sorted(rows)]
+    return "\n".join([f"digraph {name} {{", *lines, "}"]) + "\n"
+
+
+def dump_model(model) -> str:
+    """A fitted model (a dataclass of numbers, texts, lists, arrays and models) as JSON."""
+    import dataclasses
+
+    import numpy as np
+
+    def plain(x):
+        if dataclasses.is_dataclass(x):
+            return {"__model": type(x).__name__} | {f.name: plain(getattr(x, f.name)) for f in dataclasses.fields(x)}
+        if isinstance(x, np.ndarray):
+            return {"__array": x.tolist()}
+        if isinstance(x, tuple):
+            return {"__tuple": [plain(v) for v in x]}
+        if isinstance(x, list):
+            return [plain(v) for v in x]
+        return {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    return json.dumps(plain(model))
+
+
+def load_model(text: str):
+    """What ``dump_model`` wrote."""
+    import numpy as np
+
+    from strandwork.operators import models
+
+    def made(x):
+        if isinstance(x, list):
+            return [made(v) for v in x]
+        if not isinstance(x, dict):
+            return x
+        if "__array" in x:
+            return np.asarray(x["__array"])
+        if "__tuple" in x:
+            return tuple(made(v) for v in x["__tuple"])
+        if "__model" in x:
+            return getattr(models, x["__model"])(**{k: made(v) for k, v in x.items() if k != "__model"})
+        return {k: made(v) for k, v in x.items()}
+
+    return made(json.loads(text))
