@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.scalar import reverse_complement, translate_codons, windows
-from strandwork.operators.intervals import coverage, overlap_join
+from strandwork.operators.intervals import coverage, islands, overlap_join
 from strandwork.operators.ordered import numbered
 
 
@@ -184,7 +184,13 @@ def spliced(genome: DataFrame, parts: DataFrame, chrom: str = "chrom", seq: str
     return joined.select("transcript", "cds", translate_codons(F.expr("substring(cds, phase + 1)")).alias("protein"))
 
 
-def pick_isoforms(clusters: DataFrame, score: Column) -> DataFrame:
-    """The best prediction (``id``) of each cluster: highest score, then the smallest id."""
-    best = clusters.groupBy("cluster").agg(F.max(F.struct(score.alias("score"), (-F.col("id")).alias("minus"))).alias("x"))
-    return best.select("cluster", (-F.col("x.minus")).alias("id"), "x.score")
+def filter_predictions(df: DataFrame, keep: Column | str, score: Column) -> DataFrame:
+    """The best prediction of each cluster: equal ones (``chrom, strand, start, end``) are one, with the highest score and
+    all their ``evidence`` counted; those that ``keep`` holds for are clustered where they overlap on a strand; of a cluster
+    the highest score stays, of equals the smallest id. ``id, chrom, strand, start, end, score, evidence, members``."""
+    same = df.withColumn("__s", score).groupBy("chrom", "strand", "start", "end").agg(F.min("id").alias("id"), F.max("__s").alias("score"), F.count("*").alias("evidence"))
+    kept = same.where(keep)
+    clusters = islands(kept, ["chrom", "strand"], "start", "end", -1)  # touching ones don't overlap
+    rank = F.struct("score", (-F.col("id")).alias("minus"), "id", "start", "end", "evidence")
+    best = clusters.groupBy("chrom", "strand", "island").agg(F.max(rank).alias("x"), F.count("*").alias("members"))
+    return best.select("x.id", "chrom", "strand", "x.start", "x.end", "x.score", "x.evidence", "members")

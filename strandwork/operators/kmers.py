@@ -137,3 +137,11 @@ def de_bruijn(alphabet: str, n: int) -> str:
         if all(root <= root[i:] + root[:i] for i in range(p)):
             out.append((root, "".join(alphabet[c] for c in root)))
     return "".join(t for _, t in sorted(set(out)))
+
+
+def pair_scales(df: DataFrame, id_col: str, seq: str, scales: DataFrame) -> DataFrame:
+    """``id, scale, mean, most`` of numbers given to pairs of neighbours (``scale, pair, x``: sixteen rows to a scale). Pairs
+    are counted within each sequence first, so a sequence sends sixteen rows at most."""
+    counts = kmers(df.select(id_col, seq), seq, 2).groupBy(id_col, "kmer").agg(F.count("*").alias("n"))
+    both = counts.join(F.broadcast(scales), F.col("kmer") == F.col("pair"))  # a published table
+    return both.groupBy(id_col, "scale").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.max("x").alias("most"))

@@ -400,3 +400,93 @@ class LogLinear:
             rate = 4.0 / (1 + step / 20)
             model = cls(alphabet, model.weights + rate * (g - prior * model.weights / n), model.bias + rate * float(g[0].sum()))
         return model
+
+
+#: Learning principles as shares of conditional likelihood, likelihood and prior.
+PRINCIPLES = {"ML": (0.0, 1.0, 0.0), "MAP": (0.0, 0.5, 0.5), "MCL": (1.0, 0.0, 0.0), "MSP": (0.5, 0.0, 0.5)}
+
+
+@dataclass
+class GenDisMix:
+    """A classifier of one matrix to each class, trained by any mixture of conditional likelihood, likelihood and prior.
+
+    ``theta`` (classes x places x symbols) and ``xi`` (classes) are logarithms up to a constant: a class's places and the
+    classes' shares are their softmax.
+    """
+
+    alphabet: str
+    theta: np.ndarray
+    xi: np.ndarray
+
+    @staticmethod
+    def _logs(x: np.ndarray) -> np.ndarray:
+        x = x - x.max(axis=-1, keepdims=True)
+        return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+
+    def scores(self, seq: Column) -> list[Column]:
+        """Log of the joint probability of class and sequence; null as for matrices."""
+        return [_by_place(seq, self.alphabet, m) + float(c) for m, c in zip(self._logs(self.theta), self._logs(self.xi))]
+
+    def score(self, seq: Column) -> Column:
+        """Of two classes, the first's score less the second's."""
+        a, b = self.scores(seq)[:2]
+        return a - b
+
+    @classmethod
+    def fit(cls, df: DataFrame, seq: str, alphabet: str, length: int, classes: int = 2, beta=PRINCIPLES["MSP"], prior: str = "dirichlet", strength: float = 4.0, weight: str = "weight", steps: int = 40) -> GenDisMix:
+        """Each value and gradient of the objective is one aggregation over (place, symbol), whatever the number of rows.
+
+        ``prior``: ``dirichlet`` (``strength`` pseudo-counts to a class, spread over the symbols of each place), ``gaussian``
+        (variance ``strength``), ``laplace`` (scale ``strength``) or ``none``.
+        """
+        from strandwork.operators.clustering import after, any_of, minimise, small_change
+
+        s = F.col(seq)
+        rows = df.where(F.length(s) >= length).where(F.translate(F.substring(s, 1, length), alphabet, "") == "").where(F.col("class_id").between(0, classes - 1))
+        rows = rows.select(F.substring(s, 1, length).alias("seq"), F.col("class_id").alias("c"), F.col(weight).cast("double").alias("w"))
+        total = rows.agg(F.sum("w")).first()[0] or 1.0
+        m, shape = len(alphabet), (classes, length, len(alphabet))
+        seen: dict[bytes, tuple[float, np.ndarray]] = {}
+
+        def split(x):
+            return x[: classes * length * m].reshape(shape), x[classes * length * m :]
+
+        def both(x):
+            if x.tobytes() not in seen:
+                theta, xi = split(x)
+                model = cls(alphabet, theta, xi)
+                joint = F.array(*model.scores(F.col("seq")))
+                scored = rows.select("seq", "c", "w", joint.alias("s")).select("seq", "c", "w", "s", log_sum(F.col("s")).alias("all"))
+                own = F.get("s", F.col("c"))
+                value = F.col("w") * (beta[0] * (own - F.col("all")) + beta[1] * own)
+                push = [F.col("w") * (beta[0] * ((F.col("c") == k).cast("double") - F.exp(F.get("s", F.lit(k)) - F.col("all"))) + beta[1] * (F.col("c") == k).cast("double")) for k in range(classes)]
+                made = scored.select("seq", value.alias("v"), *(p.alias(f"a{k}") for k, p in enumerate(push)))
+                cells = made.select("v", *(f"a{k}" for k in range(classes)), F.posexplode(F.split("seq", "")).alias("pos", "sym"))
+                found = cells.groupBy("pos", "sym").agg(F.sum("v").alias("v"), *(F.sum(f"a{k}").alias(f"a{k}") for k in range(classes))).collect()
+                n, v = np.zeros(shape), 0.0
+                for r in found:
+                    v += r["v"] if r["pos"] == 0 else 0.0
+                    n[:, r["pos"], alphabet.index(r["sym"])] += [r[f"a{k}"] for k in range(classes)]
+                logs, shares = cls._logs(theta), cls._logs(xi)
+                mass = n.sum(axis=2, keepdims=True)
+                g, gx = n - mass * np.exp(logs), mass[:, 0, 0] - mass[:, 0, 0].sum() * np.exp(shares)
+                b = beta[2]
+                if prior == "dirichlet":
+                    pc = strength / m
+                    v += b * (pc * logs.sum() + strength * shares.sum())
+                    g += b * (pc - pc * m * np.exp(logs))
+                    gx += b * (strength - strength * classes * np.exp(shares))
+                elif prior == "gaussian":
+                    v -= b * ((theta**2).sum() + (xi**2).sum()) / (2 * strength)
+                    g, gx = g - b * theta / strength, gx - b * xi / strength
+                elif prior == "laplace":
+                    v -= b * (np.abs(theta).sum() + np.abs(xi).sum()) / strength
+                    g, gx = g - b * np.sign(theta) / strength, gx - b * np.sign(xi) / strength
+                seen.clear()
+                seen[x.tobytes()] = -v / total, -np.concatenate([g.ravel(), gx]) / total
+            return seen[x.tobytes()]
+
+        start = np.zeros(classes * length * m + classes)
+        best = minimise(lambda x: both(x)[0], lambda x: both(x)[1], start, "lbfgs", any_of(after(steps), small_change(1e-10)))
+        theta, xi = split(best)
+        return cls(alphabet, theta, xi)

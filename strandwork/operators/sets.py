@@ -97,3 +97,26 @@ def hold_outs(df: DataFrame, id_col: str, percentage: float, repeats: int):
     for r in range(repeats):
         kept = shares_of(F.col(id_col), r) < percentage / 100
         yield df.where(kept), df.where(~kept)
+
+
+def sampled_pairs(df: DataFrame, fraction: float, repeats: int, seed: int = 0):
+    """Train and test frames drawn apart from each other, with replacement, so they may share rows."""
+    for r in range(repeats):
+        yield df.sample(True, fraction, seed + 2 * r), df.sample(True, fraction, seed + 2 * r + 1)
+
+
+def sampled_hold_outs(df: DataFrame, id_col: str, class_col: str, reference: int, percentage: float, repeats: int):
+    """Hold-outs of a reference class; of each other class about as many rows as the reference class has on either side."""
+    n = {r[0]: r[1] for r in df.groupBy(class_col).agg(F.count("*")).collect()}
+    for r in range(repeats):
+        share = F.lit(1.0)
+        for c, k in n.items():
+            share = F.when(F.col(class_col) == c, min(1.0, n.get(reference, 0) / k)).otherwise(share)
+        drawn = df.where(shares_of(F.col(id_col), 2 * r + 1) < share)
+        kept = shares_of(F.col(id_col), 2 * r) < percentage / 100
+        yield drawn.where(kept), drawn.where(~kept)
+
+
+def filtered(df: DataFrame, expression: str) -> DataFrame:
+    """Rows for which an SQL expression over their columns (or a map's ``attrs['name']``) holds."""
+    return df.where(F.expr(expression))

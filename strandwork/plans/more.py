@@ -501,3 +501,34 @@ def l21_fitted_gaussians(spark, d) -> DataFrame:
     return fitted.select("event_type", r6("mean").alias("mean"), r6("sd").alias("sd"), F.round("log_likelihood", 3).alias("log_likelihood"))
 
 
+@query()
+def c7_gen_dis_mix(spark, d) -> DataFrame:
+    """Supervised posterior with a product-Dirichlet prior; tests hold the other principles against closed forms."""
+    x = V.brands(spark, d)
+    model = models.GenDisMix.fit(x, "seq", DNA, 8, steps=12)
+    return x.select("id", F.round(model.score(F.col("seq")), 3).alias("score"))
+
+
+_PRED = """pd AS (SELECT chrom, strand, "start", "end", min(id) AS id, max(cov) AS score, count(*) AS evidence FROM intervals GROUP BY ALL HAVING max(cov) >= 3),
+ pf AS (SELECT *, CASE WHEN max("end") OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > "start" THEN 0 ELSE 1 END AS f FROM pd), pc AS (SELECT *, sum(f) OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS k FROM pf)"""
+
+
+@query('SELECT id, chrom, strand, "start", "end", score, evidence, members FROM (SELECT *, count(*) OVER (PARTITION BY chrom, strand, k) AS members, row_number() OVER (PARTITION BY chrom, strand, k ORDER BY score DESC, id, "start" DESC) AS place FROM pc) WHERE place = 1', V.INTERVALS, _PRED)
+def n1_filtered_predictions(spark, d) -> DataFrame:
+    return genome.filter_predictions(V.intervals(spark, d), "score >= 3", F.col("cov"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE value > 40 AND event_type LIKE 'c%' OR user_id % 10 = 3")
+def f4_expression(spark, d) -> DataFrame:
+    return sets.filtered(V.table(spark, d, "events"), "value > 40 AND event_type LIKE 'c%' OR user_id % 10 = 3").select("event_id", "user_id")
+
+
+_TWO = "sc AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{a}{b}', CAST({v} AS DOUBLE))" for n, f in (("gc", lambda a, b: (a in "GC") + (b in "GC")), ("step", lambda a, b: DNA.index(a) - DNA.index(b))) for a in DNA for b in DNA for v in [f(a, b)]) + ") v(scale, pair, x))"
+
+
+@query("SELECT seq_id, scale, round(avg(x), 6) AS mean, max(x) AS most FROM km JOIN sc ON pair = kmer GROUP BY ALL", V.SEQS, KMERS.format(k=2), _TWO)
+def p17_scales(spark, d) -> DataFrame:
+    """Any number of scales as a table: sixteen rows to a scale meet the pairs."""
+    rows = [("gc", a + b, float((a in "GC") + (b in "GC"))) for a in DNA for b in DNA] + [("step", a + b, float(DNA.index(a) - DNA.index(b))) for a in DNA for b in DNA]
+    scales = spark.createDataFrame(rows, "scale string, pair string, x double")
+    return kmers.pair_scales(V.seqs(spark, d), "seq_id", "seq", scales).select("seq_id", "scale", r6("mean").alias("mean"), "most")
