@@ -65,8 +65,9 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, order_col: str, carried: list[str]) -> DataFrame:
-    """``docs`` with ``next``: a struct of ``carried`` from the next row in ascending order (the last row's: the first's).
+def with_next(docs: DataFrame, order_col: str, carried: list[str], made: dict[str, Column] | None = None) -> DataFrame:
+    """``docs`` with columns ``made`` of each row's own, and ``next``: a struct of ``carried`` from the next row in ascending
+    order (the last row's: the first's).
 
     Rows are dealt out by buckets of neighbouring ids, cut at approximate quantiles, in one shuffle; each bucket
     also gets a copy of the row after it. Only the buckets' bounds and first ids (``MAX_BUCKETS`` at most) reach
@@ -97,14 +98,15 @@ def with_next(docs: DataFrame, order_col: str, carried: list[str]) -> DataFrame:
     first_of = {r[0]: r[1]["id"] for r in firsts}
     goes_to = {order[i]: order[i - 1] for i in range(len(order))}  # the first bucket's first row closes the last bucket
     if not order:
-        return docs.withColumn("next", F.struct(*carried))
+        return docs.withColumns(made or {}).withColumn("next", F.struct(*carried))
     guards = spark.createDataFrame([(first_of[b], b, goes_to[b]) for b in order], f"__first {docs.schema[order_col].dataType.simpleString()}, __own int, __to int")
     copies = docs.join(F.broadcast(guards), F.col(order_col).eqNullSafe(F.col("__first")))
     # of rows with the bucket's first id, the one that comes first
     every = [F.col(c) for c in docs.columns]
     copies = copies.groupBy("__to").agg(F.min(F.struct(*every)).alias("row")).select("row.*", F.col("__to").alias("__bucket"), F.lit(True).alias("__copy"))
     w = Window.partitionBy("__bucket").orderBy("__copy", F.col(order_col).asc_nulls_first(), *(c for c in docs.columns if c != order_col))
-    out = dealt.unionByName(copies).withColumn("next", F.lead(F.struct(*carried)).over(w))
+    # what is made of a row is made once, before rows and copies are dealt out
+    out = dealt.unionByName(copies).withColumns(made or {}).withColumn("next", F.lead(F.struct(*carried)).over(w))
     return out.where(~F.col("__copy")).drop("__bucket", "__copy")
 
 
@@ -112,15 +114,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Sketches of every text and of its edited text: the last half (rounded down) replaced by as many first code
     points of the next text. ``id, text, edited, sketch, edited_sketch, next_sketch``."""
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    paired = with_next(narrow, "id", ["text"])
+    paired = with_next(narrow, "id", ["text", "sketch"], {"sketch": sketch(F.col("text"), words, fraction)})
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    paired = paired.select("id", "text", F.col("next.text").alias("next"), edited.alias("edited"))
-    return paired.select(
-        F.col("id").alias(id_col),
-        F.col("text").alias(text_col),
-        "edited",
-        sketch(F.col("text"), words, fraction).alias("sketch"),
-        sketch(F.col("edited"), words, fraction).alias("edited_sketch"),
-        sketch(F.col("next"), words, fraction).alias("next_sketch"),
-    )
+    paired = paired.select("id", "text", "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
+    return paired.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "edited", "sketch", sketch(F.col("edited"), words, fraction).alias("edited_sketch"), "next_sketch")
