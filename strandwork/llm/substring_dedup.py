@@ -8,12 +8,14 @@ left and 200 to the right: its context.
 1. Anchors travel as hashes: of the gram, and 128 bits of the context (whole equal texts and contexts are known by 128
    bits, as nothing else is). A gram that occurs once is done with; contexts that are equal as a whole are repeated.
 2. Of contexts that share a gram but differ, one of each set of equals is looked at further. A string in it has 0 to
-   168 bytes before the anchor; these numbers are cut in four ranges, and all strings of a range have the 158 bytes
+   168 bytes before the anchor; these numbers are cut in two ranges, and all strings of a range have the 116 bytes
    between them in common, called a piece. Pieces travel as hashes; those that occur once are done with.
-3. The 242 bytes around each piece that is left, a slice, travel to where equal pieces meet. The slices of some pieces
-   are one text, whose suffix array (``suffix_array``) is built over its bytes: strings of 200 bytes are repeated where
-   neighbours in its order have 200 bytes in common and start at different places. A piece with so many slices that
-   its text would pass ``TEXT_BYTES`` is divided by longer pieces (186, then 199 bytes), then by whole strings.
+3. The 284 bytes around each piece that is left, a slice, travel to where equal pieces meet. Equal slices from different
+   places are repeated as a whole, and one of them is looked at further. The different slices of some pieces, cut to the
+   strings whose hashes occur twice, are one text, whose suffix array (``suffix_array``) is built over its bytes (a
+   slice's piece, which all its strings hold, stands as one symbol): strings of 200 bytes are repeated where neighbours
+   in its order have 200 bytes in common and start at different places. A piece with so many slices that its text would pass ``TEXT_BYTES`` is divided by longer pieces (172, 193 and 199
+   bytes), then by whole strings.
 4. A piece with more than ``HOT`` slices sends no bytes: its strings travel as 128-bit hashes, and a string that has
    company is repeated, so that no task holds a common passage's surroundings.
 5. Repeated ranges are gathered per text, united, and cut out.
@@ -35,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import RangeHash, arrow_map, spans_by_size, text_bytes
+from strandwork.llm._common import RangeHash, arrow_map, flat_index, spans_by_size, text_bytes
 from strandwork.llm.suffix_array import suffix_array
 
 LENGTH = 200
@@ -44,7 +46,8 @@ SPAN = LENGTH - GRAM + 1  # grams in a string
 LEFT, RIGHT = SPAN - 1, LENGTH
 BLOCK_BYTES = 1 << 19
 #: Numbers of bytes before the anchor go by ranges of this width; longer pieces by the narrower ones.
-WIDTH, NARROWER = LEFT // 4, {LEFT // 4: 14, 14: 1, 1: 0}
+RANGES = 2
+WIDTH, NARROWER = LEFT // RANGES, {84: 28, 28: 7, 7: 1, 1: 0}
 #: Bytes to a text that a suffix array is built over.
 TEXT_BYTES = 1 << 18
 #: Slices of one piece that are compared as bytes.
@@ -207,7 +210,7 @@ def _pieces(batches):
                 if role != SEND:
                     spans.append((max(0, pos - LEFT), min(len(text), pos + RIGHT)))
                 if role != FULL:
-                    for j in range(4):
+                    for j in range(RANGES):
                         a = pos - WIDTH * j
                         if a >= 0 and a + LENGTH - WIDTH <= len(text):
                             key = digest(text[a : a + LENGTH - WIDTH], seed=j) - 2**63
@@ -270,43 +273,84 @@ def _slices(batches):
             yield pack(rows)
 
 
-def repeated_starts(slices: list[bytes], owner: list, at: list[int]) -> list[bool]:
+def _strings(slices: list[bytes], owner: list, at: list[int]) -> tuple[np.ndarray, ...]:
+    """Of each 200-byte string of the slices: its slice, its start in the slices laid end to end, and a number for the place
+    where it stands."""
+    sizes = np.fromiter(map(len, slices), np.int64, len(slices))
+    begins = np.cumsum(sizes) - sizes
+    count = np.maximum(sizes - LENGTH + 1, 0)
+    start = flat_index(begins, count)
+    of = np.repeat(np.arange(len(slices)), count)
+    number: dict = {}
+    text = np.asarray([number.setdefault(o, len(number)) for o in owner], np.int64)
+    return of, start, text[of] * (1 << 40) + np.asarray(at, np.int64)[of] + start - begins[of]
+
+
+def _several(same: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of some rows in order are in a run (``same`` as the row before) with two places or more."""
+    run = np.concatenate([[0], np.cumsum(~same)])
+    low, high = np.full(run[-1] + 1, np.iinfo(np.int64).max), np.full(run[-1] + 1, -1)
+    np.minimum.at(low, run, place)
+    np.maximum.at(high, run, place)
+    return (low < high)[run]
+
+
+def repeated_starts(slices: list[bytes], owner: list, at: list[int], middle: list[int], common: int) -> np.ndarray:
     """For each 200-byte string of each slice, one slice after another, whether an equal string starts at another place:
-    from the suffix array over the bytes of all slices. ``owner`` is a slice's text, ``at`` its place there."""
+    from the suffix array over the bytes of all slices. ``owner`` is a slice's text, ``at`` its place there; ``common``
+    bytes from ``middle`` on are the slice's piece, which all its strings hold and which stands as one symbol."""
+    of, start, place = _strings(slices, owner, at)
+    if len(of) < 2:
+        return np.zeros(len(of), bool)
     text: list[int] = []
-    first, where = [], []
-    for i, s in enumerate(slices):
-        base = len(text)
-        text += s
+    symbol: dict[bytes, int] = {}
+    base = np.zeros(len(slices), np.int64)
+    for i, (s, m) in enumerate(zip(slices, middle)):
+        base[i] = len(text)
+        text += s[:m]
+        text.append(256 + symbol.setdefault(s[m : m + common], len(symbol)))
+        text += s[m + common :]
         text.append(-1)  # no string crosses it
-        for x in range(len(s) - LENGTH + 1):
-            first.append(base + x)
-            where.append((owner[i], at[i] + x))
-    out = np.zeros(len(first), bool)
-    if len(first) < 2:
-        return out.tolist()
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, slices), np.int64, len(slices)))])[of]
     number = np.full(len(text), -1)
-    number[first] = np.arange(len(first))
+    number[base[of] + start - first] = np.arange(len(of))
     order = number[np.asarray(suffix_array(text))]
     order = order[order >= 0]  # strings in the order of the suffixes that they begin
-    flat = np.frombuffer(b"\0".join(slices) + b"\0", np.uint8)
-    start = np.asarray(first)[order]
-    same = np.ones(len(start) - 1, bool)  # whether neighbours have LENGTH bytes in common
-    for a in range(0, len(same), 4096):
-        some = np.arange(a, min(a + 4096, len(same)))
-        column = np.arange(LENGTH)
-        same[some] = (flat[start[some, None] + column] == flat[start[some + 1, None] + column]).all(axis=1)
-    run = np.concatenate([[0], np.cumsum(~same)])
-    places: dict[int, set] = {}
-    for r, i in zip(run.tolist(), order.tolist()):
-        places.setdefault(r, set()).add(where[i])
-    out[order] = np.asarray([len(places[r]) > 1 for r in run.tolist()])
-    return out.tolist()
+    raw = b"".join(slices)
+    words = np.ndarray((len(raw) - 7,), np.uint64, raw, strides=(1,))  # the eight bytes from each place on
+    column = np.arange(0, LENGTH, 8)
+    a = start[order]
+    same = np.ones(len(a) - 1, bool)  # whether neighbours have LENGTH bytes in common
+    for k in range(0, len(same), 8192):
+        some = slice(k, min(k + 8192, len(same)))
+        same[some] = (words[a[some, None] + column] == words[a[1:][some, None] + column]).all(axis=1)
+    out = np.zeros(len(of), bool)
+    out[order] = _several(same, place[order])
+    return out
+
+
+def promising(slices: list[bytes], owner: list, at: list[int]) -> list[tuple[int, int, int]]:
+    """``(slice, first, last)``: the slices with a 200-byte string whose hash another place has too, and the first and the
+    last such string in them. Equal strings have equal hashes, so no other string can be repeated."""
+    of, start, place = _strings(slices, owner, at)
+    if not len(of):
+        return []
+    found = RangeHash(np.frombuffer(b"".join(slices), np.uint8))(start, start + LENGTH)
+    order = np.argsort(found, kind="stable")
+    again = np.zeros(len(of), bool)
+    again[order] = _several(found[order][1:] == found[order][:-1], place[order])
+    hit = np.flatnonzero(again)
+    if not len(hit):
+        return []
+    first = np.flatnonzero(np.diff(of[hit], prepend=-1))
+    last = np.append(first[1:], len(hit)) - 1
+    begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, slices), np.int64, len(slices)))])
+    return [(i, x, y) for i, x, y in zip(of[hit[first]].tolist(), (start[hit[first]] - begin[of[hit[first]]]).tolist(), (start[hit[last]] - begin[of[hit[last]]]).tolist())]
 
 
 def repeated_in(slices: list[bytes], skip: list[int], owner: list, at: list[int], width: int = WIDTH) -> list[tuple]:
-    """``(owner, place)`` of the repeated strings of slices that share a piece; ``skip`` is what a slice lacks at the left of
-    its frame of ``LENGTH + width`` bytes. Divided by longer pieces where they make too long a text."""
+    """``(owner, start, stop)``: what the repeated strings of slices that share a piece cover; ``skip`` is what a slice lacks
+    at the left of its frame of ``LENGTH + width`` bytes. Divided by longer pieces where they make too long a text."""
     if width and sum(map(len, slices)) > TEXT_BYTES:
         out, step = [], NARROWER[width]
         for a in range(0, width - step + 1, max(step, 1)):
@@ -321,9 +365,15 @@ def repeated_in(slices: list[bytes], skip: list[int], owner: list, at: list[int]
                     out += repeated_in(*(list(c) for c in zip(*rows)), step)
         return out
     if not width:  # equal strings
-        return list(zip(owner, at)) if len(set(zip(owner, at))) > 1 else []
-    places = [(o, x + k) for s, o, x in zip(slices, owner, at) for k in range(len(s) - LENGTH + 1)]
-    return [p for p, again in zip(places, repeated_starts(slices, owner, at)) if again]
+        return [(o, x, x + LENGTH) for o, x in zip(owner, at)] if len(set(zip(owner, at))) > 1 else []
+    again = repeated_starts(slices, owner, at, [width - lack for lack in skip], LENGTH - width)
+    out, k = [], 0
+    for s, o, x in zip(slices, owner, at):
+        n = max(len(s) - LENGTH + 1, 0)
+        edge = np.flatnonzero(np.diff(again[k : k + n], prepend=False, append=False)).tolist()
+        out += [(o, x + a, x + b - 1 + LENGTH) for a, b in zip(edge[::2], edge[1::2])]
+        k += n
+    return out
 
 
 def _compare(batches):
@@ -336,11 +386,28 @@ def _compare(batches):
         group: list = []
         size = 0
 
+        def distinct(some):
+            """One of equal slices; if they stand at different places, all that is in them is repeated."""
+            first: dict[bytes, tuple] = {}
+            again: dict[bytes, bool] = {}
+            for r in some:
+                if r[5] not in first:
+                    first[r[5]] = r
+                elif r[2:5] != first[r[5]][2:5]:
+                    again[r[5]] = True
+            if again:
+                for r in some:
+                    if r[5] in again and len(r[5]) >= LENGTH:
+                        found.setdefault((r[2], r[3]), []).append((r[4], r[4] + len(r[5])))
+            return list(first.values())
+
         def flush():
             nonlocal group, size
             if len(group) > 1:
-                for o, x in repeated_in([r[5] for r in group], [r[1] for r in group], [(r[2], r[3]) for r in group], [r[4] for r in group]):
-                    found.setdefault(o, []).append((x, x + LENGTH))
+                owner = [(r[2], r[3]) for r in group]
+                left = promising([r[5] for r in group], owner, [r[4] for r in group])
+                for o, a, b in repeated_in([group[i][5][a : b + LENGTH] for i, a, b in left], [group[i][1] + a for i, a, _ in left], [owner[i] for i, _, _ in left], [group[i][4] + a for i, a, _ in left]):
+                    found.setdefault(o, []).append((a, b))
             group, size = [], 0
 
         i = 0
@@ -348,12 +415,15 @@ def _compare(batches):
             j = i
             while j < len(rows) and rows[j][0] == rows[i][0]:
                 j += 1
-            more = sum(len(r[5]) for r in rows[i:j])
-            if size + more > TEXT_BYTES:
-                flush()
-            group, size = group + rows[i:j], size + more
-            if size > TEXT_BYTES:
-                flush()
+            some = distinct(rows[i:j])
+            if len(some) > 1:
+                more = sum(len(r[5]) for r in some)
+                if size + more > TEXT_BYTES:
+                    flush()
+                group += some
+                size += more
+                if size > TEXT_BYTES:
+                    flush()
             i = j
         flush()
         flat = [(*o, a, b) for o, spans in found.items() for a, b in union(spans)]

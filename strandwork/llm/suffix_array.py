@@ -14,7 +14,6 @@ from __future__ import annotations
 def suffix_array(text: list[int]) -> list[int]:
     """Starts of the suffixes of ``text`` in ascending order; a suffix comes before those it is a prefix of."""
     n = len(text)
-    members: list[list[int]] = []
     number = {s: g for g, s in enumerate(sorted(set(text)))}
     members = [[] for _ in number]
     group = [number[s] for s in text]
@@ -22,30 +21,57 @@ def suffix_array(text: list[int]) -> list[int]:
         members[g].append(i)
     below = list(range(-1, len(members) - 1))
     above = [*range(1, len(members)), -1]
-    prev, done, final = [-1] * n, bytearray(n), []
+    prev, done, final = [-1] * n, bytearray(n + 1), []  # -1 is never done
     at = len(members) - 1
     while at >= 0:
-        here = [i for i in members[at] if group[i] == at]
+        here = members[at]
+        if len(here) == 1:  # the most of them
+            i = here[0]
+            if group[i] == at:
+                final.append(here)
+                p = i - 1
+                while done[p]:
+                    p = prev[p]
+                prev[i] = p
+                done[i] = 1
+                if p >= 0:
+                    g = group[p]
+                    new = len(members)
+                    members.append([p])
+                    up = above[g]
+                    below.append(g)
+                    above.append(up)
+                    above[g] = new
+                    if up >= 0:
+                        below[up] = new
+                    group[p] = new
+            at = below[at]
+            continue
+        here = [i for i in here if group[i] == at]
         if here:
             final.append(here)
-            times: dict[int, int] = {}
+            times = {}
             for i in here:
                 p = i - 1
-                while p >= 0 and done[p]:
+                while done[p]:
                     p = prev[p]
                 prev[i] = p
                 done[i] = 1
-                if p >= 0:
-                    times[p] = times.get(p, 0) + 1
+                times[p] = times.get(p, 0) + 1
+            times.pop(-1, None)
             if len(times) == 1:
-                moves = [(group[p], t, [p]) for p, t in times.items()]
+                moves = [(group[p], [p]) for p in times]
             else:
-                split: dict[tuple[int, int], list[int]] = {}
+                split = {}
                 for p, t in times.items():
-                    split.setdefault((group[p], t), []).append(p)
-                moves = [(g, t, split[g, t]) for g, t in sorted(split)]
-            top, last = -1, -1
-            for g, _, moved in moves:
+                    key = group[p], t
+                    if key in split:
+                        split[key].append(p)
+                    else:
+                        split[key] = [p]
+                moves = [(key[0], split[key]) for key in sorted(split)]
+            last = top = -1
+            for g, moved in moves:
                 if g != last:
                     top = last = g
                 new = len(members)
@@ -63,18 +89,21 @@ def suffix_array(text: list[int]) -> list[int]:
     # emit
     place = [0] * len(members)
     k = 0
-    for here in reversed(final):
+    final.reverse()
+    for here in final:
         place[group[here[0]]] = k
         k += len(here)
     order = [0] * n
-    put = bytearray(n)
+    put = bytearray(n + 1)
+    put[n] = 1
     j = n - 1  # the empty suffix comes first
     i = -1
     while True:
-        while j >= 0 and not put[j]:
+        while not put[j]:
             g = group[j]
-            order[place[g]] = j
-            place[g] += 1
+            k = place[g]
+            order[k] = j
+            place[g] = k + 1
             put[j] = 1
             j = prev[j]
         i += 1

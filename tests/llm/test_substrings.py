@@ -62,27 +62,31 @@ def test_slices_of_a_piece(monkeypatch, limit):
     """Slices of one frame, clipped or not: as one text, and divided down to single strings."""
     monkeypatch.setattr(D, "TEXT_BYTES", limit)
     rng = random.Random(limit)
-    piece = "".join(rng.choice("ab") for _ in range(158)).encode()
-    left, right = ([bytes(rng.choice(b"ab") for _ in range(42)) for _ in range(4)] for _ in range(2))
+    w = D.WIDTH
+    piece = "".join(rng.choice("ab") for _ in range(200 - w)).encode()
+    left, right = ([bytes(rng.choice(b"ab") for _ in range(w)) for _ in range(4)] for _ in range(2))
     rows = []
     for k in range(60):
         s = rng.choice(left) + piece + rng.choice(right)
-        lack, cut = rng.choice([0, 0, 5, 41, 42]), rng.choice([0, 0, 7, 42])
+        lack, cut = rng.choice([0, 0, 5, w - 1, w]), rng.choice([0, 0, 7, w])
         rows.append((s[lack : len(s) - cut], lack, k // 2, lack + 1000 * (k % 2)))
     count: dict = {}
     for s, _, o, x in rows:
         for i in range(len(s) - 199):
             count.setdefault(s[i : i + 200], set()).add((o, x + i))
     want = {(o, x + i) for s, _, o, x in rows for i in range(len(s) - 199) if len(count[s[i : i + 200]]) > 1}
-    assert set(D.repeated_in(*(list(c) for c in zip(*rows)))) == want
+    assert {(o, x) for o, a, b in D.repeated_in(*(list(c) for c in zip(*rows))) for x in range(a, b - 199)} == want
+    kept = D.promising([r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
+    assert {(rows[i][2], rows[i][3] + a) for i, a, _ in kept} | {(rows[i][2], rows[i][3] + b) for i, _, b in kept} <= want
+    assert want <= {(rows[i][2], rows[i][3] + x) for i, a, b in kept for x in range(a, b + 1)}
 
 
 def test_one_place_twice():
-    """Two slices of one text that overlap don't repeat each other."""
-    text = bytes(random.Random(1).choices(b"abcdefgh", k=260))
-    assert D.repeated_in([text[:242], text[10:252]], [0, 0], ["t", "t"], [0, 10]) == []
-    twice = sorted(D.repeated_in([text[:242], text[10:252], text[10:252]], [0, 0, 0], ["t", "t", "u"], [0, 10, 10]))
-    assert set(twice) == {("t", k) for k in range(10, 53)} | {("u", k) for k in range(10, 53)}
+    """A place that comes twice doesn't repeat itself."""
+    s = bytes(random.Random(1).choices(b"abcdefgh", k=284))
+    assert D.repeated_in([s, s], [0, 0], ["t", "t"], [5, 5]) == [] == D.promising([s, s], ["t", "t"], [5, 5])
+    assert set(D.repeated_in([s, s, s], [0, 0, 0], ["t", "t", "u"], [5, 5, 10])) == {("t", 5, 289), ("u", 10, 294)}
+    assert D.promising([s, s, s], ["t", "t", "u"], [5, 5, 10]) == [(0, 0, 84), (1, 0, 84), (2, 0, 84)]
 
 
 @pytest.mark.parametrize("hot", [D.HOT, 3, 1])
