@@ -16,8 +16,9 @@ left and 200 to the right: its context.
    slice's piece, which all its strings hold, stands as one symbol): strings of 200 bytes are repeated where neighbours
    in its order have 200 bytes in common and start at different places. A piece with so many slices that its text would pass ``TEXT_BYTES`` is divided by longer pieces (172, 193 and 199
    bytes), then by whole strings.
-4. A piece with more than ``HOT`` slices sends no bytes: its strings travel as 128-bit hashes, and a string that has
-   company is repeated, so that no task holds a common passage's surroundings.
+4. A piece with more than ``HOT`` slices is divided before they travel: each goes in three cuts of 228 bytes to where equal
+   pieces of 172 bytes meet, so that a common passage's surroundings are spread over many tasks. What a task holds are
+   the different slices of one piece.
 5. Repeated ranges are gathered per text, united, and cut out.
 
 Nothing is decided by sampling and no group is capped. Equal texts, and equal contexts within a text, are reduced
@@ -50,7 +51,7 @@ RANGES = 2
 WIDTH, NARROWER = LEFT // RANGES, {84: 28, 28: 7, 7: 1, 1: 0}
 #: Bytes to a text that a suffix array is built over.
 TEXT_BYTES = 1 << 18
-#: Slices of one piece that are compared as bytes.
+#: Slices of one piece that travel whole.
 HOT = 4096
 #: Bits of a hash that place grams, and places within so many are told apart.
 _PLACES = np.uint64(24)
@@ -243,29 +244,31 @@ def _shared(batches):
 
 
 def _slices(batches):
-    """Texts with their shared pieces; gives the slices (``hot`` false, ``key, k3, k1, k2, at, bytes``), clipped at the text's
-    ends (``k3``: so many bytes are missing at the left), and for hot pieces the hashes of their strings (``key`` and
-    ``k3``, ``bytes`` null)."""
+    """Texts with their shared pieces; gives the slices (``width``, ``key``, ``lack``: so many bytes are missing at the left,
+    ``k1, k2, at, bytes``), clipped at the text's ends, those of hot pieces in cuts."""
     import pyarrow as pa
     import xxhash
 
+    digest, step = xxhash.xxh3_64_intdigest, NARROWER[WIDTH]
+
     def pack(rows):
-        kinds = [pa.bool_()] + [pa.int64()] * 5 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["hot", "key", "k3", "k1", "k2", "at", "bytes"])
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["width", "key", "lack", "k1", "k2", "at", "bytes"])
 
     for batch in batches:
         rows, held = [], 0
         for k1, k2, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(3)), batch.column(4)):
             for key, at, hot in zip(*(x.to_pylist() for x in found.values.flatten())):
-                a, b = max(0, at), min(len(text), at + LENGTH + WIDTH)
-                if not hot:
-                    rows.append((False, key, a - at, k1, k2, a, text[a:b]))
-                    held += 400
-                    continue
-                for x in range(a, b - LENGTH + 1):
-                    one, two = np.frombuffer(xxhash.xxh3_128_digest(text[x : x + LENGTH]), "<i8").tolist()
-                    rows.append((True, one, two, k1, k2, x, None))
-                    held += 60
+                for x in range(at, at + WIDTH, step) if hot else [at]:
+                    width = step if hot else WIDTH
+                    a, b = max(0, x), min(len(text), x + LENGTH + width)
+                    if hot:
+                        if x + width < 0 or x + LENGTH > len(text):
+                            continue  # no string of this cut lies in the text
+                        key = digest(text[x + width : x + LENGTH], seed=WIDTH) - 2**63
+                    if b - a >= LENGTH:
+                        rows.append((width, key, a - x, k1, k2, a, text[a:b]))
+                        held += 400
             if held > 1 << 22:
                 yield pack(rows)
                 rows, held = [], 0
@@ -376,125 +379,71 @@ def repeated_in(slices: list[bytes], skip: list[int], owner: list, at: list[int]
     return out
 
 
+def _apart(rows: list[tuple], found: dict) -> list[tuple]:
+    """One of each set of equal slices; what is in slices that stand at different places is put in ``found``."""
+    first: dict[bytes, tuple] = {}
+    again: set[bytes] = set()
+    for r in rows:
+        one = first.setdefault(r[6], r)
+        if r[3:6] != one[3:6]:
+            again.add(r[6])
+    if again:
+        for r in rows:
+            if r[6] in again:
+                found.setdefault(r[3:5], []).append((r[5], r[5] + len(r[6])))
+    return list(first.values())
+
+
 def _compare(batches):
-    """Slices (``key, k3, k1, k2, at, bytes``) come sorted by key; gives ``k1, k2, start, stop`` of what is repeated. Pieces are put together up to
+    """Slices come sorted by width and key; gives ``k1, k2, start, stop`` of what is repeated. Pieces are put together up to
     ``TEXT_BYTES``; one that has more is divided."""
     import pyarrow as pa
 
-    def work(rows):
-        found: dict[tuple, list] = {}
-        group: list = []
-        size = 0
-
-        def distinct(some):
-            """One of equal slices; if they stand at different places, all that is in them is repeated."""
-            first: dict[bytes, tuple] = {}
-            again: dict[bytes, bool] = {}
-            for r in some:
-                if r[5] not in first:
-                    first[r[5]] = r
-                elif r[2:5] != first[r[5]][2:5]:
-                    again[r[5]] = True
-            if again:
-                for r in some:
-                    if r[5] in again and len(r[5]) >= LENGTH:
-                        found.setdefault((r[2], r[3]), []).append((r[4], r[4] + len(r[5])))
-            return list(first.values())
-
-        def flush():
-            nonlocal group, size
-            if len(group) > 1:
-                owner = [(r[2], r[3]) for r in group]
-                left = promising([r[5] for r in group], owner, [r[4] for r in group])
-                for o, a, b in repeated_in([group[i][5][a : b + LENGTH] for i, a, b in left], [group[i][1] + a for i, a, _ in left], [owner[i] for i, _, _ in left], [group[i][4] + a for i, a, _ in left]):
-                    found.setdefault(o, []).append((a, b))
-            group, size = [], 0
-
-        i = 0
-        while i < len(rows):
-            j = i
-            while j < len(rows) and rows[j][0] == rows[i][0]:
-                j += 1
-            some = distinct(rows[i:j])
-            if len(some) > 1:
-                more = sum(len(r[5]) for r in some)
-                if size + more > TEXT_BYTES:
-                    flush()
-                group += some
-                size += more
-                if size > TEXT_BYTES:
-                    flush()
-            i = j
-        flush()
+    found: dict[tuple, list] = {}
+    group: list[tuple] = []
+    size = 0
+
+    def settle():
+        nonlocal group, size
+        if len(group) > 1:
+            owner = [r[3:5] for r in group]
+            left = promising([r[6] for r in group], owner, [r[5] for r in group])
+            for o, a, b in repeated_in([group[i][6][a : b + LENGTH] for i, a, b in left], [group[i][2] + a for i, a, _ in left], [owner[i] for i, _, _ in left], [group[i][5] + a for i, a, _ in left], group[0][0]):
+                found.setdefault(o, []).append((a, b))
+        group, size = [], 0
+
+    def take(rows):
+        """All slices of one piece."""
+        nonlocal group, size
+        rows = _apart(rows, found)
+        if len(rows) > 1:
+            more = sum(len(r[6]) for r in rows)
+            if group and (group[0][0] != rows[0][0] or size + more > TEXT_BYTES):
+                settle()
+            group += rows
+            size += more
+
+    def said():
         flat = [(*o, a, b) for o, spans in found.items() for a, b in union(spans)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], ["k1", "k2", "start", "stop"]) if flat else None
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], ["k1", "k2", "start", "stop"])
 
-    held: list = []
+    held: list[tuple] = []
     for batch in batches:
-        held += zip(*(c.to_pylist() for c in batch.columns))
-        if len(held) > 2000 and held[0][0] != held[-1][0]:
-            cut = next(i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]) + 1
-            if (made := work(held[:cut])) is not None:
-                yield made
-            held = held[cut:]
-    if held and (made := work(held)) is not None:
-        yield made
-
-
-def _again(batches):
-    """Strings come sorted by ``key, k3``; gives the ranges of those with an equal one at another place."""
-    import pyarrow as pa
-
-    def pick(rows, before, after):
-        same = [np.append(x[1:] == x[:-1], False) for x in rows]
-        last = np.zeros(len(rows[0]), bool)
-        last[-1] = True
-        like, place = same[0] & same[1], same[2] & same[3] & same[4]
-        if after is not None:
-            end = [x[-1] == y for x, y in zip(rows, after)]
-            like[-1], place[-1] = end[0] & end[1], end[2] & end[3] & end[4]
-        next_ = like & ~place
-        prev = np.append(False, next_[:-1])
-        if before is not None:
-            first = [x[0] == y for x, y in zip(rows, before)]
-            prev[0] = first[0] & first[1] & ~(first[2] & first[3] & first[4])
-        keep = next_ | prev
-        k1, k2, at = (x[keep] for x in rows[2:])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, at, at + LENGTH)], ["k1", "k2", "start", "stop"])
-
-    held, before = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            yield pick(held, before, [x[0] for x in rows])
-            before = [x[-1] for x in held]
-        held = rows
-    if held is not None:
-        yield pick(held, before, None)
-
-
-def _decide(batches):
-    """Slices first, then the strings of hot pieces."""
-    batches, rest = iter(batches), []
-
-    def near():
-        for batch in batches:
-            hot = batch.column(0)
-            yield batch.filter(pc.invert(hot)).select(range(1, 7))
-            if hot.true_count:
-                rest.append(batch.filter(hot))
-                return
-
-    def far():
-        for batch in itertools.chain(rest, batches):
-            yield batch.select(range(1, 6))
-
-    import pyarrow.compute as pc
-
-    yield from _compare(near())
-    yield from _again(far())
+        for key, rows in itertools.groupby(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: r[:2]):
+            if held and held[0][:2] != key:
+                take(held)
+                held = []
+            held += rows
+            if len(held) > 20_000:
+                held = _apart(held, found)
+        if len(found) > 10_000:
+            yield said()
+    if held:
+        take(held)
+    settle()
+    if found:
+        yield said()
 
 
 def _keys(text):
@@ -526,9 +475,9 @@ def cut_texts(texts: DataFrame, with_text: bool, hot: int = HOT) -> DataFrame:
     many = shared.where("j >= 0").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
     wanted = shared.where("j >= 0").join(many, "key", "left").select("key", "k1", "k2", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
     per_text = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "at", "hot")).alias("found"))
-    slices = arrow_map(distinct.join(per_text, ["k1", "k2"]).select("k1", "k2", "copies", "text", "found"), _slices, "hot boolean, key bigint, k3 bigint, k1 bigint, k2 bigint, at bigint, bytes binary")
-    dealt = slices.repartition(parts, "key").sortWithinPartitions("hot", "key", "k3", "k1", "k2", "at")
-    runs = sure.unionByName(arrow_map(dealt, _decide, "k1 bigint, k2 bigint, start bigint, stop bigint"))
+    slices = arrow_map(distinct.join(per_text, ["k1", "k2"]).select("k1", "k2", "copies", "text", "found"), _slices, "width bigint, key bigint, lack bigint, k1 bigint, k2 bigint, at bigint, bytes binary")
+    dealt = slices.repartition(parts, "key").sortWithinPartitions("width", "key")
+    runs = sure.unionByName(arrow_map(dealt, _compare, "k1 bigint, k2 bigint, start bigint, stop bigint"))
     runs = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
     def cut(batches):
