@@ -12,8 +12,8 @@ left and 200 to the right: its context.
    between them in common, called a piece. Pieces travel as hashes; those that occur once are done with.
 3. The 284 bytes around each piece that is left, a slice, travel to where equal pieces meet. Equal slices from different
    places are repeated as a whole, and one of them is looked at further. The different slices of some pieces, cut to the
-   strings whose hashes occur twice, are one text, whose suffix array (``suffix_array``) is built over its bytes (a
-   slice's piece, which all its strings hold, stands as one symbol): strings of 200 bytes are repeated where neighbours
+   strings whose hashes occur twice, are one text, whose suffix array (``suffix_array``) is built over its bytes (the
+   piece, which all strings of a slice hold, and what follows it in all slices alike stand as one symbol): strings of 200 bytes are repeated where neighbours
    in its order have 200 bytes in common and start at different places. A piece with so many slices that its text would pass ``TEXT_BYTES`` is divided by longer pieces (172, 193 and 199
    bytes), then by whole strings.
 4. A piece with more than ``HOT`` slices is divided before they travel: each goes in three cuts of 228 bytes to where equal
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -301,18 +302,23 @@ def _several(same: np.ndarray, place: np.ndarray) -> np.ndarray:
 def repeated_starts(slices: list[bytes], owner: list, at: list[int], middle: list[int], common: int) -> np.ndarray:
     """For each 200-byte string of each slice, one slice after another, whether an equal string starts at another place:
     from the suffix array over the bytes of all slices. ``owner`` is a slice's text, ``at`` its place there; ``common``
-    bytes from ``middle`` on are the slice's piece, which all its strings hold and which stands as one symbol."""
+    bytes from ``middle`` on are the slice's piece, which all its strings begin before or with. It stands as one symbol,
+    and so does what follows it in all slices of the piece alike: no two of them can differ there."""
     of, start, place = _strings(slices, owner, at)
     if len(of) < 2:
         return np.zeros(len(of), bool)
+    alike: dict[bytes, list[bytes]] = {}
+    for s, m in zip(slices, middle):
+        alike.setdefault(s[m : m + common], []).append(s[m + common :])
+    symbol = {piece: (256 + k, common + len(os.path.commonprefix(rest))) for k, (piece, rest) in enumerate(alike.items())}
     text: list[int] = []
-    symbol: dict[bytes, int] = {}
     base = np.zeros(len(slices), np.int64)
     for i, (s, m) in enumerate(zip(slices, middle)):
         base[i] = len(text)
         text += s[:m]
-        text.append(256 + symbol.setdefault(s[m : m + common], len(symbol)))
-        text += s[m + common :]
+        sign, length = symbol[s[m : m + common]]
+        text.append(sign)
+        text += s[m + length :]
         text.append(-1)  # no string crosses it
     first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, slices), np.int64, len(slices)))])[of]
     number = np.full(len(text), -1)
