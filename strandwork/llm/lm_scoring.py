@@ -23,6 +23,7 @@ mark - such rows are held in; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -36,6 +37,7 @@ from strandwork.llm._common import arrow_map, lower_bytes, materialize, spans_by
 from strandwork.llm.packing import encoder
 
 BLOCK_BYTES = 1 << 19
+SCORED = 512  # windows to a batch
 END_WORD = "\n"  # no word has a line feed
 
 
@@ -314,11 +316,11 @@ class Model:
             return np.zeros(0)
         cut = Windows(texts_ids, self.leaves.rank, s, s.stride)
         each = np.empty(len(cut.flat))
-        for a in range(0, len(cut.start), 256):
-            x, y, real = cut.batch(slice(a, a + 256))
+        for a in range(0, len(cut.start), SCORED):
+            x, y, real = cut.batch(slice(a, a + SCORED))
             real = np.flatnonzero(real)
             h, _ = hidden(self.weights, x)
-            place = (cut.start[a : a + 256, None] + cut.column).ravel()[real]
+            place = (cut.start[a : a + SCORED, None] + cut.column).ravel()[real]
             each[place] = log_probability(self.weights, self.leaves, s, h[real], y.ravel()[real])
         return np.add.reduceat(each / np.log(10) + self.leaves.share[cut.flat], cut.begins)
 
@@ -518,9 +520,10 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = materialize(word_counts(rows), "lm-words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bottom = float(np.log10(n + 0.5 * (v + 1)))
+    bottom = math.log10(n + 0.5 * (v + 1))
+    ends = counts.where(F.col("word") == END_WORD).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     short = counts.where(F.octet_length("word") <= s.longest)  # the table is bounded in bytes as well
-    known = {r[0].encode(): r[1] for r in short.where(F.col("n") >= _least_count(short, s.top)).collect()}
+    known = {r[0].encode(): math.log10(r[1] + 0.5) for r in short.where(F.col("n") >= _least_count(short, s.top)).collect()}
     tokens = materialize(tokenize(rows, path, s), "lm-tokens")
     model = learn(tokens, s)
     handed = spark.sparkContext.broadcast((model.weights, model.leaves, known))
@@ -528,10 +531,9 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         import pyarrow as pa
 
-        weights, leaves, known = handed.value
+        weights, leaves, logs = handed.value
         mine = Model(weights, leaves, s)
-        end = known.get(END_WORD.encode(), 0)
-        logs = {w: float(np.log10(c + 0.5)) for w, c in known.items()}
+        end = math.log10(ends + 0.5)
         for batch in batches:
             texts = text_bytes(batch.column(1))
             ids = batch.column(3).to_pylist()
@@ -548,8 +550,8 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                         hits -= sum(k for _, k in left)
                         found = [x or 0.0 for x in found]
                     n_tokens.append(total + 1)
-                    n_known.append(hits + (end > 0))
-                    base.append(sum(map(mul, times, found), float(np.log10(end + 0.5))))
+                    n_known.append(hits + (ends > 0))
+                    base.append(sum(map(mul, times, found), end))
                     rare.append(left)
                 kind_rare = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
                 arrays = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(scores), pa.array([[{"word": w, "k": k} for w, k in x] for x in rare], kind_rare)]

@@ -108,3 +108,13 @@ def test_learns_what_follows():
     model, plain = _model(texts), _model(texts, learn=False)
     unseen = [text(300) for _ in range(20)]
     assert model.score(unseen).mean() > plain.score(unseen).mean() + 30
+
+
+def test_small_table_of_words(spark, odd_dir, docs_of):
+    """The base score is the same however few words travel as a table."""
+    from strandwork.llm import entry
+
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    path = entry.tokenizer_path("word_bpe_49k.json")
+    got = [{r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm_scoring.score(docs, path, s=lm_scoring.Settings(top=top, longest=longest)).collect()} for top, longest in ((1 << 17, 64), (3, 4))]
+    assert got[0] == got[1]
