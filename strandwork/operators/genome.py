@@ -100,6 +100,21 @@ def evidence(parts: DataFrame, introns: DataFrame, runs: DataFrame, width: int =
     return out.select("transcript", "parts", "tie", "min_reads", (covered / F.col("__length")).alias("tpc"), F.when(covered < F.col("__length"), 0).otherwise(F.col("low")).alias("min_cov"), (F.coalesce("mass", F.lit(0)) / F.col("__length")).alias("avg_cov"))
 
 
+def transcript_matches(mine: DataFrame, other: DataFrame, width: int = 64) -> DataFrame:
+    """``transcript, other, f1``: for each transcript the one of the others (both ``transcript, chrom, strand, start, end``: a
+    row to a part) with the best F1 of covered places on the same strand; of equals the smallest."""
+    def side(x, p):
+        return x.select(F.struct("chrom", "strand").alias("where"), F.col("transcript").alias(f"{p}_id"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"))
+
+    def sizes(x, p):
+        return x.groupBy(F.col("transcript").alias(f"{p}_id")).agg(F.sum(F.col("end") - F.col("start")).alias(f"{p}_size"))
+
+    shared = overlap_join(side(mine, "l"), side(other, "r"), ["where"], width).groupBy("l_id", "r_id").agg(F.sum("overlap").alias("same"))
+    scored = shared.join(sizes(mine, "l"), "l_id").join(sizes(other, "r"), "r_id").withColumn("f1", 2 * F.col("same") / (F.col("l_size") + F.col("r_size")))
+    best = scored.groupBy("l_id").agg(F.min(F.struct((-F.col("f1")).alias("minus"), "r_id")).alias("x"))
+    return best.select(F.col("l_id").alias("transcript"), F.col("x.r_id").alias("other"), (-F.col("x.minus")).alias("f1"))
+
+
 def gene_completeness(rows: DataFrame) -> DataFrame:
     """``item, status`` of single-copy checks (``item, status, gene``: a row to a transcript) counted by gene: S (one gene
     complete), D (several), F (fragmented only) or M."""

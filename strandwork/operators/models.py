@@ -202,6 +202,14 @@ class Dependent:
         return reduce(lambda a, b: a + b, terms)
 
 
+def fit_on_windows(df: DataFrame, seq: str, length: int, fit, weight: str = "weight"):
+    """A model of one length trained on all windows of longer sequences: ``fit(windows)`` gets ``seq`` and ``weight``, equal
+    windows as one row."""
+    from strandwork.operators.weights import window_weights
+
+    return fit(window_weights(df, seq, length, weight).withColumnRenamed("kmer", "seq"))
+
+
 def product_score(seq: Column, parts: list[tuple]) -> Column:
     """Sum of models' scores on slices: (model, start, length)."""
     return reduce(lambda a, b: a + b, [model.score(F.substring(seq, start + 1, length)) for model, start, length in parts])

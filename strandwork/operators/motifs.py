@@ -78,6 +78,47 @@ def occurrences(df: DataFrame, background: DataFrame, id_col: str, seq: str, mod
     return found.join(tail, "score").select("id", "pos", "strand", "score", "site", "p")
 
 
+def seeds(df: DataFrame, background: DataFrame, seq: str, id_col: str, k: int, most: int) -> list[str]:
+    """The words that more sequences hold than background sequences do, by the log ratio of the shares times the number of
+    sequences; ``most`` of them."""
+    def share(x, name):
+        total = max(x.count(), 1)
+        words = x.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(windows(F.col(seq), k))).alias("kmer"))
+        return words.groupBy("kmer").agg(F.count_distinct("id").alias(name)), total
+
+    (fg, n), (bg, m) = share(df, "f"), share(background, "b")
+    both = fg.join(bg, "kmer", "left").withColumn("gain", F.col("f") * F.log((F.col("f") / n) / ((F.coalesce("b", F.lit(0)) + 1) / (m + 1))))
+    return [r["kmer"] for r in both.orderBy(F.desc("gain"), "kmer").limit(most).collect()]
+
+
+def discover(df: DataFrame, seq: str, width: int, seed: str, alphabet: str = "ACGT", share: float = 0.5, steps: int = 10, ess: float = 1.0) -> tuple[PWM, float]:
+    """A motif of zero or one occurrence a sequence, all places alike, against uniform symbols: expectation maximisation from
+    a seed word. Each step is one aggregation of windows weighted by their posterior; returns the matrix and the share of
+    sequences with an occurrence."""
+    m = len(alphabet)
+    word = (seed + alphabet[0] * width)[:width]
+    logs = [[math.log(0.6 if c == word[i] and i < len(seed) else (0.4 / (m - 1) if i < len(seed) else 1 / m)) for c in alphabet] for i in range(width)]
+    model = PWM(alphabet, logs)
+    rows = df.where(F.length(seq) >= width).select(seq)
+    n = max(rows.count(), 1)
+    for _ in range(steps):
+        scores = model.window_scores(F.col(seq))
+        even = width * math.log(m)
+        ratio = F.transform(scores, lambda x: F.exp(x + even))  # null where a window has other symbols
+        each = rows.select(windows(F.col(seq), width).alias("w"), ratio.alias("r"))
+        mass = F.aggregate("r", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) * (share / F.size("r"))
+        weighted = each.withColumn("mass", mass).select(F.explode(F.arrays_zip("w", "r")).alias("x"), "mass", F.size("r").alias("c"))
+        post = F.col("x.r") * (share / F.col("c")) / (1 - share + F.col("mass"))
+        found = weighted.where("x.r is not null").select(F.col("x.w").alias("w"), post.alias("p"))
+        # equal windows are one before their symbols are told apart
+        sums = found.groupBy("w").agg(F.sum("p").alias("p"))
+        cells = {(r["pos"], r["sym"]): r["cnt"] for r in position_counts(sums, "w", F.col("p")).collect()}
+        counts = [[cells.get((i, c), 0.0) + ess / m for c in alphabet] for i in range(width)]
+        model = PWM(alphabet, [[math.log(x / sum(row)) for x in row] for row in counts])
+        share = min(max(sum(cells.get((0, c), 0.0) for c in alphabet) / n, 1e-6), 1 - 1e-6)
+    return model, share
+
+
 def bound(found: DataFrame, df: DataFrame, id_col: str) -> DataFrame:
     """``id, sites, first``: how many sites each sequence has, and the first one's place (null: none)."""
     per = found.groupBy("id").agg(F.count("*").alias("sites"), F.min("pos").alias("first"))

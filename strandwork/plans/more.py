@@ -532,3 +532,30 @@ def p17_scales(spark, d) -> DataFrame:
     rows = [("gc", a + b, float((a in "GC") + (b in "GC"))) for a in DNA for b in DNA] + [("step", a + b, float(DNA.index(a) - DNA.index(b))) for a in DNA for b in DNA]
     scales = spark.createDataFrame(rows, "scale string, pair string, x double")
     return kmers.pair_scales(V.seqs(spark, d), "seq_id", "seq", scales).select("seq_id", "scale", r6("mean").alias("mean"), "most")
+
+
+@query(
+    """SELECT l AS transcript, min(r) AS other, any_value(f1) AS f1 FROM (SELECT l, r, round(f1, 6) AS f1, max(round(f1, 6)) OVER (PARTITION BY l) AS top FROM (SELECT a.t AS l, b.t AS r, 2.0 * sum(least(a.e, b.e) - greatest(a.s, b.s)) / (any_value(x.n) + any_value(y.n)) AS f1 FROM ta a JOIN tb b ON a.c = b.c AND a.s < b.e AND b.s < a.e
+ JOIN (SELECT t, sum(e - s) AS n FROM ta GROUP BY t) x ON x.t = a.t JOIN (SELECT t, sum(e - s) AS n FROM tb GROUP BY t) y ON y.t = b.t GROUP BY a.t, b.t)) WHERE f1 = top GROUP BY l""",
+    V.INTERVALS, """tx AS (SELECT id // 10 AS t, chrom AS c, "start" AS s, "end" AS e, flag FROM intervals), ta AS (SELECT t, c, s, e FROM tx WHERE flag = 'A'), tb AS (SELECT t, c, s, e FROM tx WHERE flag = 'R')""",
+)
+def j7_transcript_matches(spark, d) -> DataFrame:
+    x = V.intervals(spark, d).select(F.floor(F.col("id") / 10).alias("transcript"), "chrom", F.lit("+").alias("strand"), "start", "end", "flag")
+    found = genome.transcript_matches(x.where("flag = 'A'").drop("flag"), x.where("flag = 'R'").drop("flag"))
+    return found.select("transcript", "other", r6("f1").alias("f1"))
+
+
+@query("SELECT t.i - 1 AS pos, substring(w, t.i, 1) AS sym, CAST(sum(weight) AS DOUBLE) AS cnt FROM (SELECT kmer AS w, sum(weight) AS weight FROM bk GROUP BY kmer), LATERAL (SELECT unnest(generate_series(1, 5)) AS i) t GROUP BY ALL", V.BRANDS, BRAND_KMERS.format(k=5))
+def l11_windows_matrix(spark, d) -> DataFrame:
+    fit = lambda x: kmers.position_counts(x, "seq", F.col("weight"))
+    return models.fit_on_windows(V.brands(spark, d), "seq", 5, fit).select(F.col("pos").cast("bigint").alias("pos"), "sym", "cnt")
+
+
+@query()
+def z6_discovery(spark, d) -> DataFrame:
+    """A motif of all texts' sequences, from the best of the enriched words; tests plant one and find it."""
+    x = V.brands(spark, d)
+    seed = motifs.seeds(x.where("class_id = 0"), x.where("class_id = 1"), "seq", "id", 4, 1)[0]
+    model, share = motifs.discover(x.where("class_id = 0"), "seq", 5, seed, steps=3)
+    rows = [(i, c, float(v), share) for i, row in enumerate(model.logs) for c, v in zip(DNA, row)]
+    return spark.createDataFrame(rows, "pos int, sym string, log_prob double, share double")

@@ -271,3 +271,45 @@ def test_steps_in_bins(spark):
     df = spark.createDataFrame(rows, "id bigint, chrom string, pos bigint, value double")
     r = intervals.bin_features(df, ["chrom"], "pos", "value", 100, ["pos", "id"]).first()
     assert (r["n"], r["changes"], r["up"], r["down"]) == (7, 5, 2, 2)
+
+
+def test_discovery(spark):
+    """A planted motif is found again, and about how many sequences have it."""
+    rng = random.Random(11)
+    motif = "TGACGTCA"
+
+    def noise(n):
+        return "".join(rng.choice(DNA) for _ in range(n))
+
+    rows, truth = [], {}
+    for i in range(240):
+        s = noise(60)
+        if i % 4:
+            at = rng.randrange(52)
+            copy = "".join(c if rng.random() < 0.9 else rng.choice(DNA) for c in motif)
+            s, truth[i] = s[:at] + copy + s[at + 8 :], at
+        rows.append((i, s))
+    df = spark.createDataFrame(rows, "id bigint, seq string")
+    bg = spark.createDataFrame([(i, noise(60)) for i in range(240)], "id bigint, seq string")
+    best = motifs.seeds(df, bg, "seq", "id", 5, 3)
+    assert all(w in motif for w in best[:2])
+    model, share = motifs.discover(df, "seq", 10, best[0], steps=8)
+    assert share == pytest.approx(0.75, abs=0.12)
+    text = "".join(DNA[int(np.argmax(row))] for row in model.logs)
+    assert any(motif[k : k + 6] in text for k in range(3))
+    found = motifs.occurrences(df, bg, "id", "seq", model, 0.001, both_strands=False)
+    per = {r["id"]: r for r in motifs.bound(found, df, "id").collect()}
+    hits = sum(per[i]["sites"] > 0 for i in truth)
+    assert hits > 0.6 * len(truth) and len(per) == 240
+    shift = text.find(motif[2:6]) - 2
+    predicted = found.select("id", (F.col("pos") + shift).alias("pos"))
+    r = motifs.assess(spark.createDataFrame(list(truth.items()), "id bigint, pos int"), predicted, 8, 1).first()
+    assert r["sn"] > 0.6 and r["ppv"] > 0.6 and r["n_asp"] > 0.5
+
+
+def test_attributes(spark):
+    from strandwork.operators import stats
+
+    df = spark.createDataFrame([(1, {"a": "x", "b": "y"}), (2, {"b": "z"}), (3, {})], "id bigint, m map<string,string>")
+    got = stats.attributes_wide(df, ["id"], "m").orderBy("id").collect()
+    assert [r.asDict() for r in got] == [{"id": 1, "a": "x", "b": "y"}, {"id": 2, "a": None, "b": "z"}]
