@@ -229,9 +229,10 @@ def _emit_keys(batches):
 
 def links(prints: DataFrame) -> DataFrame:
     """``src, dst``: links between distinct values of ``prints.fp``, enough of them to give every component whole."""
-    distinct = prints.select("fp").where("fp is not null").distinct()
-    keyed = arrow_map(distinct, _emit_keys, "key bigint, fp bigint")
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # a fingerprint makes up to 84 keys, so the few bytes of all fingerprints are dealt to all tasks first
+    distinct = prints.select("fp").where("fp is not null").distinct().repartition(n, "fp")
+    keyed = arrow_map(distinct, _emit_keys, "key bigint, fp bigint")
     return arrow_map(keyed.repartition(n, "key").sortWithinPartitions("key"), _links, "src bigint, dst bigint").distinct()
 
 
