@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.functions.scalar import let, log_sum, reverse_complement, symbol_codes, windows
+from strandwork.functions.scalar import let, log_sum, reverse_complement
 from strandwork.operators.kmers import position_counts, probabilities
 
 
@@ -27,6 +27,14 @@ def _by_place(seq: Column, alphabet: str, table) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def _coded(texts, alphabet: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the alphabet of all symbols of some texts, one text after another (-1: not in it), and the texts' lengths."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = np.full(max(map(ord, alphabet)) + 2, -1, np.int64)
+    table[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    return table[np.minimum(points, len(table) - 1)], np.fromiter(map(len, texts), np.int64, len(texts))
+
+
 @dataclass
 class PWM:
     """Independent places of one length; ``logs[place][symbol]``."""
@@ -65,21 +73,60 @@ class PWM:
 
         return let(F.transform(F.split(F.coalesce(seq, F.lit("")), ""), lambda c: F.when(c != "", F.instr(F.lit(self.alphabet), c) - 1)), each)
 
+    def _scan(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of all windows of some texts (nan: it holds another symbol), and the bounds of each text's windows."""
+        n, m = len(self.logs), len(self.alphabet)
+        codes, lengths = _coded(texts, self.alphabet)
+        table = np.append(np.asarray(self.logs, float).reshape(n, m), np.full((n, 1), np.nan), axis=1)
+        count = np.maximum(lengths - n + 1, 0)
+        begins = np.cumsum(lengths) - lengths
+        first = np.cumsum(count) - count
+        at = np.repeat(begins - first, count) + np.arange(int(count.sum()))
+        total = np.zeros(len(at))
+        for j in range(n):
+            total += table[j][codes[at + j]]
+        return total, first, first + count
+
     def best_window(self, seq: Column) -> Column:
-        """Struct of score and (negative) place of the best window of a longer sequence; null if there is none."""
-        found = F.transform(self.window_scores(seq), lambda x, i: F.when(x.isNotNull(), F.struct(x.alias("score"), (-i).alias("minus"))))
-        return F.array_max(found)
+        """Struct of score and (negative) place of the best window of a longer sequence; null if there is none. In Arrow
+        batches: a sequence's windows are one numpy array."""
+        import pandas as pd
+
+        model = self
+
+        @F.pandas_udf("score double, minus int")
+        def best(texts):
+            scores, first, last = model._scan(texts.fillna("").tolist())
+            rows = []
+            for a, b in zip(first.tolist(), last.tolist()):
+                known = a < b and not np.isnan(scores[a:b]).all()
+                k = int(np.nanargmax(scores[a:b])) if known else 0
+                rows.append((scores[a + k], -k) if known else (np.nan, 1))
+            return pd.DataFrame(rows, columns=["score", "minus"])
+
+        found = best(seq)
+        return F.when(found["minus"] <= 0, found)
 
     def zoops(self, seq: Column, share: float = 0.5) -> Column:
         """Log likelihood ratio of zero or one occurrence, all places alike, against uniform symbols. Windows with symbols
         outside the alphabet hold no occurrence."""
+        import pandas as pd
+
+        model = self
         whole = len(self.logs) * math.log(len(self.alphabet)) + math.log(share)
-        none = F.lit(math.log(1 - share))
 
-        def ratio(scores):
-            return log_sum(F.concat(F.array(none), F.transform(F.filter(scores, lambda x: x.isNotNull()), lambda x: x + whole - F.log(F.size(scores).cast("double")))))
+        @F.pandas_udf("double")
+        def ratio(texts):
+            scores, first, last = model._scan(texts.fillna("").tolist())
+            out = []
+            for a, b in zip(first.tolist(), last.tolist()):
+                x = scores[a:b]
+                x = x[~np.isnan(x)] + whole - math.log(max(b - a, 1))
+                top = max(math.log(1 - share), x.max(initial=-math.inf))
+                out.append(top + math.log(math.exp(math.log(1 - share) - top) + np.exp(x - top).sum()))
+            return pd.Series(out, dtype="float64")
 
-        return let(self.window_scores(seq), ratio)
+        return ratio(seq)
 
 
 @dataclass
@@ -93,49 +140,75 @@ class Markov:
 
     @classmethod
     def fit(cls, df: DataFrame, seq: str, alphabet: str, order: int, ess: float = 0.0, weight: str | None = None, period: int = 1) -> Markov:
-        """One pass: the words of all lengths up to ``order + 1`` are counted together. At most period x alphabet size **
-        (order + 1) rows of a length reach the driver."""
-
-        def placed(k: int):
-            return lambda w, i: F.struct(F.lit(k).alias("k"), F.pmod(i + k, F.lit(period)).alias("phase"), w.alias("w"))
-
-        words = F.flatten(F.array(*(F.transform(windows(F.col(seq), k + 1), placed(k)) for k in range(order + 1))))
-        each = df.select((F.col(weight) if weight else F.lit(1.0)).alias("weight"), F.explode(words).alias("x"))
-        known = F.translate("x.w", alphabet, "") == ""
-        found = each.where(known).groupBy("x.k", "x.phase", "x.w").agg(F.sum("weight").alias("n")).collect()
-        counts: list[dict] = [{} for _ in range(order + 1)]
+        """One pass: the words of all lengths up to ``order + 1`` are counted together, as numbers, where the rows are. A task
+        sends period x alphabet size ** (order + 1) rows of a length at most, and so many reach the driver."""
+        m = len(alphabet)
+        rows = df.select(F.col(seq).alias("seq"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("seq is not null")
+
+        def run(batches):
+            import pyarrow as pa
+
+            sums = [np.zeros(period * m ** (k + 1)) for k in range(order + 1)]
+            for batch in batches:
+                codes, lengths = _coded(batch.column(0).to_pylist(), alphabet)
+                w = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths)
+                place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                word, good = np.zeros(len(codes), np.int64), np.ones(len(codes), bool)
+                for k in range(order + 1):  # the word that ends here
+                    word = np.concatenate([np.zeros(k, np.int64), codes[: len(codes) - k]]) * m**k + word
+                    good &= np.concatenate([np.zeros(min(k, len(codes)), bool), codes[: max(len(codes) - k, 0)] >= 0])[: len(codes)] & (place >= k)
+                    hit = np.flatnonzero(good)
+                    sums[k] += np.bincount(place[hit] % period * m ** (k + 1) + word[hit], w[hit], len(sums[k]))
+            for k, x in enumerate(sums):
+                at = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(x[at])], ["k", "code", "n"])
+
+        found = rows.mapInArrow(run, "k bigint, code bigint, n double").groupBy("k", "code").agg(F.sum("n").alias("n")).collect()
+        counts = [np.zeros((period * m**k, m)) for k in range(order + 1)]
         for r in found:
-            counts[r["k"]].setdefault((r["phase"], r["w"][:-1]), {})[r["w"][-1]] = r["n"]
-        logs, m = [], len(alphabet)
-        for level in counts:
+            counts[r["k"]].reshape(-1)[r["code"]] = r["n"]
+        logs = []
+        for k, x in enumerate(counts):
             table = {}
-            for (phase, context), row in level.items():
-                total = sum(row.values()) + ess
-                table |= {f"{phase}{context}{c}": math.log((row.get(c, 0.0) + ess / m) / total) for c in alphabet if row.get(c, 0.0) + ess > 0}
+            for row in np.flatnonzero(x.sum(axis=1)):
+                phase, context = divmod(int(row), m**k)
+                name = "".join(alphabet[context // m**j % m] for j in reversed(range(k)))
+                total = x[row].sum() + ess
+                table |= {f"{phase}{name}{c}": math.log((n + ess / m) / total) for c, n in zip(alphabet, x[row].tolist()) if n + ess > 0}
             logs.append(table)
         return cls(alphabet, order, logs, period)
 
     def score(self, seq: Column) -> Column:
         """Sum of log conditional probabilities; the first symbols have shorter contexts. Words that were never seen count
-        as minus infinity; null if a symbol isn't in the alphabet.
+        as minus infinity; null if a symbol isn't in the alphabet. In Arrow batches: words are numbers, and their logs are
+        looked up for all sequences of a batch at once."""
+        import pandas as pd
 
-        One walk over the symbols with the code of the last ``order + 1`` of them, which is a place in one array of numbers.
-        """
-        m = len(self.alphabet)
-        flat, first = [], []
-        for k, table in enumerate(self.logs):
-            first.append(len(flat))
-            flat += [table.get(f"{phase}{''.join(w)}", -math.inf) for phase in range(self.period) for w in product(self.alphabet, repeat=k + 1)]
-        numbers, begins = F.lit(flat), F.lit(first)
-        width = F.lit([m ** (k + 1) for k in range(self.order + 1)])
-
-        def step(s, c):
-            level = F.least(s["i"], F.lit(self.order))
-            code = (s["code"] * m + c) % m ** (self.order + 1)
-            place = F.get(begins, level) + (s["i"] % self.period) * F.get(width, level) + code
-            return F.struct((s["i"] + 1).alias("i"), code.alias("code"), (s["total"] + F.get(numbers, place)).alias("total"))
-
-        return F.aggregate(symbol_codes(seq, self.alphabet), F.struct(F.lit(0).alias("i"), F.lit(0).alias("code"), F.lit(0.0).alias("total")), step, lambda s: s["total"])
+        m, order, period, alphabet = len(self.alphabet), self.order, self.period, self.alphabet
+        tables = [np.asarray([t.get(f"{phase}{''.join(w)}", -math.inf) for phase in range(period) for w in product(alphabet, repeat=k + 1)]) for k, t in enumerate(self.logs)]
+
+        @F.pandas_udf("double")
+        def total(texts):
+            known = texts.notna().to_numpy()
+            codes, lengths = _coded(texts.fillna("").tolist(), alphabet)
+            begins = np.cumsum(lengths) - lengths
+            place = np.arange(len(codes)) - np.repeat(begins, lengths)
+            plain = np.maximum(codes, 0)
+            each, word = np.zeros(len(codes)), np.zeros(len(codes), np.int64)
+            for k in range(order + 1):
+                word = np.concatenate([np.zeros(k, np.int64), plain[: len(codes) - k]]) * m**k + word if k <= len(codes) else word
+                here = np.flatnonzero(place == k if k < order else place >= k)
+                each[here] = tables[k][place[here] % period * m ** (k + 1) + word[here]]
+            out = np.zeros(len(texts))
+            full = np.flatnonzero(lengths)
+            if len(full):
+                out[full] = np.add.reduceat(each, begins[full])
+                other = np.add.reduceat((codes < 0).astype(np.int64), begins[full]) > 0
+                known[full[other]] = False
+            return pd.Series(out).where(known)
+
+        found = total(seq)
+        return F.when(~F.isnan(found), found)
 
 
 @dataclass
