@@ -358,25 +358,30 @@ def tokenize(rows: DataFrame, path: str, s: Settings) -> DataFrame:
     return arrow_map(rows, run, f"id {kind}, text string, held_out boolean, ids binary, turn int")
 
 
+#: Distinct words that a task counts before it hands them on; the engine adds up what comes more than once.
+COUNTED = 120_000
+
+
 def _count_words(batches):
-    """Words of training rows, each task's summed."""
+    """Words of training rows, summed as far as ``COUNTED`` distinct ones go."""
     import pyarrow as pa
 
     counts: Counter = Counter()
 
     def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        words, n = list(counts), list(counts.values())
         counts.clear()
-        return out
+        for a in range(0, max(len(words), 1), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 20_000], pa.binary()).cast(pa.string()), pa.array(n[a : a + 20_000], pa.int64())], ["word", "n"])
 
     for batch in batches:
         for text, out in zip(text_bytes(batch.column(1)), held_out(batch.column(0).to_pylist()).tolist()):
             if not out:
                 counts.update(lower_bytes(text).split())
                 counts[END_WORD.encode()] += 1
-        if len(counts) > 400_000:
-            yield flush()
-    yield flush()
+                if len(counts) > COUNTED:
+                    yield from flush()
+    yield from flush()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
