@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import arrow_map, lower_bytes, materialize, spans_by_size, text_bytes
+from strandwork.llm._common import Scratch, arrow_map, lower_bytes, materialize, spans_by_size, text_bytes
 from strandwork.llm.packing import encoder
 
 BLOCK_BYTES = 1 << 19
@@ -429,11 +429,13 @@ def gather(tokens: DataFrame, s: Settings) -> DataFrame:
 def learn(tokens: DataFrame, s: Settings = Settings()) -> Model:
     """The model of the training rows of ``tokens`` (from ``tokenize``)."""
     spark = tokens.sparkSession
-    seen = materialize(gather(tokens, s), "lm-gathered")
+    keep = Scratch(spark)
+    seen = keep(gather(tokens, s), "lm-gathered")
     # numbers of fixed size: at most one row to an id of the vocabulary reaches the driver
     count, profile = np.zeros(s.vocabulary), np.zeros((s.vocabulary, 2 * s.profile))
     for i, n, data in _summed(seen):
         count[i], profile[i] = n, np.frombuffer(data, "<f4")
+    keep.drop()
     leaves = arrange(count, profile, s)
     weights = draw(s, leaves, count)
     for k in range(s.rounds):
@@ -529,7 +531,8 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     ends = counts.where(F.col("word") == END_WORD).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     short = counts.where(F.octet_length("word") <= s.longest)  # the table is bounded in bytes as well
     known = {r[0].encode(): math.log10(r[1] + 0.5) for r in short.where(F.col("n") >= _least_count(short, s.top)).collect()}
-    tokens = materialize(tokenize(rows, path, s), "lm-tokens")
+    keep = Scratch(spark)
+    tokens = keep(tokenize(rows, path, s), "lm-tokens")
     model = learn(tokens, s)
     handed = spark.sparkContext.broadcast((model.weights, model.leaves, known))
 
@@ -564,6 +567,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word:string,k:bigint>>"
     scored = materialize(arrow_map(tokens, run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    keep.drop()
     # words beyond the table meet their counts; words that were never seen count 0
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k").join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("hits"))
