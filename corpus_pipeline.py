@@ -20,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike by 0.8 or more (Jaccard of five-word shingles), that with the smallest id stays."""
-    return near_groups.keep_first(docs)
+    """Of documents that op4 links (SimHash fingerprints at four differing bits or fewer), or that are alike by 0.8 or more
+    (Jaccard of five-word shingles, which the bits alone can't find), that with the smallest id stays."""
+    return near_groups.keep_first(docs, simhash_too=True)
 
 
 def _counted(docs: DataFrame, before: DataFrame) -> DataFrame:

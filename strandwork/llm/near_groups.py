@@ -16,6 +16,10 @@ Links are found in two rounds. At first the rows of a key are tied to a middle o
 nearest such tie of all its keys. These are decided and make components. Then, within each key, every row outside the
 largest component is compared with all rows of other components, and every candidate is decided: no pair between two
 components goes unseen, whatever a run's size.
+
+With ``simhash_too`` the links of SimHash near-dedup (``simhash.links``: Golay keys, all fingerprints of 64 bits at four
+differing bits or fewer) are links as well. Neither kind has the other's: shingles that a text repeats count in its
+fingerprint, and chance moves few or many bits at one similarity.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.llm import simhash
 from strandwork.llm._common import Scratch, arrow_map, lower_bytes, materialize, mix, spans_by_size, text_bytes
 from strandwork.llm.components import components
 from strandwork.llm.simhash import BLOCK_BYTES, SEED
@@ -225,9 +230,9 @@ def _listed(sets: list[np.ndarray]):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
 
 
-def describe(docs: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+def describe(docs: DataFrame, words: int, similarity: float, common: np.ndarray, simhash_too: bool = False) -> DataFrame:
     """For every row of ``docs`` (``id, text``): ``id``, a digest of its shingle set (``s0, s1``), the set's size ``n``,
-    fingerprint lanes and keys. Nothing is shuffled."""
+    fingerprint lanes and keys; ``fp``, the fingerprint of SimHash near-dedup, if it is asked for. Nothing is shuffled."""
     kind = docs.schema["id"].dataType.simpleString()
     lanes = [f"f{k}" for k in range(CARRIED)]
     handed = docs.sparkSession.sparkContext.broadcast(common)
@@ -242,9 +247,10 @@ def describe(docs: DataFrame, words: int, similarity: float, common: np.ndarray)
                 made = np.concatenate([_digests(sets), _prints(sets, CARRIED).view(np.int64)], axis=1)
                 columns = [pa.array(np.ascontiguousarray(made[:, k])) for k in range(made.shape[1])]
                 keys = _listed([prefix_of(x, similarity, handed.value) for x in sets])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns, pa.array([len(x) for x in sets], pa.int32()), keys], ["id", "s0", "s1", *lanes, "n", "keys"])
+                prints = [pa.array(simhash.fingerprints_of(texts[a:b]).view(np.int64))] if simhash_too else []
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns, pa.array([len(x) for x in sets], pa.int32()), keys, *prints], ["id", "s0", "s1", *lanes, "n", "keys"] + ["fp"] * simhash_too)
 
-    schema = f"id {kind}, s0 bigint, s1 bigint, " + ", ".join(f"{c} bigint" for c in lanes) + ", n int, keys array<bigint>"
+    schema = f"id {kind}, s0 bigint, s1 bigint, " + ", ".join(f"{c} bigint" for c in lanes) + ", n int, keys array<bigint>" + ", fp bigint" * simhash_too
     return arrow_map(docs, run, schema)
 
 
@@ -295,17 +301,28 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("same") / (F.size("a") + F.size("b") - F.col("same")) >= F.lit(float(similarity))).select("src", "dst")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _print_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``src, dst``: the links of SimHash near-dedup between nodes. Each fingerprint's first node stands for it, its other
+    nodes are tied to that one."""
+    at = rows.select("fp", "s0", "s1").distinct().join(nodes.select("s0", "s1", "row"), ["s0", "s1"]).select("fp", "row")
+    first = at.groupBy("fp").agg(F.min("row").alias("first"))
+    equal = at.join(first, "fp").where("row <> first").select(F.col("row").alias("src"), F.col("first").alias("dst"))
+    a, b = (first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")) for end in ("src", "dst"))
+    near = simhash.links(rows).join(a, "src").join(b, "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    return equal.unionByName(near)
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, simhash_too: bool = False) -> DataFrame:
     """``s0, s1, low`` for each distinct shingle set (``s0, s1``: its digest): ``low`` is the smallest id of its group.
 
-    Rows with equal sets are one group (texts without words too); a group whose ids are all null has a null ``low``;
-    an empty table has no groups.
+    Rows with equal sets are one group (texts without words too), with ``simhash_too`` rows that SimHash near-dedup links
+    as well; a group whose ids are all null has a null ``low``; an empty table has no groups.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lanes = [f"f{k}" for k in range(CARRIED)]
     common = _common(narrow.select("text"), words)
     keep = Scratch(docs.sparkSession)
-    rows = keep(describe(narrow, words, similarity, common).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    rows = keep(describe(narrow, words, similarity, common, simhash_too).withColumn("row", F.monotonically_increasing_id()), "near-rows")
     nodes = keep(rows.groupBy("s0", "s1").agg(F.min("id").alias("own"), F.min("row").alias("row")), "near-nodes")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     limit = candidate_bits(similarity)
@@ -321,7 +338,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     some = ties.select(F.col("src").alias("row")).union(ties.where("dst is not null").select("dst")).distinct()
     sets = keep(_sets_of(narrow, nodes.select("row", "s0", "s1").join(some, "row"), words), "near-sets")
     pairs = ties.where("dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    links = keep(_alike(pairs, sets, similarity), "near-links")
+    links = _alike(pairs, sets, similarity)
+    links = keep(links.unionByName(_print_links(rows, nodes)) if simhash_too else links, "near-links")
     root = keep(components(links), "near-roots")
     labels = sets.select("row").join(root, F.col("row") == F.col("node"), "left").select("row", F.coalesce("root", "row").alias("root"))
     others = keep(candidates(labels, "src bigint, dst bigint", "root").distinct().join(pairs, ["src", "dst"], "left_anti"), "near-others")
@@ -333,7 +351,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return out
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, simhash_too: bool = False) -> DataFrame:
     """The rows of ``docs``, with all columns, of which each group keeps one: a row with the smallest id.
 
     Which rows go is decided on ids and shingle sets alone; the ids that stay meet the rows in one join. Ids are meant to
@@ -342,7 +360,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key = f"c{names.index(id_col)}"
-    kept = groups(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", words, similarity)
+    kept = groups(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", words, similarity, simhash_too)
     kept = materialize(kept.where("low is not null").select(F.col("low").alias("kept")).distinct(), "near-kept")
     stay = plain.join(kept, plain[key] == kept["kept"], "left_semi")
     return stay.unionByName(plain.where(F.col(key).isNull())).toDF(*names)
