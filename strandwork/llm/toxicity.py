@@ -48,14 +48,46 @@ class Settings:
     seed: int = 11
 
 
-def grams(word: bytes, s: Settings) -> np.ndarray:
-    """Buckets of a word's subwords; the word itself is one of them."""
-    word = lower_bytes(word).strip(_STRIP)
-    text = f"<{word.decode('utf-8', 'replace')}>"
-    found = {text}
-    for n in range(s.least_gram, s.most_gram + 1):
-        found.update(text[i : i + n] for i in range(len(text) - n + 1))
-    return np.asarray(sorted({zlib.crc32(g.encode()) % s.buckets for g in found}), np.int64)
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ (table & np.uint32(1)) * np.uint32(0xEDB88320)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def grams(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (by CRC-32) of each word's subwords, ascending, one word after another, and how many each has. The word
+    itself is one of them. All words of a block go together, character by character."""
+    flat, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in spans_by_size([len(w) for w in words], BLOCK_BYTES):
+        shown = [b"<" + lower_bytes(w).strip(_STRIP) + b">" for w in words[a:b]]
+        shown = [x if x.isascii() else x.decode("utf-8", "replace").encode() for x in shown]
+        number = np.arange(b - a)
+        buf = np.frombuffer(b"".join(shown), np.uint8)
+        char = np.flatnonzero((buf & 0xC0) != 0x80)
+        wide = np.diff(char, append=len(buf))
+        ends = np.searchsorted(char, np.cumsum(np.fromiter(map(len, shown), np.int64, b - a)))
+        owner = np.repeat(number, np.diff(ends, prepend=0))
+        left = ends[owner] - np.arange(len(char))  # characters to the word's end
+        found = [number * s.buckets + np.fromiter((zlib.crc32(x) % s.buckets for x in shown), np.int64, b - a)]
+        first, state = np.arange(len(char)), np.full(len(char), 0xFFFFFFFF, np.uint32)
+        for k in range(s.most_gram):
+            on = left[first] > k
+            first, state = first[on], state[on]
+            at, width = char[first + k], wide[first + k]
+            for i in range(int(width.max(initial=0))):
+                some = slice(None) if not i else np.flatnonzero(width > i)
+                state[some] = _CRC[(state[some] ^ buf[at[some] + i]) & np.uint32(255)] ^ (state[some] >> np.uint32(8))
+            if k + 1 >= s.least_gram:
+                found.append(owner[first] * s.buckets + (~state % np.uint32(s.buckets)))
+        every = np.sort(np.concatenate(found))
+        every = every[np.diff(every, prepend=-1) > 0]  # np.unique hashes, which is slower here
+        flat.append(every % s.buckets)
+        size.append(np.bincount(every // s.buckets, minlength=b - a))
+    return np.concatenate(flat), np.concatenate(size)
 
 
 class _Bags:
@@ -64,10 +96,8 @@ class _Bags:
     def __init__(self, texts: list[bytes], s: Settings):
         number: dict[bytes, int] = {}
         self.words = [np.asarray([number.setdefault(w, len(number)) for w in t.split()], np.int64) for t in texts]
-        bags = [grams(w, s) for w in number]
-        self.size = np.asarray([len(b) for b in bags], np.int64)
+        self.flat, self.size = grams(list(number), s)
         self.first = np.cumsum(self.size) - self.size
-        self.flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -141,9 +171,14 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Mo
 
 class Scorer:
     def __init__(self, model_logits: np.ndarray, offset: float, s: Settings):
-        self.s, self.offset = s, offset
-        # whole numbers, so that sums don't depend on what else a buffer holds
-        self.table = SpanTable(lambda words: (np.rint([ONE * model_logits[grams(w, s)].mean() for w in words]).astype(np.int64), np.ones(len(words), np.int64)), np.int64)
+        self.s, self.offset, self.logits = s, offset, model_logits
+        self.table = SpanTable(self._learn, np.int64)
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's logit, in whole numbers, so that sums don't depend on what else a buffer holds."""
+        flat, size = grams(words, self.s)
+        means = np.add.reduceat(self.logits[flat], np.cumsum(size) - size) / size if len(words) else np.zeros(0)
+        return np.rint(ONE * means).astype(np.int64), np.ones(len(words), np.int64)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each text."""

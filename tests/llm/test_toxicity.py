@@ -67,3 +67,26 @@ def test_no_labels_and_bounds(spark):
     every = toxicity.learning_sample(docs, labels, "doc_id", "text", "toxic", toxicity.Settings(), everything)
     assert len(every) == 33 - 1 + 1  # repeated ids meet repeated labels
     assert toxicity.score(docs, labels).count() == 32
+
+
+def test_subwords_of_many_words():
+    """All words at once give what each gives by itself, read plainly from the definition."""
+    import zlib
+
+    rng = random.Random(8)
+    words = ["a", "...", "(Hello)", "ÜBUNG", "naïve", "中文字", "emoji😀", "x" * 300, "ab" * 9, "it's", "don't", "\x85"]
+    words = [w.encode() for w in words + ["".join(rng.choice("abcÄßé中😀.") for _ in range(rng.randrange(1, 12))) for _ in range(500)]] + [b"\xff\xfeab", b"\xc3", b"caf\xc3,\xa9\x80z"]
+    for s in (toxicity.Settings(), toxicity.Settings(buckets=1000, least_gram=1, most_gram=7)):
+        want = []
+        for w in words:
+            text = "<" + w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).strip(b".,;:!?\"'()[]{}").decode("utf-8", "replace") + ">"
+            found = {text} | {text[i : i + n] for n in range(s.least_gram, s.most_gram + 1) for i in range(len(text) - n + 1)}
+            want.append(sorted({zlib.crc32(g.encode()) % s.buckets for g in found}))
+        flat, size = toxicity.grams(words, s)
+        assert size.tolist() == [len(x) for x in want] and flat.tolist() == [x for one in want for x in one]
+        assert [len(x) for x in toxicity.grams([], s)] == [0, 0]
+        logits = np.random.default_rng(1).standard_normal(s.buckets)
+        scorer = toxicity.Scorer(logits, 0.25, s)
+        got = scorer([b" ".join(words[k : k + 3]) for k in range(0, 30, 3)])
+        each = [logits[x].mean() for x in want[:30]]
+        assert np.allclose(got, [1 / (1 + np.exp(-(np.mean(each[k : k + 3]) + 0.25))) for k in range(0, 30, 3)], atol=1e-8)
