@@ -37,7 +37,8 @@ from strandwork.llm._common import Scratch, arrow_map, lower_bytes, materialize,
 from strandwork.llm.packing import encoder
 
 BLOCK_BYTES = 1 << 19
-SCORED = 512  # windows to a batch
+SCORED = 128  # windows to a batch
+BLOCK_ROWS = 2048  # rows whose shares are made together
 END_WORD = "\n"  # no word has a line feed
 
 
@@ -119,7 +120,7 @@ def draw(s: Settings, leaves: Leaves, count: np.ndarray) -> dict[str, np.ndarray
 
     by_rank = np.bincount(leaves.rank, count + 0.5, s.known + 1)
     top = np.log(np.bincount(leaves.leaf, by_rank, leaves.tops))
-    deep = np.full((s.clusters, width), -30.0)
+    deep = np.full((s.clusters, width), -1e9)  # places beyond a cluster's ids have no share
     member = np.flatnonzero(leaves.inside >= 0)
     deep[leaves.leaf[member] - s.own, leaves.inside[member]] = np.log(by_rank[member])
     return {
@@ -143,7 +144,8 @@ def hidden(w: dict, x: np.ndarray) -> tuple:
     qkv = (h0.reshape(-1, d) @ w["QKV"]).reshape(n, t, 3 * d)
     q, k, v = qkv[..., :d] * np.float32(d**-0.5), qkv[..., d : 2 * d], qkv[..., 2 * d :]
     a = q @ k.transpose(0, 2, 1)
-    _exp(a, _MASK[t])
+    a += _MASK[t]
+    _exp(a)
     c = a @ np.concatenate([v, np.ones((n, t, 1), np.float32)], axis=2)  # sums come along
     c, total = c[..., :d] / c[..., d:], c[..., d:]
     # the feed-forward layer sees the last id as it is and what attention made of the context
@@ -153,17 +155,51 @@ def hidden(w: dict, x: np.ndarray) -> tuple:
     return h, (x, h0, q, k, v, a, total, c, both, r)
 
 
-def _exp(z: np.ndarray, add: np.ndarray) -> None:
-    """exp(z + add) in place; only where numbers would get out of hand are they held down."""
-    z += add
+def _exp(z: np.ndarray) -> None:
+    """exp(z) in place; only where numbers would get out of hand are they held down."""
     if z.size and z.max() > 80:
         np.minimum(z, 80, out=z)
     np.exp(z, out=z)
 
 
-def _log_share(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _with_bias(w: dict, name: str, bias: str) -> np.ndarray:
+    """A layer with its bias as one more row."""
+    return np.concatenate([w[name], w[bias][..., None, :]], axis=-2)
+
+
+def _by_cluster(leaves: Leaves, s: Settings, leaf: np.ndarray, deep: np.ndarray):
+    """Rows ``deep`` in the order of their targets' clusters (small ones first), and runs of clusters: the rows' places in that
+    order, the most ids that one of its clusters has, and ``cluster, first, last`` of each. A run has ``BLOCK_ROWS`` rows at most
+    or one cluster."""
+    by_size = np.argsort(leaves.sizes, kind="stable")
+    place = np.empty(s.clusters, np.int16)
+    place[by_size] = np.arange(s.clusters)
+    cluster = place[leaf[deep] - s.own]
+    deep = deep[np.argsort(cluster, kind="stable")]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=s.clusters))]).tolist()
+    runs: list[tuple[int, list]] = []
+    for k, (c, size) in enumerate(zip(by_size.tolist(), leaves.sizes[by_size].tolist())):
+        a, b = edges[k], edges[k + 1]
+        if a == b:
+            continue
+        if not runs or b - runs[-1][1][0][1] > BLOCK_ROWS or size > 1.25 * runs[-1][0]:
+            runs.append((size, []))
+        runs[-1][1].append((c, a, b))
+        runs[-1] = size, runs[-1][1]
+    return deep, [(slice(parts[0][1], parts[-1][2]), width, parts) for width, parts in runs]
+
+
+def _inside(layers: np.ndarray, hd: np.ndarray, rows: slice, width: int, parts: list) -> np.ndarray:
+    """What the clusters' layers make of a run's rows."""
+    z = np.empty((rows.stop - rows.start, width), hd.dtype)
+    for c, a, b in parts:
+        np.matmul(hd[a:b], layers[c, :, :width], out=z[a - rows.start : b - rows.start])
+    return z
+
+
+def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural log of the softmax of each row's place ``at``; ``z`` is used up."""
-    _exp(z, bias)
+    _exp(z)
     picked = z.ravel()[np.arange(len(z)) * z.shape[1] + at]
     return np.log(np.maximum(picked, 1e-35)) - np.log(np.maximum(z @ np.ones(z.shape[1], np.float32), 1e-35))
 
@@ -171,25 +207,21 @@ def _log_share(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
 def log_probability(w: dict, leaves: Leaves, s: Settings, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of rank y[i] after state h[i]."""
     out = np.empty(len(y), np.float64)
-    leaf = leaves.leaf[y]
-    for a in range(0, len(y), 2048):
-        out[a : a + 2048] = _log_share(h[a : a + 2048] @ w["U"], w["b"], leaf[a : a + 2048])
-    inside = leaves.inside[y]
-    deep = np.flatnonzero(inside >= 0)
-    cluster = (leaf[deep] - s.own).astype(np.int16)
-    deep = deep[np.argsort(cluster, kind="stable")]
-    edges = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=s.clusters))])
-    for c in range(s.clusters):
-        size = leaves.sizes[c]
-        for a in range(edges[c], edges[c + 1], 2048):
-            some = deep[a : min(a + 2048, edges[c + 1])]
-            out[some] += _log_share(h[some] @ w["D"][c, :, :size], w["e"][c, :size], inside[some])
+    leaf, inside = leaves.leaf[y], leaves.inside[y]
+    h = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+    top, layers = _with_bias(w, "U", "b"), _with_bias(w, "D", "e")
+    for a in range(0, len(y), BLOCK_ROWS):
+        out[a : a + BLOCK_ROWS] = _log_share(h[a : a + BLOCK_ROWS] @ top, leaf[a : a + BLOCK_ROWS])
+    deep, runs = _by_cluster(leaves, s, leaf, np.flatnonzero(inside >= 0))
+    hd, ind = h[deep], inside[deep]
+    for rows, width, parts in runs:
+        out[deep[rows]] += _log_share(_inside(layers, hd, rows, width, parts), ind[rows])
     return out
 
 
-def _weighted(z: np.ndarray, bias: np.ndarray, weight: np.ndarray, at: np.ndarray) -> None:
+def _weighted(z: np.ndarray, weight: np.ndarray, at: np.ndarray) -> None:
     """In place: ``weight`` times (softmax of each row, less one at its place ``at``)."""
-    _exp(z, bias)
+    _exp(z)
     z *= (weight / np.maximum(z @ np.ones(z.shape[1], np.float32), 1e-35))[:, None]
     z.ravel()[np.arange(len(z)) * z.shape[1] + at] -= weight
 
@@ -204,28 +236,26 @@ def gradients(w: dict, leaves: Leaves, s: Settings, x: np.ndarray, y: np.ndarray
     weight /= max(float(weight.sum()), 1.0)
     target = y.ravel()
     leaf = leaves.leaf[target]
-    z = h @ w["U"]
-    _weighted(z, w["b"], weight, leaf)
-    g = {"U": h.T @ z, "b": z.sum(axis=0), "D": np.zeros_like(w["D"]), "e": np.zeros_like(w["e"])}
+    h = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+    z = h @ _with_bias(w, "U", "b")
+    _weighted(z, weight, leaf)
+    top = h.T @ z
     dh = z @ w["U"].T
     inside = leaves.inside[target]
-    deep = np.flatnonzero((inside >= 0) & (weight > 0))
-    cluster = (leaf[deep] - s.own).astype(np.int16)
-    deep = deep[np.argsort(cluster, kind="stable")]
-    edges = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=s.clusters))]).tolist()
+    deep, runs = _by_cluster(leaves, s, leaf, np.flatnonzero((inside >= 0) & (weight > 0)))
     hd, ind, wd = h[deep], inside[deep], weight[deep]
-    dhd = np.empty_like(hd)
-    for one in range(s.clusters):
-        rows, size = slice(edges[one], edges[one + 1]), leaves.sizes[one]
-        if edges[one] == edges[one + 1]:
-            continue
-        layer = w["D"][one, :, :size]
-        z = hd[rows] @ layer
-        _weighted(z, w["e"][one, :size], wd[rows], ind[rows])
-        g["D"][one, :, :size] = hd[rows].T @ z
-        g["e"][one, :size] = z.sum(axis=0)
-        dhd[rows] = z @ layer.T
+    dhd = np.empty((len(deep), d), hd.dtype)
+    layers = _with_bias(w, "D", "e")
+    dlayers = np.zeros_like(layers)
+    for rows, width, parts in runs:
+        z = _inside(layers, hd, rows, width, parts)
+        _weighted(z, wd[rows], ind[rows])
+        for one, i, j in parts:
+            mine = z[i - rows.start : j - rows.start]
+            np.matmul(hd[i:j].T, mine, out=dlayers[one, :, :width])
+            np.matmul(mine, layers[one, :d, :width].T, out=dhd[i:j])
     dh[deep] += dhd
+    g = {"U": top[:d], "b": top[d], "D": dlayers[:, :d], "e": dlayers[:, d]}
     g["B"] = r.T @ dh
     dr = (dh @ w["B"].T) * (r > 0)
     g["A"] = both.reshape(-1, 2 * d).T @ dr
@@ -252,6 +282,7 @@ class Trainer:
     def __init__(self, w: dict, leaves: Leaves, s: Settings, seed: int, rate: float):
         self.w = {k: v.copy() for k, v in w.items()}
         self.m, self.u = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.spare = {k: (np.empty_like(v), np.empty_like(v)) for k, v in w.items()}
         self.leaves, self.s, self.rate, self.steps, self.windows = leaves, s, rate, 0, 0
         self.rng = np.random.default_rng(seed)
 
@@ -270,10 +301,20 @@ class Trainer:
         now = self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 200) ** 0.5
         first, second = np.float32(now / (1 - 0.9**self.steps)), np.float32((1 - 0.99**self.steps) ** -0.5)
         for k, v in self.w.items():
-            m, u = self.m[k], self.u[k]
-            m += np.float32(0.1) * (g[k] - m)
-            u += np.float32(0.01) * (g[k] * g[k] - u)
-            v -= first * m / (np.sqrt(u) * second + np.float32(1e-7))
+            m, u, (x, y) = self.m[k], self.u[k], self.spare[k]
+            np.subtract(g[k], m, out=x)
+            x *= np.float32(0.1)
+            m += x
+            np.multiply(g[k], g[k], out=x)
+            x -= u
+            x *= np.float32(0.01)
+            u += x
+            np.sqrt(u, out=x)
+            x *= second
+            x += np.float32(1e-7)
+            np.multiply(m, first, out=y)
+            y /= x
+            v -= y
 
 
 class Windows:

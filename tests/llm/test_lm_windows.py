@@ -118,3 +118,31 @@ def test_small_table_of_words(spark, odd_dir, docs_of):
     path = entry.tokenizer_path("word_bpe_49k.json")
     got = [{r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm_scoring.score(docs, path, s=lm_scoring.Settings(top=top, longest=longest)).collect()} for top, longest in ((1 << 17, 64), (3, 4))]
     assert got[0] == got[1]
+
+
+def test_clusters_go_together(monkeypatch):
+    """Clusters of several sizes in few runs: the same as a softmax over each row's own cluster, number by number."""
+    rng = np.random.default_rng(5)
+    s = lm_scoring.Settings(vocabulary=700, known=600, own=8, clusters=11, dim=4, hidden=6, window=7, end_id=699)
+    model = _model([np.arange(698, dtype=np.uint16), *_texts(rng, (4000, 50), 690)], s)
+    w, leaves = model.weights, model.leaves
+    assert len(set(leaves.sizes.tolist())) > 1 and leaves.sizes.sum() == 592
+    h = rng.standard_normal((6000, s.dim)).astype(np.float32)
+    y = rng.integers(0, s.known + 1, len(h))
+    times = []
+    real = lm_scoring._exp
+    monkeypatch.setattr(lm_scoring, "_exp", lambda *x: (times.append(1), real(*x))[1])
+    got = lm_scoring.log_probability(w, leaves, s, h, y)
+    assert len(times) <= 9  # not one a cluster
+
+    def share(z, at):
+        z = z.astype(np.float64)
+        return z[at] - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+    for i in [*range(0, 6000, 7)]:
+        want = share(h[i] @ w["U"] + w["b"], leaves.leaf[y[i]])
+        if leaves.inside[y[i]] >= 0:
+            c = leaves.leaf[y[i]] - s.own
+            n = leaves.sizes[c]
+            want += share(h[i] @ w["D"][c, :, :n] + w["e"][c, :n], leaves.inside[y[i]])
+        assert got[i] == pytest.approx(want, abs=1e-3)
