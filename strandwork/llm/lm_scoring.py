@@ -1,12 +1,13 @@
 """LM scoring: a causal self-attention model over subword ids, trained in numpy.
 
-The model. Ids come from a public tokenizer. The ``known`` most frequent ids have embeddings of their own, all others
-share one. A causal attention layer and a small feed-forward layer lead to a state; a softmax in two steps (first over
-the ``own`` most frequent ids and over clusters, then over the ids of the cluster) gives the next id's probability.
-Clusters are equally large and made of ids with like neighbours. Ids outside the known ones share a leaf by their
-counts. ``score`` is the sum of log10 p(id | context) over a text's ids and its end: a proper distribution over id
-sequences. Texts are cut in overlapping context windows and every id is scored once, with the window that gives it
-the most context, in batches under a causal mask.
+The model. Ids come from a public tokenizer; pairs of them that frequent words of the training texts have most often are
+joined to ids of their own, round by round (``units``), so that a text has fewer places. The ``known`` most frequent ids have
+embeddings of their own, all others share one. A causal attention layer, from every second place and to pairs of places, and
+a small feed-forward layer at each place lead to a state; a softmax in two steps (first over the ``own`` most frequent ids and
+over clusters, then over the ids of the cluster) gives the next id's probability. Clusters are made of ids with like counts and
+neighbours, small ones of frequent ids. Ids outside the known ones share a leaf by their counts. ``score`` is the sum of
+log10 p(id | context) over a text's ids and its end: a proper distribution over id sequences. Texts are cut in overlapping
+context windows and every id is scored once, with the window that gives it the most context, in batches under a causal mask.
 
 Training. Counts and neighbour profiles cover every training text in full, and so do windows: each id of a training
 text is the target of exactly one window, in one of ``rounds`` rounds (texts take turns). In a round the tasks that hold
@@ -27,14 +28,17 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from operator import mul
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._common import Scratch, arrow_map, lower_bytes, materialize, spans_by_size, text_bytes
+from strandwork.llm._common import Scratch, arrow_map, flat_index, lower_bytes, materialize, spans_by_size, text_bytes
+from strandwork.llm.packing import _PRETOKEN as PRETOKEN
+from strandwork.llm.packing import _UNUSUAL as UNUSUAL
 from strandwork.llm.packing import encoder
+from strandwork.llm.units import join, learn_units
 
 BLOCK_BYTES = 1 << 19
 SCORED = 128  # windows to a batch
@@ -44,20 +48,24 @@ END_WORD = "\n"  # no word has a line feed
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 49_408
+    vocabulary: int = 53_504  # the tokenizer's ids and the units joined of them
+    first_unit: int = 49_408
+    joins: tuple = (512,) * 8  # units to a round of joining
     end_id: int = 49_407
-    known: int = 4096
+    known: int = 8192
     own: int = 32  # known ids that are leaves of the first softmax
-    clusters: int = 48
+    clusters: int = 64
+    widest: int = 160  # ids that a cluster has at most, where there are clusters enough
     profile: int = 6  # numbers to a neighbour profile, each side
     dim: int = 16
     hidden: int = 32
-    window: int = 32
-    stride: int = 24
+    window: int = 64
+    stride: int = 56
     rounds: int = 3
-    batch: int = 128  # windows to a gradient step
+    batch: int = 192  # windows to a gradient step, from ``first_batch`` on one more with each step
+    first_batch: int = 16
     block: int = 1 << 18  # ids whose windows are shuffled together
-    rate: float = 1e-2
+    rate: float = 2e-2
     top: int = 1 << 17
     longest: int = 64  # bytes of a word in the table of frequent words
     seed: int = 5
@@ -95,9 +103,12 @@ def arrange(count: np.ndarray, profile: np.ndarray, s: Settings) -> Leaves:
     leaf[: s.own] = np.arange(s.own)
     leaf[len(order) :] = s.own + s.clusters  # all others
     x = profile[order] / np.maximum(count[order], 1)[:, None]
-    groups = [np.arange(s.own, len(order))]
-    while len(groups) < s.clusters:  # the largest is halved across its longest direction
-        g = groups.pop(int(np.argmax([len(g) for g in groups])))
+    mass = count[order] + 0.5
+    bands = [k for k in s.own * 4 ** np.arange(1, min(4, s.clusters)) if k < len(order)]
+    groups = np.split(np.arange(s.own, len(order)), np.asarray(bands, np.int64) - s.own)
+    while len(groups) < s.clusters:  # that with the most work (its ids times how often they come) is halved across its longest direction
+        work = [(len(g) > s.widest, mass[g].sum() * len(g) * (len(g) > 1)) for g in groups]
+        g = groups.pop(max(range(len(groups)), key=work.__getitem__))
         y = x[g] - x[g].mean(axis=0)
         _, v = np.linalg.eigh(y.T @ y)
         by = np.argsort(y @ v[:, -1], kind="stable")
@@ -124,7 +135,7 @@ def draw(s: Settings, leaves: Leaves, count: np.ndarray) -> dict[str, np.ndarray
     member = np.flatnonzero(leaves.inside >= 0)
     deep[leaves.leaf[member] - s.own, leaves.inside[member]] = np.log(by_rank[member])
     return {
-        "E": w(s.known + 2, d, scale=0.3), "P": w(s.window, d, scale=0.05), "QKV": w(d, 3 * d, scale=d**-0.5), "O": w(d, d, scale=0.1),
+        "E": w(s.known + 2, d, scale=0.3), "P": w(s.window, d, scale=0.05), "S": w(d, d, scale=0.1), "QKV": w(d, 3 * d, scale=d**-0.5), "O": w(d, d, scale=0.1),
         "A": w(2 * d, s.hidden, scale=(2 * d) ** -0.5), "B": w(s.hidden, d, scale=0.05), "U": w(d, leaves.tops, scale=0.05), "b": (top - top.max()).astype(np.float32),
         "D": w(s.clusters, d, width, scale=0.05), "e": deep.astype(np.float32),
     }
@@ -136,23 +147,36 @@ _MASK: dict[int, np.ndarray] = {}
 def hidden(w: dict, x: np.ndarray) -> tuple:
     """Last layer for a batch of windows of ranks, and what its gradient needs."""
     n, t = x.shape
-    d = w["O"].shape[0]
-    if t not in _MASK:
-        _MASK[t] = np.triu(np.full((t, t), -1e9, np.float32), 1)
-    h0 = w["E"][x]
-    h0 += w["P"][:t]
-    qkv = (h0.reshape(-1, d) @ w["QKV"]).reshape(n, t, 3 * d)
-    q, k, v = qkv[..., :d] * np.float32(d**-0.5), qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    a = q @ k.transpose(0, 2, 1)
-    a += _MASK[t]
-    _exp(a)
-    c = a @ np.concatenate([v, np.ones((n, t, 1), np.float32)], axis=2)  # sums come along
-    c, total = c[..., :d] / c[..., d:], c[..., d:]
+    m, d = (t + 1) // 2, w["O"].shape[0]
+    if m not in _MASK:
+        _MASK[m] = np.triu(np.full((m, m), -1e9, np.float32), 1)
     # the feed-forward layer sees the last id as it is and what attention made of the context
-    both = np.concatenate([h0, c], axis=2)
-    r = np.maximum(both.reshape(-1, 2 * d) @ w["A"], 0)
-    h = h0.reshape(-1, d) + c.reshape(-1, d) @ w["O"] + r @ w["B"]
-    return h, (x, h0, q, k, v, a, total, c, both, r)
+    both = np.empty((n, t, 2 * d), w["E"].dtype)
+    h0 = both[..., :d]
+    np.add(w["E"][x], w["P"][:t], out=h0)
+    flat = both.reshape(-1, 2 * d)
+    # attention goes from every second place, and to pairs of places: one of these and the one before it
+    old = np.zeros((n, m, d), h0.dtype)
+    old[:, 1:] = h0[:, 1 : 2 * m - 1 : 2]
+    pair = (old.reshape(-1, d) @ w["S"]).reshape(n, m, d)
+    pair += h0[:, ::2]
+    qkv = (pair.reshape(-1, d) @ w["QKV"]).reshape(n, m, 3 * d)
+    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
+    q *= np.float32(d**-0.5)
+    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    a += _MASK[m]
+    _exp(a)
+    total = (a.reshape(-1, m) @ np.ones(m, a.dtype)).reshape(n, m, 1)
+    c = a @ np.ascontiguousarray(v)
+    c /= total
+    both[:, ::2, d:] = c
+    both[:, 1::2, d:] = c[:, : t // 2]
+    r = flat @ w["A"]
+    np.maximum(r, 0, out=r)
+    h = r @ w["B"]
+    h += flat[:, :d]
+    h += flat[:, d:] @ w["O"]
+    return h, (x, q, k, v, a, total, both, r, old, pair, c)
 
 
 def _exp(z: np.ndarray) -> None:
@@ -219,28 +243,34 @@ def log_probability(w: dict, leaves: Leaves, s: Settings, h: np.ndarray, y: np.n
     return out
 
 
-def _weighted(z: np.ndarray, weight: np.ndarray, at: np.ndarray) -> None:
-    """In place: ``weight`` times (softmax of each row, less one at its place ``at``)."""
+def _slopes(z: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``z`` becomes a multiple of (softmax of each row, less one at its place ``at``); the result is what each row is still to be
+    multiplied with to be ``weight`` times that."""
     _exp(z)
-    z *= (weight / np.maximum(z @ np.ones(z.shape[1], np.float32), 1e-35))[:, None]
-    z.ravel()[np.arange(len(z)) * z.shape[1] + at] -= weight
+    total = np.maximum(z @ np.ones(z.shape[1], z.dtype), 1e-35)
+    z.ravel()[np.arange(len(z)) * z.shape[1] + at] -= total
+    return (weight / total)[:, None]
 
 
 def gradients(w: dict, leaves: Leaves, s: Settings, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict:
     """Gradients of the mean negative log probability of the real targets (``y`` where ``real``)."""
-    h, (x, h0, q, k, v, a, sums, c, both, r) = hidden(w, x)
+    h, (x, q, k, v, a, sums, both, r, old, pair, c) = hidden(w, x)
     a /= sums
     n, t = x.shape
-    d = s.dim
-    weight = real.ravel().astype(np.float32)
+    m, d = pair.shape[1:]
+    flat = both.reshape(-1, 2 * d)
+    weight = real.ravel().astype(h.dtype)
     weight /= max(float(weight.sum()), 1.0)
     target = y.ravel()
     leaf = leaves.leaf[target]
-    h = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
-    z = h @ _with_bias(w, "U", "b")
-    _weighted(z, weight, leaf)
-    top = h.T @ z
-    dh = z @ w["U"].T
+    h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
+    dh, over, top = np.empty((len(h), d), h.dtype), _with_bias(w, "U", "b"), 0
+    for i in range(0, len(h), BLOCK_ROWS):
+        some = slice(i, i + BLOCK_ROWS)
+        z = h[some] @ over
+        scale = _slopes(z, weight[some], leaf[some])
+        top = top + (h[some] * scale).T @ z
+        np.multiply(z @ over[:d].T, scale, out=dh[some])
     inside = leaves.inside[target]
     deep, runs = _by_cluster(leaves, s, leaf, np.flatnonzero((inside >= 0) & (weight > 0)))
     hd, ind, wd = h[deep], inside[deep], weight[deep]
@@ -249,30 +279,43 @@ def gradients(w: dict, leaves: Leaves, s: Settings, x: np.ndarray, y: np.ndarray
     dlayers = np.zeros_like(layers)
     for rows, width, parts in runs:
         z = _inside(layers, hd, rows, width, parts)
-        _weighted(z, wd[rows], ind[rows])
+        scale = _slopes(z, wd[rows], ind[rows])
+        scaled = hd[rows] * scale
         for one, i, j in parts:
-            mine = z[i - rows.start : j - rows.start]
-            np.matmul(hd[i:j].T, mine, out=dlayers[one, :, :width])
-            np.matmul(mine, layers[one, :d, :width].T, out=dhd[i:j])
+            some = slice(i - rows.start, j - rows.start)
+            np.matmul(scaled[some].T, z[some], out=dlayers[one, :, :width])
+            np.matmul(z[some], layers[one, :d, :width].T, out=dhd[i:j])
+        dhd[rows] *= scale
     dh[deep] += dhd
     g = {"U": top[:d], "b": top[d], "D": dlayers[:, :d], "e": dlayers[:, d]}
     g["B"] = r.T @ dh
-    dr = (dh @ w["B"].T) * (r > 0)
-    g["A"] = both.reshape(-1, 2 * d).T @ dr
+    dr = dh @ w["B"].T
+    dr *= r > 0
+    g["A"] = flat.T @ dr
     dboth = dr @ w["A"].T
-    g["O"] = c.reshape(-1, d).T @ dh
-    dc = (dh @ w["O"].T + dboth[:, d:]).reshape(n, t, d)
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (dc * c).sum(axis=2, keepdims=True))
-    dq, dk = (ds @ k) * np.float32(d**-0.5), ds.transpose(0, 2, 1) @ q
-    dqkv = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * d)
-    g["QKV"] = h0.reshape(-1, d).T @ dqkv
-    dh0 = dh + dboth[:, :d] + dqkv @ w["QKV"].T
+    g["O"] = flat[:, d:].T @ dh
+    each = (dh @ w["O"].T + dboth[:, d:]).reshape(n, t, d)
+    dc = np.ascontiguousarray(each[:, ::2])
+    dc[:, : t // 2] += each[:, 1::2]
+    ds = dc @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    ds -= ((dc * c).reshape(-1, d) @ np.ones(d, dc.dtype)).reshape(n, m, 1)
+    ds *= a
+    dqkv = np.empty((n, m, 3 * d), dc.dtype)
+    np.multiply(ds @ np.ascontiguousarray(k), np.float32(d**-0.5), out=dqkv[..., :d])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[..., 2 * d :])
+    dqkv = dqkv.reshape(-1, 3 * d)
+    g["QKV"] = pair.reshape(-1, d).T @ dqkv
+    dpair = dqkv @ w["QKV"].T
+    g["S"] = old.reshape(-1, d).T @ dpair
+    dh += dboth[:, :d]
+    dh0 = dh.reshape(n, t, d)
+    dh0[:, ::2] += dpair.reshape(n, m, d)
+    dh0[:, 1 : 2 * m - 1 : 2] += (dpair @ w["S"].T).reshape(n, m, d)[:, 1:]
     g["P"] = np.zeros_like(w["P"])
-    g["P"][:t] = dh0.reshape(n, t, d).sum(axis=0)
-    flat = x.ravel()
-    g["E"] = np.stack([np.bincount(flat, dh0[:, m], len(w["E"])) for m in range(d)], axis=1).astype(np.float32)
+    g["P"][:t] = dh0.sum(axis=0)
+    at = (x.reshape(-1, 1) * d + np.arange(d, dtype=x.dtype)).ravel()
+    g["E"] = np.bincount(at, dh.ravel(), w["E"].size).astype(dh.dtype).reshape(w["E"].shape)
     return g
 
 
@@ -292,9 +335,11 @@ class Trainer:
         cut = Windows(texts_ids, self.leaves.rank, s, s.window)
         order = self.rng.permutation(len(cut.start))
         self.windows += len(order)
-        for a in range(0, len(order), s.batch):
-            x, y, real = cut.batch(order[a : a + s.batch])
-            self._step(gradients(self.w, self.leaves, s, x, y, real))
+        a = 0
+        while a < len(order):
+            some = order[a : a + min(s.batch, s.first_batch + self.steps)]
+            a += len(some)
+            self._step(gradients(self.w, self.leaves, s, *cut.batch(some)))
 
     def _step(self, g: dict) -> None:
         self.steps += 1
@@ -369,34 +414,169 @@ class Model:
 # --- learning -----------------------------------------------------------------------------------------
 
 
-def _ids(path: str, texts: list[bytes], s: Settings) -> list[np.ndarray]:
-    end = np.asarray([s.end_id], np.int64)
-    return [np.concatenate([np.frombuffer(x, "<u4").astype(np.int64), end]) for x in encoder(path)([lower_bytes(t) for t in texts])]
-
-
 def _projection(s: Settings) -> np.ndarray:
     return np.random.default_rng(s.seed).standard_normal((s.profile, s.vocabulary)).astype(np.float32)
 
 
-def tokenize(rows: DataFrame, path: str, s: Settings) -> DataFrame:
-    """``rows`` (``id, text``) with ``held_out``, ``turn`` (the round that learns from it) and ``ids`` (little-endian unsigned
-    16-bit integers, the end included)."""
+@dataclass
+class Frequent:
+    """The most frequent words of the training rows: ``log10(c + 0.5)`` and the units of each (``counts[i]`` of ``values``),
+    and how units are joined."""
+
+    words: list[bytes]
+    logs: np.ndarray
+    values: np.ndarray
+    counts: np.ndarray
+    joins: list
+
+
+class Speller:
+    """The tokenizer's ids of words in small letters, as ``encoder`` has them. Words with plain characters only are cut by the
+    encoder's pattern and their parts go to the tokenizer's model itself; others, and all of them if the model alone doesn't
+    give the tokenizer's ids for ``PROBE``, go to the encoder."""
+
+    PROBE = ["hello", "na\u00efve", "12", "x_y", ",;", "it's", "\u00c9t\u00e9", "zqxjkv"]
+    PARTS = 1 << 16  # parts whose ids are kept
+
+    def __init__(self, path: str):
+        self.encode = encoder(path)
+        self.model, self.parts, self.plain = self.encode.tokenizer.model, {}, True
+        # the characters that stand for bytes in such vocabularies
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.letter = {x: 256 + i for i, x in enumerate(sorted(set(range(256)) - set(own)))}
+        probe = [w.encode() for w in self.PROBE]
+        self.plain = [[*x] for x in self._pieces(probe)] == [np.frombuffer(x, "<u4").tolist() for x in self.encode(probe)]
+
+    def _part(self, part: str) -> list[int]:
+        known = self.parts.get(part)
+        if known is None:
+            text = part if part.isascii() else part.lower().encode().decode("latin-1").translate(self.letter)
+            known = [token.id for token in self.model.tokenize(text)]
+            if len(self.parts) < self.PARTS:
+                self.parts[part] = known
+        return known
+
+    def _pieces(self, words: list[bytes]) -> list:
+        """A list of ids for each word, None for those that aren't plain."""
+        found = []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            found.append(None if UNUSUAL.search(text) else [i for part in PRETOKEN.findall(text) for i in self._part(part)])
+        return found
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        found = self._pieces(words) if self.plain else [None] * len(words)
+        rest = [i for i, x in enumerate(found) if x is None]
+        for a, b in spans_by_size([len(words[i]) for i in rest], BLOCK_BYTES):
+            for i, ids in zip(rest[a:b], self.encode([words[i] for i in rest[a:b]])):
+                found[i] = np.frombuffer(ids, "<u4").tolist()
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
+
+
+_SPELLERS: dict = {}
+
+
+def _subwords(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    if path not in _SPELLERS:
+        _SPELLERS[path] = Speller(path)
+    return _SPELLERS[path](words)
+
+
+def frequent(path: str, times: dict[bytes, int], s: Settings) -> Frequent:
+    """``times`` are the frequent words' counts; the pairs of ids that they have most often become units."""
+    words, n = list(times), np.fromiter(times.values(), np.float64, len(times))
+    values, counts = _subwords(path, words)
+    joins = learn_units(values, counts, n, s.first_unit, list(s.joins))
+    values, counts = join(values, counts, joins)
+    return Frequent(words, np.log10(n + 0.5), values.astype("<u2"), counts, joins)
+
+
+class _Numbers(dict):
+    """Numbers words as they come; ``fresh`` are those that weren't there."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words))))
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class Words:
+    """Words of texts by number: ``number < known`` are the frequent ones, others are learnt when they come and forgotten
+    beyond ``OTHERS_BYTES``."""
+
+    def __init__(self, path: str, common: Frequent):
+        self.path, self.common, self.known = path, common, len(common.words)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.others, self.bytes = _Numbers(self.common.words), [], 0
+        self.values, self.counts = self.common.values, self.common.counts
+        self.at = np.cumsum(self.counts) - self.counts
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of some texts, and how many words each text has."""
+        if self.bytes > OTHERS_BYTES:
+            self.clear()
+        words = [lower_bytes(t).split() for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        if fresh := self.numbers.fresh:
+            values, counts = join(*_subwords(self.path, fresh), self.common.joins)
+            self.at = np.concatenate([self.at, len(self.values) + np.cumsum(counts) - counts])
+            self.values = np.concatenate([self.values, values.astype("<u2")])
+            self.counts = np.concatenate([self.counts, counts])
+            self.others += fresh
+            self.bytes += sum(map(len, fresh)) + 170 * len(fresh)  # what Python and the arrays hold besides
+            self.numbers.fresh = []
+        return number, sizes
+
+
+TOKENS = "held_out boolean, turn int, ids binary, n_tokens bigint, n_known bigint, base double, rare array<struct<word:string,k:bigint>>"
+#: Bytes of the words that a task knows besides the frequent ones.
+OTHERS_BYTES = 32 << 20
+
+
+def tokenize(rows: DataFrame, path: str, s: Settings, common, ends: int) -> DataFrame:
+    """``rows`` (``id, text``) as ``id, held_out, turn`` (the round that learns from it), ``ids`` (units as little-endian unsigned
+    16-bit integers, the end included) and what the base score needs: ``n_tokens``, of frequent words and the end ``n_known``
+    and ``base`` (logarithms of counts), and all other words. ``common`` is a broadcast ``Frequent``, ``ends`` the end's count."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        done = 0
+        table, done = Words(path, common.value), 0
+        logs, known = common.value.logs, len(common.value.words)
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
-                made = [x.astype("<u2").tobytes() for x in _ids(path, texts[a:b], s)]
-                out = held_out(batch.column(0)[a:b].to_pylist())
-                turn = (done + np.arange(b - a)) % s.rounds
-                done += b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(out), pa.array(made, pa.binary()), pa.array(turn, pa.int32())], ["id", "text", "held_out", "ids", "turn"])
-
-    return arrow_map(rows, run, f"id {kind}, text string, held_out boolean, ids binary, turn int")
+                n = b - a
+                number, sizes = table(texts[a:b])
+                counts = table.counts[number]
+                upto = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
+                ids = np.insert(table.values[flat_index(table.at[number], counts)], upto, s.end_id).astype("<u2", copy=False)
+                edges = np.concatenate([[0], upto + np.arange(1, n + 1)]).astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(2 * edges), pa.py_buffer(ids)])
+                owner = np.repeat(np.arange(n), sizes)
+                often = number < known
+                n_known = np.bincount(owner[often], minlength=n) + (ends > 0)
+                base = np.bincount(owner[often], logs[number[often]], n) + math.log10(ends + 0.5)
+                left, k = np.unique(owner[~often] << 32 | number[~often] - known, return_counts=True)
+                words = pa.array([table.others[i] for i in (left & 0xFFFFFFFF).tolist()], pa.binary()).cast(pa.string())
+                first = np.searchsorted(left >> 32, np.arange(n + 1)).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays([words, pa.array(k.astype(np.int64))], ["word", "k"]))
+                turn = (done + np.arange(n)) % s.rounds
+                done += n
+                arrays = [batch.column(0)[a:b], pa.array(held_out(batch.column(0)[a:b].to_pylist())), pa.array(turn, pa.int32()), made, pa.array(sizes + 1), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), rare]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "held_out", "turn", "ids", "n_tokens", "n_known", "base", "rare"])
+
+    return arrow_map(rows, run, f"id {kind}, {TOKENS}")
 
 
 #: Distinct words that a task counts before it hands them on; the engine adds up what comes more than once.
@@ -526,11 +706,11 @@ def _mean(batches):
 
 
 def _averaged(found: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Means of the tasks' weights, by the number of windows that they saw: in two steps, so that no task reads the weights
+    """Means of the tasks' weights, by the number of windows that they saw: in three steps, so that no task reads the weights
     of all tasks, and the driver gets one row to a weight."""
-    spread = found.withColumn("part", F.spark_partition_id() % 64)
     parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = arrow_map(spread.repartition(parts, "name", "part"), _mean, WEIGHTS)
+    for most in (64, 8):
+        found = arrow_map(found.withColumn("part", F.spark_partition_id() % most).repartition(parts, "name", "part"), _mean, WEIGHTS)
     out = dict(weights)
     for name, _, data in arrow_map(found.repartition(len(weights), "name"), _mean, WEIGHTS).collect():
         out[name] = np.frombuffer(data, "<f4").reshape(weights[name].shape).copy()
@@ -571,43 +751,24 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     bottom = math.log10(n + 0.5 * (v + 1))
     ends = counts.where(F.col("word") == END_WORD).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     short = counts.where(F.octet_length("word") <= s.longest)  # the table is bounded in bytes as well
-    known = {r[0].encode(): math.log10(r[1] + 0.5) for r in short.where(F.col("n") >= _least_count(short, s.top)).collect()}
+    known = {r[0].encode(): r[1] for r in short.where(F.col("n") >= _least_count(short, s.top)).collect()}
+    common = spark.sparkContext.broadcast(frequent(path, known, s))
     keep = Scratch(spark)
-    tokens = keep(tokenize(rows, path, s), "lm-tokens")
-    model = learn(tokens, s)
-    handed = spark.sparkContext.broadcast((model.weights, model.leaves, known))
+    tokens = keep(tokenize(rows, path, s, common, ends), "lm-tokens")
+    common.unpersist()
+    handed = spark.sparkContext.broadcast(learn(tokens, s))
 
     def run(batches):
         import pyarrow as pa
 
-        weights, leaves, logs = handed.value
-        mine = Model(weights, leaves, s)
-        end = math.log10(ends + 0.5)
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            ids = batch.column(3).to_pylist()
-            for a, b in spans_by_size([len(t) for t in texts], BLOCK_BYTES):
-                some = texts[a:b]
-                scores = mine.score([np.frombuffer(x, "<u2").astype(np.int64) for x in ids[a:b]])
-                n_tokens, n_known, base, rare = [], [], [], []
-                for text in some:
-                    each = Counter(lower_bytes(text).split())
-                    times, found, left = list(each.values()), list(map(logs.get, each)), []
-                    total = hits = sum(times)
-                    if None in found:
-                        left = [(w.decode("utf-8", "replace"), k) for w, k, x in zip(each, times, found) if x is None]
-                        hits -= sum(k for _, k in left)
-                        found = [x or 0.0 for x in found]
-                    n_tokens.append(total + 1)
-                    n_known.append(hits + (ends > 0))
-                    base.append(sum(map(mul, times, found), end))
-                    rare.append(left)
-                kind_rare = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
-                arrays = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(scores), pa.array([[{"word": w, "k": k} for w, k in x] for x in rare], kind_rare)]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
-    schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word:string,k:bigint>>"
-    scored = materialize(arrow_map(tokens, run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+            ids = [np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()]
+            scores = [handed.value.score(ids[a:b]) for a, b in spans_by_size([len(x) for x in ids], BLOCK_BYTES // 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(np.concatenate([np.zeros(0), *scores]))], ["id", "held_out", "n_tokens", "n_known", "base", "rare", "score"])
+
+    schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, rare array<struct<word:string,k:bigint>>, score double"
+    some = tokens.select("id", "ids", "held_out", "n_tokens", "n_known", "base", "rare")
+    scored = materialize(arrow_map(some, run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     keep.drop()
     # words beyond the table meet their counts; words that were never seen count 0
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k").join(counts, "word", "left")
