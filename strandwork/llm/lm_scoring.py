@@ -41,7 +41,7 @@ from strandwork.llm.packing import encoder
 from strandwork.llm.units import join, learn_units
 
 BLOCK_BYTES = 1 << 19
-SCORED = 128  # windows to a batch
+SCORED = 256  # windows to a batch
 BLOCK_ROWS = 2048  # rows whose shares are made together
 END_WORD = "\n"  # no word has a line feed
 
