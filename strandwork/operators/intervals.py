@@ -166,11 +166,13 @@ def bin_scores(df: DataFrame, bins: DataFrame, keys: list[str], pos: str, score:
 
 def combine_neighbours(df: DataFrame, keys: list[str], bin_col: str, p: str, reach: int) -> DataFrame:
     """``any``: the probability that at least one of the bins within ``reach`` holds, if bins are independent; ``mean`` of
-    the same."""
+    the same. Numbers over 1 are no probabilities: ``any`` isn't a number where one is within reach."""
     dealt = with_halo(df, bin_col, reach, reach, max(SEGMENT_ROWS, reach))
     w = Window.partitionBy(*keys, "__seg").orderBy(bin_col).rangeBetween(-reach, reach)
-    none = F.sum(F.log1p(-F.least(F.col(p), F.lit(1 - 1e-15)))).over(w)
-    return own_rows(dealt.withColumn("any", -F.expm1(none)).withColumn("mean", F.avg(p).over(w)))
+    none = F.sum(F.when(F.col(p) < 1, F.log1p(-F.col(p))).when(F.col(p).isNotNull(), 0.0)).over(w)
+    most = F.max(p).over(w)
+    some = F.when(most > 1, math.nan).when(most == 1, 1.0).otherwise(-F.expm1(none))
+    return own_rows(dealt.withColumn("any", some).withColumn("mean", F.avg(p).over(w)))
 
 
 def pairs_within(df: DataFrame, keys: list[str], pos: str, id_col: str, least: int, most: int) -> DataFrame:
