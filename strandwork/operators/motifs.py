@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions.scalar import reverse_complement, windows
 from strandwork.operators.clustering import agglomerate, cut_tree
-from strandwork.operators.kmers import de_bruijn, position_counts
+from strandwork.operators.kmers import de_bruijn, position_counts, presence
 from strandwork.operators.models import PWM
 from strandwork.operators.ordered import running_total
 
@@ -83,8 +83,7 @@ def seeds(df: DataFrame, background: DataFrame, seq: str, id_col: str, k: int, m
     sequences; ``most`` of them."""
     def share(x, name):
         total = max(x.count(), 1)
-        words = x.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(windows(F.col(seq), k))).alias("kmer"))
-        return words.groupBy("kmer").agg(F.count_distinct("id").alias(name)), total
+        return presence(x, seq, k, id_col).withColumnRenamed("n_seqs", name), total
 
     (fg, n), (bg, m) = share(df, "f"), share(background, "b")
     both = fg.join(bg, "kmer", "left").withColumn("gain", F.col("f") * F.log((F.col("f") / n) / ((F.coalesce("b", F.lit(0)) + 1) / (m + 1))))
