@@ -115,7 +115,9 @@ def nearest(points: DataFrame, features: DataFrame, keys: list[str], pos: str) -
     placed = carried(in_ranges(all_, "p"), keys, __low=(F.max("f"), F.max, "before"), __high=(F.min("f"), F.min, "after"))
     w = Window.partitionBy(*keys, "__range").orderBy("p")
     back = F.coalesce(F.last("f", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.col("__low"))
-    ahead = F.coalesce(F.first("f", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)), F.col("__high"))
+    # the same from the other end: a frame up to the group's end is gone through again for each row
+    down = Window.partitionBy(*keys, "__range").orderBy(F.col("p").desc())
+    ahead = F.coalesce(F.last("f", ignorenulls=True).over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.col("__high"))
     return placed.withColumn("distance", F.least(F.col("p") - back, ahead - F.col("p"))).where("id is not null").select("id", "distance")
 
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
 #: Rows to a segment of frames that count rows, and reaches to a segment of frames that measure distance.
-SEGMENT_ROWS, SEGMENT_REACHES = 1 << 16, 64
+SEGMENT_ROWS, SEGMENT_REACHES = 1 << 16, 16
 
 
 def _ranges(df: DataFrame, by: str, ranges: int = RANGES) -> Column:
@@ -82,9 +83,100 @@ def with_halo(df: DataFrame, pos: str, before: int, after: int, width: int) -> D
     return dealt.withColumn("__own", at.isNull() | (F.col("__seg") == F.floor(at / width)))
 
 
-def by_distance(df: DataFrame, keys: list[str], order: str, reach: int):
-    """Segments with the rows within ``reach`` around them, and the window of a row's surroundings."""
-    return with_halo(df, order, reach, reach, max(SEGMENT_REACHES * reach, 1)), lambda r: Window.partitionBy(*keys, "__seg").orderBy(order).rangeBetween(-r, r)
+def near_rows(df: DataFrame, keys: list[str], order: str, value: str, reach: int, made: dict[str, tuple[str, int, Callable]]) -> DataFrame:
+    """``df`` with columns made of the values near each row: ``made`` has type, distance and function by name; the function
+    gets a segment's values in order (without nulls), the row each is of, and the bounds of each row's neighbours among them.
+
+    A segment, with the rows within ``reach`` around it, is one Arrow table; a row costs the same however many neighbours it
+    has (Spark's sliding frames go through all of them for each row).
+    """
+    names = df.columns
+    dealt = with_halo(df, order, reach, reach, max(SEGMENT_REACHES * reach, 1))
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), *(f"`{c}` {kind}" for c, (kind, _, _) in made.items())])
+
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.sort_by(order)
+        own = table.column("__own").to_numpy()
+        values = table.column(value)
+        there = values.is_valid().to_numpy()
+        before = np.concatenate([[0], np.cumsum(there)])
+        known = values.filter(pc.is_valid(values)).to_numpy()
+        which = np.flatnonzero(there)
+        columns = [table.column(c).filter(pa.array(own)) for c in names]
+        for _, distance, f in made.values():
+            if table.column(order).null_count:  # null places are near each other
+                low, high = np.zeros(len(own), np.int64), np.full(len(own), len(own))
+            else:
+                at = table.column(order).to_numpy()
+                low, high = np.searchsorted(at, at - distance, "left"), np.searchsorted(at, at + distance, "right")
+            columns.append(f(known, which, before[low], before[high]).filter(pa.array(own)))
+        return pa.table(columns, names=[*names, *made])
+
+    return dealt.groupBy(*keys, "__seg").applyInArrow(run, schema)
+
+
+def _means(known, which, low, high):
+    """Means of ranges of values, from sums of what comes before (of the differences from the mean, in long doubles)."""
+    import pyarrow as pa
+
+    known = known.astype(float)
+    odd = ~np.isfinite(known)
+    plain = np.where(odd, 0.0, known)
+    centre = plain.mean() if len(plain) else 0.0
+    sums = np.concatenate([[0], np.cumsum((plain - centre).astype(np.longdouble))])
+    n = high - low
+    out = (sums[high] - sums[low]).astype(float) / np.maximum(n, 1) + centre
+    if odd.any():
+        up, down, none = ((c := np.concatenate([[0], np.cumsum(x)]))[high] > c[low] for x in (known == np.inf, known == -np.inf, np.isnan(known)))
+        out = np.where(none | (up & down), np.nan, np.where(up, np.inf, np.where(down, -np.inf, out)))
+    return pa.array(out, mask=n == 0)
+
+
+def _tops(known, which, low, high):
+    """Whether a row's value is the largest of its range: maxima of spans of powers of two, two to a range."""
+    import pyarrow as pa
+
+    level = np.unique(known, return_inverse=True)[1].reshape(-1)
+    span = np.frexp(np.maximum(high - low, 1))[1] - 1
+    best, table, wide = np.full(len(low), -1), level, 1
+    for j in range(int(span.max(initial=0)) + 1):
+        at = np.flatnonzero((span == j) & (high > low))
+        if len(at):
+            best[at] = np.maximum(table[low[at]], table[high[at] - wide])
+        table = np.maximum(table[:-wide], table[wide:])
+        wide *= 2
+    own = np.full(len(low), -2)
+    own[which] = level
+    return pa.array(own == best)
+
+
+def _above_percentile(p: float):
+    def f(known, which, low, high):
+        """A row's value less that at index ceil(p * (n - 1)) of its sorted range: values' numbers go down by their bits, all
+        rows' ranges with them."""
+        import pyarrow as pa
+
+        names, level = np.unique(known, return_inverse=True)
+        level = level.reshape(-1)
+        k = np.ceil(p * (high - low - 1)).astype(np.int64)
+        a, b, found = low.copy(), high.copy(), np.zeros(len(low), np.int64)
+        for bit in reversed(range(max(len(names) - 1, 1).bit_length())):
+            zero = (level >> bit & 1) == 0
+            upto = np.concatenate([[0], np.cumsum(zero)])
+            za, zb = upto[a], upto[b]
+            right = k >= zb - za
+            k = np.where(right, k - (zb - za), k)
+            found |= right.astype(np.int64) << bit
+            a, b = np.where(right, upto[-1] + a - za, za), np.where(right, upto[-1] + b - zb, zb)
+            level = np.concatenate([level[zero], level[~zero]])
+        out, none = np.zeros(len(low), known.dtype), np.ones(len(low), bool)
+        out[which], none[which] = known - names[found[which]] if len(names) else known, False
+        return pa.array(out, mask=none)
+
+    return f
 
 
 def by_rows(df: DataFrame, keys: list[str], order: list[str], before: int, after: int):
@@ -138,17 +230,14 @@ def smooth(df: DataFrame, keys: list[str], order: list[str], value: str, width:
 def local_rate(df: DataFrame, keys: list[str], order: str, value: str, reaches: list[int]) -> DataFrame:
     """``rate``: the largest of the group's mean and of the means within each reach (in units of ``order``) around."""
     whole = df.groupBy(*keys).agg(F.avg(value).alias("__whole")).toDF(*(f"__g{i}" for i in range(len(keys))), "__whole")
-    dealt, w = by_distance(df, keys, order, max(reaches))
-    for r in reaches:
-        dealt = dealt.withColumn(f"__near{r}", F.avg(value).over(w(r)))
-    out = own_rows(dealt).join(whole, [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)])
+    near = near_rows(df, keys, order, value, max(reaches), {f"__near{r}": ("double", r, _means) for r in reaches})
+    out = near.join(whole, [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)])
     return out.withColumn("rate", F.greatest("__whole", *(f"__near{r}" for r in reaches))).drop("__whole", *(f"__near{r}" for r in reaches), *(f"__g{i}" for i in range(len(keys))))
 
 
 def peaks_only(df: DataFrame, keys: list[str], order: str, score: str, reach: int) -> DataFrame:
     """Rows whose score is the largest within ``reach`` around them."""
-    dealt, w = by_distance(df, keys, order, reach)
-    return own_rows(dealt.withColumn("__top", F.max(score).over(w(reach))).where(F.col(score) == F.col("__top"))).drop("__top")
+    return near_rows(df, keys, order, score, reach, {"__top": ("boolean", reach, _tops)}).where("__top").drop("__top")
 
 
 def neighbours(df: DataFrame, keys: list[str], order: list[str], value: str, before: int, after: int) -> DataFrame:
@@ -163,11 +252,8 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], value: str, bef
 
 def detrended(df: DataFrame, keys: list[str], order: str, value: str, margin: int, p: float) -> DataFrame:
     """``value`` minus the ceil-percentile of the values within ``margin`` around it."""
-    dealt, w = by_distance(df, keys, order, margin)
-    near = F.array_sort(F.collect_list(value).over(w(margin)))
-    out = dealt.withColumn("__near", near).where("__own")
-    at = F.ceil(p * (F.size("__near") - 1)).cast("int") + 1
-    return own_rows(out.withColumn("detrended", F.col(value) - F.element_at("__near", at)).drop("__near"))
+    kind = df.schema[value].dataType.simpleString()
+    return near_rows(df, keys, order, value, margin, {"detrended": (kind, margin, _above_percentile(p))})
 
 
 def quantile_normalised(df: DataFrame, column: str, value: str, tie: str) -> DataFrame:
