@@ -145,14 +145,68 @@ def align(a: str, b: str, match: float = 0, mismatch: float = 1, gap: float = 1,
     return total, x, y
 
 
+def align_costs(a: list[str], b: list[str], match: float = 0, mismatch: float = 1, gap: float = 1, kind: str = "global", opening: float = 0) -> np.ndarray:
+    """The costs that ``align`` gives for many pairs, cell by cell for all pairs at once (shorter ones are padded, which
+    changes no cell before their ends)."""
+    out = np.zeros(len(a))
+    order = sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i])))
+    first = 0
+    while first < len(order):
+        most = max(1, (1 << 18) // (len(b[order[first]]) + 1))
+        some = order[first : first + most]
+        widest = max(len(b[i]) for i in some)
+        while len(some) > 1 and len(some) * (widest + 1) > 1 << 19:
+            some = some[: len(some) // 2]
+            widest = max(len(b[i]) for i in some)
+        out[some] = _costs([a[i] for i in some], [b[i] for i in some], match, mismatch, gap, kind, opening)
+        first += len(some)
+    return out
+
+
+def _costs(a: list[str], b: list[str], match, mismatch, gap, kind, opening) -> np.ndarray:
+    def padded(texts, fill):
+        out = np.full((max(map(len, texts)), len(texts)), fill, np.int64)
+        for k, t in enumerate(texts):
+            out[: len(t), k] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return out
+
+    x, y = padded(a, -1), padded(b, -2)
+    n, m, size = len(x), len(y), len(a)
+    la, lb = np.asarray([len(t) for t in a]), np.asarray([len(t) for t in b])
+    best = np.full((m + 1, 3, size), np.inf)  # the row before: match, gap in b (up), gap in a (left)
+    total = np.full(size, np.inf)
+    for i in range(n + 1):
+        row = np.full((m + 1, 3, size), np.inf)
+        for j in range(m + 1):
+            cell = row[j]
+            if i == j == 0 or kind == "local" or (kind in ("semi", "free") and i == 0) or (kind == "free" and j == 0):
+                cell[0] = 0
+            if i and j:
+                cell[0] = np.minimum(cell[0], best[j - 1].min(axis=0) + np.where(x[i - 1] == y[j - 1], match, mismatch))
+            if i:
+                up = best[j]
+                cell[1] = np.minimum(np.minimum(up[0], up[2]) + opening, up[1]) + gap
+            if j:
+                left = row[j - 1]
+                cell[2] = np.minimum(np.minimum(left[0], left[1]) + opening, left[2]) + gap
+            ends = {"global": (i == la) & (j == lb), "semi": (i == la) & (j <= lb), "free": ((i == la) & (j <= lb)) | ((j == lb) & (i <= la)), "local": (i <= la) & (j <= lb)}[kind]
+            if ends.any():
+                total = np.where(ends, np.minimum(total, cell.min(axis=0)), total)
+        best = row
+    return total
+
+
 def align_columns(df: DataFrame, a: str, b: str, out: str = "cost", **how) -> DataFrame:
-    """``df`` with the alignment cost of two columns, in Arrow batches."""
+    """``df`` with the alignment cost of two columns, in Arrow batches; the pairs of a batch are aligned together."""
 
     @F.pandas_udf("double")
     def cost(x, y):
         import pandas as pd
 
-        return pd.Series([align(p or "", q or "", **how)[0] for p, q in zip(x, y)], dtype="float64")
+        pairs = list(zip(x.fillna("").tolist(), y.fillna("").tolist()))
+        different = list(dict.fromkeys(pairs))
+        costs = dict(zip(different, align_costs([p for p, _ in different], [q for _, q in different], **how).tolist()))
+        return pd.Series([costs[p] for p in pairs], dtype="float64")
 
     return df.withColumn(out, cost(a, b))
 
