@@ -14,6 +14,11 @@ from strandwork.operators.clustering import agglomerate, cut_tree
 from strandwork.operators.kmers import de_bruijn, position_counts, presence
 from strandwork.operators.models import PWM
 from strandwork.operators.ordered import running_total
+from strandwork.operators.words import cores
+
+
+#: Pairs of words that every task may hold.
+FEW = 200_000
 
 
 def consensus(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,15 +43,18 @@ def admissible_words(model: PWM, k: int, offset: int, threshold: float) -> list[
     return ["".join(model.alphabet[c] for c in w) for w in words if sum(model.logs[offset + j][c] for j, c in enumerate(w)) > room]
 
 
+def _strands(df: DataFrame, id_col: str, seq: str, n: int, both_strands: bool) -> DataFrame:
+    """``id, pos, strand, w``: all windows of a length."""
+    each = df.select(F.col(id_col).alias("id"), F.posexplode(windows(F.col(seq), n)).alias("pos", "w"))
+    if not both_strands:
+        return each.withColumn("strand", F.lit("+"))
+    return each.select("id", "pos", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("w").alias("w")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("w")).alias("w")))).alias("x")).select("id", "pos", "x.strand", "x.w")
+
+
 def scan(df: DataFrame, id_col: str, seq: str, model: PWM, threshold: float, both_strands: bool = True, prefilter: int | None = None, offset: int = 0) -> DataFrame:
     """``id, pos, strand, score`` of the windows that score at least ``threshold``. With ``prefilter`` only windows with an
     admissible word of that length at ``offset`` are scored."""
-    n = len(model.logs)
-    each = df.select(F.col(id_col).alias("id"), F.posexplode(windows(F.col(seq), n)).alias("pos", "w"))
-    if both_strands:
-        each = each.select("id", "pos", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("w").alias("w")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("w")).alias("w")))).alias("x")).select("id", "pos", "x.strand", "x.w")
-    else:
-        each = each.withColumn("strand", F.lit("+"))
+    each = _strands(df, id_col, seq, len(model.logs), both_strands)
     if prefilter:
         words = admissible_words(model, prefilter, offset, threshold - 1e-12)
         table = df.sparkSession.createDataFrame([(w,) for w in words], "word string")
@@ -56,11 +64,15 @@ def scan(df: DataFrame, id_col: str, seq: str, model: PWM, threshold: float, bot
 
 def threshold_for(scores: DataFrame, score: str, p: float) -> float | None:
     """The least of the background scores that a share of ``p`` at most reaches or passes; beyond all of them if none is."""
-    total = scores.where(F.col(score).isNotNull()).count()
+    counts = scores.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"))
+    return _border(counts, score, p, counts.agg(F.sum("n")).first()[0] or 0)
+
+
+def _border(counts: DataFrame, score: str, p: float, total: int) -> float | None:
+    """The same of counted scores (``n``)."""
     if not total:
         return None
     border = math.ceil(total * (1 - p))
-    counts = scores.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"))
     placed = running_total(counts, score, ["n"]).withColumn("first", F.col("cum_n") - F.col("n"))
     # ties across the border belong below it
     above, top = placed.agg(F.min(F.when(F.col("first") >= border, F.col(score))), F.max(score)).first()
@@ -68,12 +80,14 @@ def threshold_for(scores: DataFrame, score: str, p: float) -> float | None:
 
 
 def occurrences(df: DataFrame, background: DataFrame, id_col: str, seq: str, model: PWM, p: float, both_strands: bool = True) -> DataFrame:
-    """``id, pos, strand, score, p``: windows that score as only a share of ``p`` of the background's windows do."""
-    every = scan(background, id_col, seq, model, -math.inf, both_strands).select("score")
-    limit = threshold_for(every, "score", p)
+    """``id, pos, strand, score, p``: windows that score as only a share of ``p`` of the background's windows do. The
+    background is read once: its equal windows are scored as one, and what is kept is a row for each score."""
+    sites = _strands(background, id_col, seq, len(model.logs), both_strands).groupBy("w").agg(F.count("*").alias("n"))
+    every = sites.select(model.score(F.col("w")).alias("score"), "n").where("score is not null").groupBy("score").agg(F.sum("n").alias("n")).persist()
+    total = every.agg(F.sum("n")).first()[0] or 0
+    limit = _border(every, "score", p, total)
     found = scan(df, id_col, seq, model, limit if limit is not None else math.inf, both_strands)
-    total = every.count()
-    counts = every.groupBy("score").agg(F.count("*").alias("n")).unionByName(found.select("score").distinct().withColumn("n", F.lit(0).cast("bigint")))
+    counts = every.unionByName(found.select("score").distinct().withColumn("n", F.lit(0).cast("bigint")))
     tail = running_total(counts.groupBy("score").agg(F.sum("n").alias("n")), "score", ["n"], ascending=False).select("score", (F.col("cum_n") / max(total, 1)).alias("p"))
     return found.join(tail, "score").select("id", "pos", "strand", "score", "site", "p")
 
@@ -126,7 +140,7 @@ def bound(found: DataFrame, df: DataFrame, id_col: str) -> DataFrame:
 
 def sites_matrix(found: DataFrame) -> DataFrame:
     """``pos, sym, cnt`` of the sites that were found."""
-    return position_counts(found, "site")
+    return position_counts(found.groupBy("site").agg(F.count("*").cast("double").alias("n")), "site", F.col("n"))  # equal sites as one
 
 
 def assess(truth: DataFrame, predicted: DataFrame, width: int, most: int) -> DataFrame:
@@ -150,7 +164,8 @@ def assess(truth: DataFrame, predicted: DataFrame, width: int, most: int) -> Dat
 def containing(df: DataFrame, id_col: str, seq: str, words: DataFrame, k: int, mismatches: int) -> DataFrame:
     """``id, kmer``: sequences and words (``kmer``, all of length k) of which a window differs in so many places at most.
 
-    Windows and words meet in an equi-join on the word with some places blanked out, not pair by pair.
+    The different windows and the words meet in an equi-join on the word with some places blanked out, not pair by pair; a
+    sequence has a row for each of its windows only.
     """
     places = list(combinations(range(k), mismatches))
 
@@ -165,10 +180,14 @@ def containing(df: DataFrame, id_col: str, seq: str, words: DataFrame, k: int, m
             out.append(F.concat(*parts))
         return F.array_distinct(F.array(*out))
 
-    each = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(windows(F.col(seq), k))).alias("w"))
-    left = each.select("id", F.explode(keys(F.col("w"))).alias("key"))
+    dealt = df.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).repartition(cores(df), "id")
+    each = dealt.select("id", F.explode(F.array_distinct(windows(F.col("seq"), k))).alias("w"))
+    left = each.select("w").distinct().select("w", F.explode(keys(F.col("w"))).alias("key"))
     right = words.select("kmer", F.explode(keys(F.col("kmer"))).alias("key"))
-    return left.distinct().join(right, "key").select("id", "kmer").distinct()
+    met = left.join(right, "key").select("w", "kmer").distinct()
+    if met.count() < FEW:  # then rows stay with their ids
+        met = F.broadcast(met)
+    return each.join(met, "w").select("id", "kmer").distinct()
 
 
 # --- distances of matrices ----------------------------------------------------------------------------
