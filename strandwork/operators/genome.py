@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.functions.scalar import reverse_complement, translate_codons, windows
+from strandwork.functions.scalar import DNA, DNA_COMPLEMENT, reverse_complement, translate_codons, windows
 from strandwork.operators.intervals import coverage, islands, overlap_join
-from strandwork.operators.ordered import numbered
+from strandwork.operators.ordered import numbered, whole_groups
+from strandwork.operators.words import arrow_map, once, starts
+from strandwork.operators.words import pieces as slices
 
 
 def pieces(genome: DataFrame, chrom: str, seq: str, size: int, overlap: int) -> DataFrame:
@@ -169,12 +172,41 @@ def in_all(*targets: DataFrame) -> DataFrame:
 
 def inverted_repeats(df: DataFrame, id_col: str, seq: str, k: int, least: int, most: int) -> DataFrame:
     """``id, first, second``: places of words whose reverse complement starts ``least`` to ``most`` places later in the same
-    sequence. Words meet their complements in an equi-join on sequence and word."""
+    sequence (rows of one id are one sequence's). Where ids don't repeat and the places are few, each row is read where it
+    is; otherwise words meet their complements in an equi-join on sequence and word."""
+    if most - least < 64 and once(df, F.col(id_col)):
+        rows = df.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).where("seq is not null")
+        return arrow_map(rows, lambda batches: _inverted(batches, k, least, most), f"id {rows.schema['id'].dataType.simpleString()}, first int, second int")
     words = df.select(F.col(id_col).alias("id"), F.posexplode(windows(F.col(seq), k)).alias("pos", "w"))
     left, right = words.select("id", F.col("pos").alias("first"), "w"), words.select("id", F.col("pos").alias("second"), reverse_complement(F.col("w")).alias("w"))
     return left.join(right, ["id", "w"]).where((F.col("second") - F.col("first")).between(least, most)).select("id", "first", "second")
 
 
+def _inverted(batches, k: int, least: int, most: int):
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, every = batch.column(0), batch.column(1).to_pylist()
+        for s in slices(np.fromiter(map(len, every), np.int64, len(every))):
+            texts = every[s]
+            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            partners = points.copy()
+            for x, y in zip(DNA, DNA_COMPLEMENT):
+                partners[points == ord(x)] = ord(y)
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            at = starts(lengths, k)
+            row = np.repeat(np.arange(len(texts)), np.maximum(lengths - k + 1, 0))
+            begin = (np.cumsum(lengths) - lengths)[row]
+            last = begin + lengths[row] - k
+            for gap in range(least, most + 1):
+                ok = np.flatnonzero((at + gap >= begin) & (at + gap <= last))
+                for j in range(k):
+                    ok = ok[points[at[ok] + j] == partners[at[ok] + gap + k - 1 - j]]
+                if len(ok):
+                    first = (at[ok] - begin[ok]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[ok] + s.start)), pa.array(first), pa.array(first + np.int32(gap))], ["id", "first", "second"])
+
+
 def tandem_repeats(df: DataFrame, id_col: str, seq: str, least_unit: int, most_unit: int, copies: int) -> DataFrame:
     """``id, unit, text``: stretches in which a unit of ``least_unit`` to ``most_unit`` symbols stands ``copies`` times or
     more in a row, leftmost first, the shortest unit."""
@@ -203,9 +235,11 @@ def filter_predictions(df: DataFrame, keep: Column | str, score: Column) -> Data
     """The best prediction of each cluster: equal ones (``chrom, strand, start, end``) are one, with the highest score and
     all their ``evidence`` counted; those that ``keep`` holds for are clustered where they overlap on a strand; of a cluster
     the highest score stays, of equals the smallest id. ``id, chrom, strand, start, end, score, evidence, members``."""
-    same = df.withColumn("__s", score).groupBy("chrom", "strand", "start", "end").agg(F.min("id").alias("id"), F.max("__s").alias("score"), F.count("*").alias("evidence"))
+    whole = whole_groups(df, ["chrom", "strand"])
+    near = df.repartition("chrom", "strand") if whole else df  # what follows needs no other shuffle then
+    same = near.withColumn("__s", score).groupBy("chrom", "strand", "start", "end").agg(F.min("id").alias("id"), F.max("__s").alias("score"), F.count("*").alias("evidence"))
     kept = same.where(keep)
-    clusters = islands(kept, ["chrom", "strand"], "start", "end", -1)  # touching ones don't overlap
+    clusters = islands(kept, ["chrom", "strand"], "start", "end", -1, whole)  # touching ones don't overlap
     rank = F.struct("score", (-F.col("id")).alias("minus"), "id", "start", "end", "evidence")
     best = clusters.groupBy("chrom", "strand", "island").agg(F.max(rank).alias("x"), F.count("*").alias("members"))
     return best.select("x.id", "chrom", "strand", "x.start", "x.end", "x.score", "x.evidence", "members")

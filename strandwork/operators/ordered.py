@@ -33,6 +33,16 @@ def _ranges(df: DataFrame, by: str, ranges: int = RANGES) -> Column:
     return F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.aggregate(steps, F.lit(0), step))
 
 
+#: Rows to a group that may be ordered in one task, which sorts on disk; larger groups are cut in ranges.
+GROUP_ROWS = 1 << 20
+
+
+def whole_groups(df: DataFrame, keys: list[str], times: int = 1) -> bool:
+    """Whether each group has few enough rows (``times`` of them to a row) to be ordered as it is. Reads the keys only."""
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] if keys else None
+    return most is not None and most * times <= GROUP_ROWS
+
+
 def in_ranges(df: DataFrame, by: str) -> DataFrame:
     """``df`` with ``__range``, the range of ``by`` that a row lies in."""
     return df.withColumn("__range", _ranges(df, by))
