@@ -235,11 +235,11 @@ def filter_predictions(df: DataFrame, keep: Column | str, score: Column) -> Data
     """The best prediction of each cluster: equal ones (``chrom, strand, start, end``) are one, with the highest score and
     all their ``evidence`` counted; those that ``keep`` holds for are clustered where they overlap on a strand; of a cluster
     the highest score stays, of equals the smallest id. ``id, chrom, strand, start, end, score, evidence, members``."""
-    whole = whole_groups(df, ["chrom", "strand"])
-    near = df.repartition("chrom", "strand") if whole else df  # what follows needs no other shuffle then
+    parts = whole_groups(df, ["chrom", "strand"])
+    near = df.repartition(parts, "chrom", "strand") if parts else df  # what follows needs no other shuffle then
     same = near.withColumn("__s", score).groupBy("chrom", "strand", "start", "end").agg(F.min("id").alias("id"), F.max("__s").alias("score"), F.count("*").alias("evidence"))
     kept = same.where(keep)
-    clusters = islands(kept, ["chrom", "strand"], "start", "end", -1, whole)  # touching ones don't overlap
+    clusters = islands(kept, ["chrom", "strand"], "start", "end", -1, bool(parts))  # touching ones don't overlap
     rank = F.struct("score", (-F.col("id")).alias("minus"), "id", "start", "end", "evidence")
     best = clusters.groupBy("chrom", "strand", "island").agg(F.max(rank).alias("x"), F.count("*").alias("members"))
     return best.select("x.id", "chrom", "strand", "x.start", "x.end", "x.score", "x.evidence", "members")

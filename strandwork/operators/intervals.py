@@ -19,11 +19,11 @@ from strandwork.operators.stats import log_sum_exp
 def coverage(df: DataFrame, keys: list[str], start: str, end: str, value: str) -> DataFrame:
     """Sum of ``value`` over all intervals at every place, as runs of equal sums (zero runs left out)."""
     ends = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.col(value).alias("d")), F.struct(F.col(end).alias("at"), (-F.col(value)).alias("d")))).alias("e"))
-    if whole_groups(df, keys, 2):
+    if parts := whole_groups(df, keys, 2):
         # one shuffle and one sort; sums by place are taken after them, where they need no table of places
         w = Window.partitionBy(*keys).orderBy("at")
         later = F.lead(F.struct("at")).over(w)
-        each = ends.select(*keys, "e.at", "e.d").withColumn("d", F.sum("d").over(Window.partitionBy(*keys, "at"))).withColumn("__later", later)
+        each = ends.select(*keys, "e.at", "e.d").repartition(parts, *keys).withColumn("d", F.sum("d").over(Window.partitionBy(*keys, "at"))).withColumn("__later", later)
         deltas = each.where(F.col("__later").isNull() | ~F.col("__later.at").eqNullSafe(F.col("at"))).where("d <> 0")
         runs = deltas.withColumn("cov", F.sum("d").over(w)).withColumn("stop", F.lead("at").over(w))
         return runs.where("cov <> 0 and stop is not null").select(*keys, F.col("at").alias("start"), F.col("stop").alias("end"), "cov")
@@ -45,14 +45,16 @@ def run_lengths(df: DataFrame, keys: list[str], pos: str, value: str) -> DataFra
     return island.groupBy(*keys, "cum___new").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end"), F.first(value).alias("value")).drop("cum___new")
 
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, reach: Column | int = 0, whole: bool | None = None) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], start: str, end: str, reach: Column | int = 0, dealt: bool = False) -> DataFrame:
     """``df`` with ``island``: numbers from 1 on, intervals that start within ``reach`` of all ends so far stay in one.
-    ``whole``: whether groups are small enough to be ordered as they are (counted if it isn't said)."""
-    if whole or whole is None and whole_groups(df, keys):
+    ``dealt``: groups are small and each in one partition already."""
+    parts = 0 if dealt else whole_groups(df, keys)
+    if dealt or parts:
         w = Window.partitionBy(*keys).orderBy(start, end)
         far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
         fresh = F.when(far + (F.lit(reach) if isinstance(reach, int) else reach) >= F.col(start), 0).otherwise(1)
-        return df.withColumn("__new", fresh).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+        near = df if dealt else df.repartition(parts, *keys)
+        return near.withColumn("__new", fresh).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
     placed = carried(in_ranges(df, start), keys, __far=(F.max(end), F.max, "before"))
     w = Window.partitionBy(*keys, "__range").orderBy(start, end)
     far = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__far"))

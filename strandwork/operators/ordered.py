@@ -34,13 +34,16 @@ def _ranges(df: DataFrame, by: str, ranges: int = RANGES) -> Column:
 
 
 #: Rows to a group that may be ordered in one task, which sorts on disk; larger groups are cut in ranges.
-GROUP_ROWS = 1 << 20
+GROUP_ROWS, TASK_ROWS = 1 << 20, 1 << 19
 
 
-def whole_groups(df: DataFrame, keys: list[str], times: int = 1) -> bool:
-    """Whether each group has few enough rows (``times`` of them to a row) to be ordered as it is. Reads the keys only."""
-    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] if keys else None
-    return most is not None and most * times <= GROUP_ROWS
+def whole_groups(df: DataFrame, keys: list[str], times: int = 1) -> int:
+    """Partitions of ``TASK_ROWS`` on average (at least one to a core) if each group has few enough rows (``times`` of them to
+    a row) to be ordered as it is, else 0. Reads the keys only."""
+    most, total = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first() if keys else (None, None)
+    if most is None or most * times > GROUP_ROWS:
+        return 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-total * times // TASK_ROWS))
 
 
 def in_ranges(df: DataFrame, by: str) -> DataFrame:
